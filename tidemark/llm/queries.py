@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import sentencepiece_codec
+from tidemark.llm import pii, quality_classifier, quality_rules, sentencepiece_codec, toxicity
 from tidemark.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,47 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+def fold(of: int):
+    """Remainder of crc32(doc_id as text), by which rows are held out."""
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
+    done = toxicity.scored(docs.select("doc_id", (fold(5) == 0).alias("held_out"), "text"), model)
+    return done.select("doc_id", "held_out", F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels").where(fold(3) != 1))
+    done = quality_classifier.scored(docs.select("doc_id", (fold(3) == 1).alias("held_out"), "text"), model)
+    return done.select("doc_id", "held_out", F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii_spans", lambda x: x.kind.isin(*pii.BASE))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
+
+    def count(kind):
+        return F.size(F.filter("pii_spans", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.BASE]
+    return done.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("pii_spans").alias("spans"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = quality_rules.judged(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_sentencepiece": op3_sentencepiece}
+    return {f.__name__: f for f in (op3_sentencepiece, op4_toxicity, op8_quality_classifier, op9_pii, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
