@@ -8,12 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import pii, quality_classifier, quality_rules, sentencepiece_codec, toxicity
+from tidemark.llm import decontamination, pii, quality_classifier, quality_rules, sentencepiece_codec, toxicity, url_reputation
 from tidemark.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = decontamination.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return done.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.encode(F.array_join("items", ","), "utf-8"), 256).alias("items_sha256"), "contaminated")
+
+
+def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    done = url_reputation.judged(pages, url_reputation.labelled(pages, table(spark, sf_dir, "labels")))
+    return done.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece_codec.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
     done = sentencepiece_codec.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
@@ -60,8 +71,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_toxicity, op8_quality_classifier, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_reputation, op3_sentencepiece, op4_toxicity, op8_quality_classifier, op9_pii, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": decontamination.SQL, "op2_url_reputation": url_reputation.sql()}
