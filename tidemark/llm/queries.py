@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, jaccard_join, pii, quality_classifier, quality_rules, sentencepiece_codec, toxicity, url_reputation
+from tidemark.llm import decontamination, jaccard_join, license_scan, pii, quality_classifier, quality_rules, sentencepiece_codec, toxicity, url_reputation
 from tidemark.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
@@ -75,7 +79,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_reputation, op3_sentencepiece, op4_toxicity, op7_jaccard_join, op8_quality_classifier, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_reputation, op3_sentencepiece, op4_toxicity, op6_license_scan, op7_jaccard_join, op8_quality_classifier, op9_pii, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
