@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, jaccard_join, license_scan, pii, quality_classifier, quality_rules, sentencepiece_codec, toxicity, url_reputation
-from tidemark.llm.shared import table
+from tidemark.llm import decontamination, jaccard_join, license_scan, pii, quality_classifier, quality_rules, sentencepiece_codec, toxicity, url_reputation, warc
+from tidemark.llm.shared import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,20 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("record_id"), F.col("url").alias("target_uri"), F.encode("html", "utf-8").alias("payload"))
+    path = scratch(spark, "warc")
+    warc.archived(warc.with_revisits(pages, "page_id"), path)
+    back = warc.read(spark, path)
+
+    def number(record_id: str):
+        return F.expr(f"try_cast(nullif(substring({record_id}, {len('urn:page:') + 1}), '') AS BIGINT)")
+
+    # What a response holds is measured anew; a revisit has only what its headers say.
+    digest = F.when(F.col("record_type") == "response", F.sha1("payload")).otherwise(F.col("payload_digest"))
+    return back.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -78,9 +92,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: The same of `pages`, without archives.
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+d AS (SELECT *, sha1(html) AS digest FROM p),
+k AS (SELECT digest, max(page_id) AS kept FROM d WHERE n >= {warc.REVISIT_BYTES} GROUP BY digest HAVING count(*) > 1 AND max(page_id) IS NOT NULL)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN page_id IS DISTINCT FROM kept THEN kept END AS refers_to FROM d LEFT JOIN k USING (digest)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_reputation, op3_sentencepiece, op4_toxicity, op6_license_scan, op7_jaccard_join, op8_quality_classifier, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_reputation, op3_sentencepiece, op4_toxicity, op5_warc, op6_license_scan, op7_jaccard_join, op8_quality_classifier, op9_pii, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.SQL, "op2_url_reputation": url_reputation.sql()}
+    return {"op1_decontamination": decontamination.SQL, "op2_url_reputation": url_reputation.sql(), "op5_warc": WARC_SQL}
