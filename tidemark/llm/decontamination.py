@@ -17,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import lower_ascii, without
+from tidemark.llm.shared import lower_ascii, settled, without
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN, K = 10, 5
 BROADCAST_ROWS = 100_000
+#: Keys of texts (32 bytes each) that go to all tasks, at most; beyond it texts are shuffled.
+BROADCAST_KEYS = 500_000
 ADDED = ("n_words", "n_hit", "n_items", "items", "contaminated")
 
 
@@ -72,6 +74,18 @@ def _hits(docs: DataFrame, items: DataFrame, k: int, window: int) -> DataFrame:
     return same.select("key", "item", F.array_distinct(F.flatten(F.filter("same", lambda x: x.isNotNull()))).alias("at"))
 
 
+def _by_text(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str) -> DataFrame:
+    """(key, n_hit, items) of texts with a hit; key is the text's MD5."""
+    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
+    texts = docs.where(F.col(text).isNotNull()).select(F.md5(F.encode(text, "utf-8")).alias("key"), words(F.col(text)).alias("w"))
+    short = sorted(r[0] for r in items.where(F.size("w") < SPAN).select(F.least(F.size("w"), F.lit(K)).alias("k")).distinct().collect())  # 1 to K
+    hits = _hits(texts, items.where(F.size("w") >= SPAN), K, SPAN - K + 1)
+    for k in short:
+        hits = hits.union(_hits(texts, items.where((F.size("w") < SPAN) & (F.least(F.size("w"), F.lit(K)) == k)), k, 1))
+    by_text = hits.groupBy("key").agg(F.collect_set("at").alias("at"), F.collect_set(F.when(F.size("at") > 0, F.col("item"))).alias("items"))
+    return by_text.select("key", F.size(F.array_distinct(F.flatten("at"))).cast("long").alias("n_hit"), F.sort_array("items").alias("items"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with n_words, n_hit (words inside an occurrence of an item's window), n_items, items (ids as sorted strings) and
     contaminated (n_hit > 0).
@@ -81,19 +95,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     the added ones are replaced. Either table may be empty.
     """
     docs = without(docs, ADDED)
-    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
-    texts = docs.where(F.col(text).isNotNull()).select(F.md5(F.encode(text, "utf-8")).alias("key"), words(F.col(text)).alias("w"))
-    short = sorted(r[0] for r in items.where(F.size("w") < SPAN).select(F.least(F.size("w"), F.lit(K)).alias("k")).distinct().collect())  # 1 to K
-    hits = _hits(texts, items.where(F.size("w") >= SPAN), K, SPAN - K + 1)
-    for k in short:
-        hits = hits.union(_hits(texts, items.where((F.size("w") < SPAN) & (F.least(F.size("w"), F.lit(K)) == k)), k, 1))
-    by_text = hits.groupBy("key").agg(F.collect_set("at").alias("at"), F.collect_set(F.when(F.size("at") > 0, F.col("item"))).alias("items"))
-    by_text = by_text.select("key", F.size(F.array_distinct(F.flatten("at"))).cast("long").alias("n_hit"), F.sort_array("items").alias("items"))
+    by_text = _by_text(docs, benchmark, text, item_id, item_text)
     done = docs.withColumns({"__key": F.md5(F.encode(text, "utf-8")), "n_words": F.size(words(F.col(text))).cast("long")}).join(by_text.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
     done = done.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return done.withColumns({"n_items": F.size("items").cast("long"), "contaminated": F.col("n_hit") > 0})
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs less the contaminated rows. Texts aren't shuffled while at most BROADCAST_KEYS texts have a hit."""
+    hit = settled(_by_text(docs, benchmark, text, item_id, item_text).where("n_hit > 0").select("key"), "hit")
+    few = F.broadcast(hit) if hit.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else hit
+    return docs.join(few, F.md5(F.encode(docs[f"`{text}`"], "utf-8")) == few["key"], "left_anti")
+
+
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), []) AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),

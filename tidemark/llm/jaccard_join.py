@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.shared import dropped, grouped, settled, without
+from tidemark.llm.shared import dropped, grouped, settled
 
 #: N-grams that go to all tasks with their counts: 16 bytes each.
 FREQUENT = 200_000
@@ -45,6 +45,8 @@ BLOCK = 500
 FILTER_BITS = 1 << 24
 REMEMBERED = 400_000
 RANGES = 16
+#: Keys of rows that go to all tasks, at most; beyond it rows are shuffled.
+BROADCAST_KEYS = 500_000
 
 
 class Shingler:
@@ -83,8 +85,8 @@ def least_common(n, num: int, den: int):
 
 
 def _profiles(df: DataFrame, n: int) -> DataFrame:
-    """df: key, text. A row (key, node, n) for each row, and rows (gram, count) of n-grams frequent in a task."""
-    schema = T.StructType([df.schema.fields[0], T.StructField("node", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("gram", T.LongType()), T.StructField("count", T.LongType())])
+    """df: key, digest, text. A row (key, digest, node, n) for each row, and rows (gram, count) of n-grams frequent in a task."""
+    schema = T.StructType([*df.schema.fields[:2], T.StructField("node", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("gram", T.LongType()), T.StructField("count", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
@@ -95,13 +97,13 @@ def _profiles(df: DataFrame, n: int) -> DataFrame:
             grams, counts = np.unique(np.concatenate(held), return_counts=True)
             few = counts >= max(LOCAL_LEAST, nodes * LOCAL_SHARE)
             m = int(few.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.array(grams[few].view(np.int64)), pa.array(counts[few].astype(np.int64))], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.array(grams[few].view(np.int64)), pa.array(counts[few].astype(np.int64))], names=schema.names)
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for part in grouped(batch, 1):
+            for part in grouped(batch, 2):
                 names, sizes = [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     grams = shingle(text)
                     name = node_name(grams) if len(grams) else None
                     names.append(name)
@@ -111,7 +113,7 @@ def _profiles(df: DataFrame, n: int) -> DataFrame:
                         held.append(grams)
                         size, nodes = size + len(grams), nodes + 1
                 m = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=schema.names)
                 if size >= COUNTED:
                     yield frequent()
                     seen, held, size, nodes = set(), [], 0, 0
@@ -242,18 +244,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(key, n_shingles, component): a row for each row of docs. Two texts link when den * common >= num * union of their
-    distinct word n-grams; component is the least key that links lead to, the row's own included.
-
-    Null and empty texts have no n-grams and link with nothing: their component is their own key. Rows with a null key take
-    part, and never give a component its name. Repeated rows each come out. An empty table gives an empty result.
-    """
+def placed_rows(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
+    """(key, digest, n, root) of each row: the MD5 of its text, its n-grams, and its component's name (null without n-grams)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).alias("key"), F.md5(F.encode(text, "utf-8")).alias("digest"), F.col(text).alias("text"))
     texts = docs.select("text")
     profiles = settled(_profiles(docs, n), "profiles")
-    rows = profiles.where("gram IS NULL").select("key", "node", "n")
+    rows = profiles.where("gram IS NULL").select("key", "digest", "node", "n")
     counts = profiles.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "gram").limit(FREQUENT)
     found = counts.toArrow()  # FREQUENT rows at most
     grams, times = found.column("gram").to_numpy().view(np.uint64), found.column("count").to_numpy()
@@ -290,16 +287,40 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
     for t in (entries, nodes, placed, more):
         dropped(spark, t)
 
-    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.join(roots, "node", "left").select("key", "digest", "n", F.coalesce("root", "node").alias("root"))
+
+
+def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """(key, n_shingles, component): a row for each row of docs. Two texts link when den * common >= num * union of their
+    distinct word n-grams; component is the least key that links lead to, the row's own included.
+
+    Null and empty texts have no n-grams and link with nothing: their component is their own key. Rows with a null key take
+    part, and never give a component its name. Repeated rows each come out. An empty table gives an empty result.
+    """
+    rows = placed_rows(docs, key, text, n, num, den)
     names = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("key").alias("component"))
     done = rows.join(names, "root", "left")
     return done.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs, with one row of each component: that with the least key. Rows with a null key stay only where no row of their
-    component has a key (then all of them); rows that repeat the least key are all kept but for copies of the whole row."""
-    found = linked(docs, key, text, n, num, den)
-    stay = found.groupBy("component").agg(F.min(key).alias("__stay")).where("__stay IS NOT NULL").select("__stay").distinct()
-    named = docs.join(stay, docs[f"`{key}`"] == stay["__stay"], "left_semi")
-    return named
+    """docs, with one row of each component: the one with the least key (a null key comes last, then the digest of the text
+    decides). Rows without n-grams all stay; of repeated rows, one. Texts aren't shuffled while the keys of rows that go, and
+    of rows that are repeated, number at most BROADCAST_KEYS."""
+    rows = settled(placed_rows(docs, key, text, n, num, den), "rows")
+    rank = F.struct(F.col("key").isNull().alias("k"), "key", "digest")
+    best = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(rank).alias("best"))
+    each = rows.where("root IS NOT NULL").join(best, "root").withColumn("stays", rank == F.col("best"))
+    each = settled(each.groupBy("key", "digest", "stays").agg(F.count(F.lit(1)).alias("c")).where("NOT stays OR c > 1"), "goes")
+    few = F.broadcast if each.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else (lambda x: x)
+    again = each.where("stays").select("key", "digest")
+    own = [docs[f"`{key}`"], F.md5(F.encode(docs[f"`{text}`"], "utf-8"))]
+
+    def met(t: DataFrame):
+        return own[0].eqNullSafe(t["key"]) & (own[1] == t["digest"])
+
+    either = each.select("key", "digest")
+    left = docs.join(few(either), met(either), "left_anti")
+    if again.limit(1).count():
+        left = left.union(docs.join(few(again), met(again), "left_semi").dropDuplicates([key, text]))
+    return left
