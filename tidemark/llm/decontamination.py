@@ -86,6 +86,13 @@ def _by_text(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, ite
     return by_text.select("key", F.size(F.array_distinct(F.flatten("at"))).cast("long").alias("n_hit"), F.sort_array("items").alias("items"))
 
 
+def _hit_texts(*args) -> DataFrame:
+    """The texts with a hit, written out: sent to all tasks while there are at most BROADCAST_KEYS, so that no copies of one
+    text meet in a task; beyond it the engine can split the rows of a text."""
+    hit = settled(_by_text(*args).where("n_hit > 0"), "hit")
+    return F.broadcast(hit) if hit.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else hit
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with n_words, n_hit (words inside an occurrence of an item's window), n_items, items (ids as sorted strings) and
     contaminated (n_hit > 0).
@@ -95,7 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     the added ones are replaced. Either table may be empty.
     """
     docs = without(docs, ADDED)
-    by_text = _by_text(docs, benchmark, text, item_id, item_text)
+    by_text = _hit_texts(docs, benchmark, text, item_id, item_text)
     done = docs.withColumns({"__key": F.md5(F.encode(text, "utf-8")), "n_words": F.size(words(F.col(text))).cast("long")}).join(by_text.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
     done = done.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return done.withColumns({"n_items": F.size("items").cast("long"), "contaminated": F.col("n_hit") > 0})
@@ -103,8 +110,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs less the contaminated rows. Texts aren't shuffled while at most BROADCAST_KEYS texts have a hit."""
-    hit = settled(_by_text(docs, benchmark, text, item_id, item_text).where("n_hit > 0").select("key"), "hit")
-    few = F.broadcast(hit) if hit.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else hit
+    few = _hit_texts(docs, benchmark, text, item_id, item_text).select("key")
     return docs.join(few, F.md5(F.encode(docs[f"`{text}`"], "utf-8")) == few["key"], "left_anti")
 
 
