@@ -7,10 +7,10 @@ by the suffix filter (how many n-grams fall into each of sixteen ranges of hashe
 is verified once per pair on whole sets.
 
 Only the components matter, so not every pair of a large group is made. First each node of a prefix n-gram is paired with
-the next one and with the first one, which joins most of what is similar; n-grams that very many nodes have are dealt out
-to salted blocks, whose first nodes are paired in turn. Then every pair that passes the filters and whose nodes are still
-in different components is made and verified. So no link between components is missed, and a group of near copies costs
-its size, not its square.
+the first one, which joins most of what is similar; n-grams that very many nodes have are dealt out to salted blocks, whose
+first nodes are paired in turn. Then neighbours in a block that are in different components are paired, and last every
+pair that passes the filters and whose nodes are still in different components. So no link between components is missed,
+and a group of near copies costs its size, not its square.
 
 Rare-first order: counts come from all texts. Each task reports the n-grams that are frequent among its own; the sums of
 the `FREQUENT` most frequent ones come last in the order, by their sum, and the rest first, by hash. The order decides how
@@ -27,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,38 +40,117 @@ FREQUENT = 200_000
 COUNTED, LOCAL_SHARE, LOCAL_LEAST = 4_000_000, 1 / 500, 4
 #: Nodes in a block of a very frequent n-gram, on average.
 BLOCK = 500
+#: Rounds of pairs of neighbours before all remaining pairs are made.
+NEIGHBOUR_ROUNDS = 2
 #: Bits of the filter that says which nodes' sets a pass over the texts has to return. It may say yes too often.
 FILTER_BITS = 1 << 24
-REMEMBERED = 400_000
 RANGES = 16
+#: Names of nodes that a task remembers so as not to repeat them.
+REMEMBERED = 400_000
+#: Bytes of text whose words are hashed at a time, one text at least.
+GROUP = 2_000_000
 #: Keys of rows that go to all tasks, at most; beyond it rows are shuffled.
 BROADCAST_KEYS = 500_000
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 class Shingler:
-    """The sorted hashes of a text's distinct word n-grams. A text of fewer words has one, of all its words; one of none has none."""
+    """The sorted hashes of texts' distinct word n-grams, from the bytes of an Arrow column, without a Python object a word.
+
+    A text of fewer words has one n-gram, of all its words; one without words has none. Words are split at ASCII white space
+    and A-Z count as a-z. A word's hash is a polynomial over random values of its bytes, taken from a running sum; a text's
+    bytes are worked on in blocks that end between words, so a very long text takes no more memory for it than its words' hashes.
+    """
+
+    BLOCK, BASE = 1 << 20, 0x9E3779B97F4A7C15 | 1
 
     def __init__(self, n: int):
-        self.n, self.known = n, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # of bytes: A-Z and ASCII white space only
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        try:
-            ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words).difference(known))
-            ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        size = min(self.n, len(words))
-        h = np.full(len(words) - size + 1, size, np.uint64)
-        for j in range(size):
-            h = (h ^ ids[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return np.unique((h * np.uint64(0xBF58476D1CE4E5B9)) ^ (h >> np.uint64(32)))
+        self.n = n
+        letters = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        letters[65:91] = letters[97:123]
+        self.letters, self.white = letters, np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+        self.up = _powers(self.BASE, self.BLOCK + 1)
+        self.down = _powers(pow(self.BASE, -1, 1 << 64), self.BLOCK + 1)
+
+    def _grow(self, n: int) -> None:
+        if n >= len(self.up):
+            self.up, self.down = _powers(self.BASE, 2 * n), _powers(pow(self.BASE, -1, 1 << 64), 2 * n)
+
+    def words(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words and where each begins. starts: offsets of texts, at which a word ends too."""
+        hashes, places = [], []
+        at = 0
+        while at < len(data):
+            end = min(at + self.BLOCK, len(data))
+            if end < len(data):
+                cut = np.flatnonzero(self.white[data[at:end]])
+                texts = starts[np.searchsorted(starts, at, "right") : np.searchsorted(starts, end, "right")]
+                last = max(cut[-1] + 1 + at if len(cut) else at, texts[-1] if len(texts) else at)
+                while last == at and end < len(data):  # one word is longer than a block
+                    more = min(end + self.BLOCK, len(data))
+                    cut = np.flatnonzero(self.white[data[end:more]])
+                    texts = starts[np.searchsorted(starts, end, "left") : np.searchsorted(starts, more, "right")]
+                    found = [c for c in ([cut[0] + 1 + end] if len(cut) else []) + ([texts[0]] if len(texts) else [])]
+                    last = min(found) if found else at
+                    end = more
+                end = last if last > at else end
+            part = data[at:end]
+            self._grow(len(part))
+            inside = ~self.white[part]
+            first = inside.copy()
+            first[1:] &= ~inside[:-1]
+            edges = starts[np.searchsorted(starts, at, "left") : np.searchsorted(starts, end, "left")] - at
+            first[edges[inside[edges]]] = True
+            begin = np.flatnonzero(first)
+            if len(begin):
+                stop = inside.copy()
+                stop[:-1] &= ~inside[1:]
+                before = edges[(edges > 0)] - 1
+                stop[before[inside[before]]] = True
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(np.where(inside, self.letters[part] * self.up[: len(part)], np.uint64(0)), out=sums[1:])
+                h = (sums[np.flatnonzero(stop) + 1] - sums[begin]) * self.down[begin]
+                h ^= h >> np.uint64(31)
+                h *= np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(29)
+                hashes.append(h)
+                places.append(begin + at)
+            at = end
+        empty = np.empty(0, np.uint64)
+        return np.concatenate(hashes or [empty]), np.concatenate(places or [np.empty(0, np.int64)])
+
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        column = column.cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        whole = column.buffers()[2]
+        data = np.frombuffer(whole, np.uint8)[offsets[0] : offsets[-1]] if whole is not None and offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+        offsets = offsets - offsets[0]
+        ids, places = self.words(data, np.unique(offsets[:-1]))
+        edges = np.searchsorted(places, offsets, "left")  # first word of each text
+
+        def grams(first: np.ndarray | slice, size: int, m: int) -> np.ndarray:
+            h = np.full(m, size, np.uint64)
+            for j in range(size):
+                h = (h ^ (ids[j : j + m] if isinstance(first, slice) else ids[first + j])) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            return (h * np.uint64(0xBF58476D1CE4E5B9)) ^ (h >> np.uint64(32))
+
+        m = max(0, len(ids) - self.n + 1)
+        full = grams(slice(0, m), self.n, m)
+        out = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if b - a >= self.n:
+                h = np.sort(full[a : b - self.n + 1])
+                new = h[1:] != h[:-1]
+                out.append(h if new.all() else h[np.append(True, new)])
+            else:
+                out.append(grams(np.array([a]), b - a, 1) if b > a else full[:0])
+        return out
 
 
 def node_name(grams: np.ndarray) -> bytes:
@@ -101,10 +179,9 @@ def _profiles(df: DataFrame, n: int) -> DataFrame:
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for part in grouped(batch, 2):
+            for part in grouped(batch, 2, GROUP):
                 names, sizes = [], []
-                for text in part.column(2).to_pylist():
-                    grams = shingle(text)
+                for grams in shingle(part.column(2)):
                     name = node_name(grams) if len(grams) else None
                     names.append(name)
                     sizes.append(len(grams))
@@ -133,10 +210,9 @@ def _prefixes(df: DataFrame, n: int, num: int, den: int, order: tuple) -> DataFr
         shingle, seen = Shingler(n), set()
         common, rank = (np.frombuffer(b, t) for b, t in zip(shared.value, (np.uint64, np.int64), strict=True))
         for batch in batches:
-            for part in grouped(batch, 0):
+            for part in grouped(batch, 0, GROUP):
                 rows: list[tuple] = []
-                for text in part.column(0).to_pylist():
-                    grams = shingle(text)
+                for grams in shingle(part.column(0)):
                     if not len(grams) or (name := node_name(grams)) in seen:
                         continue
                     seen.add(name)
@@ -156,13 +232,31 @@ def _prefixes(df: DataFrame, n: int, num: int, den: int, order: tuple) -> DataFr
     return df.mapInArrow(run, schema).dropDuplicates(["node"])
 
 
-def _bits(names: list[bytes]) -> np.ndarray:
-    """Two places in the filter for each node."""
-    return (np.frombuffer(b"".join(names), "<u4").reshape(-1, 4)[:, :2] % FILTER_BITS).astype(np.int64)
+def _bits(digests: list[str]) -> np.ndarray:
+    """Two places in the filter for each MD5."""
+    return (np.frombuffer(bytes.fromhex("".join(digests)), "<u4").reshape(-1, 4)[:, :2] % FILTER_BITS).astype(np.int64)
+
+
+def packed(grams: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash, in order."""
+    return np.ascontiguousarray(grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def common(a: bytes, b: bytes) -> int:
+    """How many hashes two packed sets share. (For two hashes of two sets to agree by chance in 40 bits takes about 10^6 words.)"""
+    def values(x: bytes) -> np.ndarray:
+        wide = np.zeros((len(x) // 5, 8), np.uint8)
+        wide[:, 3:] = np.frombuffer(x, np.uint8).reshape(-1, 5)
+        return wide.view(">u8").ravel().astype(np.uint64)
+
+    x, y = values(a), values(b)
+    both = np.sort(np.concatenate([x, y]))
+    return int((both[1:] == both[:-1]).sum() - (x[1:] == x[:-1]).sum() - (y[1:] == y[:-1]).sum())
 
 
 def _sets(df: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """(node, grams) of nodes in `wanted`, made from the texts again; a filter of fixed size goes out with the tasks."""
+    """(node, grams) of wanted nodes, from the texts again. wanted: node, digest: the MD5 of one text of the node's. df: text. A
+    filter of fixed size goes out with the tasks: only texts in it are hashed, and only wanted ones are kept."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +266,7 @@ def _sets(df: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
                 bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)), start)
                 yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
-    made = wanted.select("node").mapInArrow(places, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
+    made = wanted.select("digest").mapInArrow(places, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
     words = np.zeros(FILTER_BITS >> 6, np.uint64)
     words[made.column("word").to_numpy()] = made.column("bits").to_numpy().view(np.uint64)
     shared = df.sparkSession.sparkContext.broadcast(words.tobytes())
@@ -181,23 +275,21 @@ def _sets(df: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
         gc.disable()
         shingle, asked, seen = Shingler(n), np.frombuffer(shared.value, np.uint64), set()
         for batch in batches:
-            for part in grouped(batch, 0):
-                names, sets = [], []
-                for text in part.column(0).to_pylist():
-                    grams = shingle(text)
-                    if not len(grams) or (name := node_name(grams)) in seen:
-                        continue
-                    at = _bits([name])[0]
-                    if ((asked[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all():
-                        seen.add(name)
-                        names.append(name)
-                        sets.append(grams.view(np.int64))
+            if not batch.num_rows:
+                continue
+            at = _bits(batch.column(1).to_pylist())
+            hit = ((asked[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1)
+            for part in grouped(batch.filter(pa.array(hit)), 0, GROUP):
+                new = [(node_name(g), g) for g in shingle(part.column(0)) if len(g)]
+                new = [(k, g) for k, g in new if k not in seen]
+                seen.update(k for k, _ in new)
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in new], pa.binary()), pa.array([packed(g) for _, g in new], pa.binary())], names=["node", "grams"])
 
-    made = df.mapInArrow(run, "node binary, grams array<bigint>")
-    return settled(made.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    texts = df.where(F.col("text").isNotNull()).select("text", F.md5(F.encode("text", "utf-8")).alias("digest"))
+    made = texts.mapInArrow(run, "node binary, grams binary")
+    return settled(made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
 def _possible(a_n: Column, b_n: Column, a_pos: Column, b_pos: Column, num: int, den: int) -> Column:
@@ -207,18 +299,26 @@ def _possible(a_n: Column, b_n: Column, a_pos: Column, b_pos: Column, num: int,
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """pairs: distinct (a, b). The suffix filter, then whole sets: (a, b, linked) of the pairs that pass it."""
-    small = nodes.select("node", "n", "ranges")
-    named = pairs.join(small.toDF("a", "an", "ar"), "a").join(small.toDF("b", "bn", "br"), "b")
+    """pairs: distinct (a, b). The suffix filter, then whole sets: (a, b, linked) of all of them."""
+    small = nodes.select("node", "n", "ranges", "digest")
+    named = pairs.join(small.toDF("a", "an", "ar", "ad"), "a").join(small.toDF("b", "bn", "br", "bd"), "b")
     apart = F.aggregate(F.zip_with("ar", "br", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    named = settled(named.where((num + den) * (F.col("an") + F.col("bn") - apart) >= 2 * num * (F.col("an") + F.col("bn"))).select("a", "b", "an", "bn"), "pairs")
-    wanted = named.select(F.col("a").alias("node")).union(named.select("b")).distinct()
+    named = settled(named.select("a", "b", "an", "bn", "ad", "bd", ((num + den) * (F.col("an") + F.col("bn") - apart) >= 2 * num * (F.col("an") + F.col("bn"))).alias("may")), "pairs")
+    near = named.where("may")
+    wanted = near.select(F.col("a").alias("node"), F.col("ad").alias("digest")).union(near.select("b", "bd")).groupBy("node").agg(F.min("digest").alias("digest"))
     sets = _sets(docs, n, wanted)
-    both = named.join(sets.toDF("a", "ag"), "a").join(sets.toDF("b", "bg"), "b")
-    common = F.size(F.array_intersect("ag", "bg"))
-    done = settled(both.select("a", "b", (den * common >= num * (F.col("an") + F.col("bn") - common)).alias("linked")), "links")
-    dropped(docs.sparkSession, sets)
-    dropped(docs.sparkSession, named)
+    both = near.select("a", "b", "an", "bn").join(sets.toDF("b", "bg"), "b").join(sets.toDF("a", "ag"), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, an, bn, ag, bg = batch.columns
+            yes = [den * (c := common(x, y)) >= num * (p + q - c) for x, y, p, q in zip((x.as_py() for x in ag), (x.as_py() for x in bg), an.to_pylist(), bn.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(yes, pa.bool_())], names=["a", "b", "linked"])
+
+    said = both.select("a", "b", "an", "bn", "ag", "bg").mapInArrow(run, "a binary, b binary, linked boolean")
+    done = settled(said.union(named.where("NOT may").select("a", "b", F.lit(False))), "links")
+    for t in (sets, named):
+        dropped(docs.sparkSession, t)
     return done
 
 
@@ -260,33 +360,59 @@ def placed_rows(docs: DataFrame, key: str, text: str, n: int, num: int, den: int
     blocks_of = spark.createDataFrame([(int(g), int(c) // BLOCK + 1) for g, c in zip(grams.view(np.int64), times, strict=True) if c > 2 * BLOCK], "gram long, dealt int")
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "gram")).join(F.broadcast(blocks_of), "gram", "left").withColumn("dealt", F.coalesce("dealt", F.lit(1)))  # of FREQUENT
     entries = entries.withColumn("salt", F.when(F.col("dealt") > 1, F.pmod(F.xxhash64("node"), F.col("dealt"))).otherwise(F.lit(0)))
-    block = Window.partitionBy("gram", "salt")
-    ordered = block.orderBy("n", "node")
+    entries = entries.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("gram", "salt"))).where("held > 1 OR dealt > 1").drop("held")
+    entries = settled(entries, "entries")
+    small = settled(nodes.select("node", "n", "ranges").join(rows.groupBy("node").agg(F.min("digest").alias("digest")), "node"), "small")
+    dropped(spark, nodes)
+
+    def pairs_of(df: DataFrame) -> DataFrame:
+        """df: node, n, pos, other. Distinct pairs that pass the filters."""
+        near = df.where("other IS NOT NULL").where(_possible(F.col("n"), F.col("other.n"), F.col("pos"), F.col("other.pos"), num, den))
+        return near.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).where("a <> b").distinct()
+
+    # Each node of a block with the block's first, and first nodes of the blocks of one n-gram with each other.
     one = F.struct("node", "n", "pos")
-    entries = entries.withColumns({"held": F.count(F.lit(1)).over(block), "last": F.lag(one).over(ordered), "first": F.first(one).over(ordered)}).where("held > 1 OR dealt > 1")
-    entries = settled(entries.select("gram", "dealt", "node", "n", "pos", "last", F.when(F.col("first.node") != F.col("node"), F.col("first")).alias("first")), "entries")
-
-    heads = entries.where("dealt > 1 AND last IS NULL").select("node", "n", "pos", F.lag(one).over(Window.partitionBy("gram").orderBy("n", "node")).alias("other"))
-    near = entries.where("last IS NOT NULL").select("node", "n", "pos", F.explode(F.array("last", "first")).alias("other")).union(heads).where("other IS NOT NULL")
-    near = near.where(_possible(F.col("n"), F.col("other.n"), F.col("pos"), F.col("other.pos"), num, den))
-    pairs = near.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).where("a <> b").distinct()
-    tested = _verified(pairs, nodes, texts, n, num, den)
+    ordered = Window.partitionBy("gram", "salt").orderBy("n", "node")
+    headed = entries.withColumn("other", F.first(one).over(ordered))
+    heads = entries.where("dealt > 1").groupBy("gram", "salt").agg(F.min(F.struct("n", "node", "pos")).alias("h")).select("gram", "h.node", "h.n", "h.pos")
+    heads = heads.withColumn("other", F.lag(one).over(Window.partitionBy("gram").orderBy("n", "node")))
+    tested = _verified(pairs_of(headed.select("node", "n", "pos", "other").union(heads.select("node", "n", "pos", "other"))), small, texts, n, num, den)
     roots = components(tested.where("linked"))
 
-    # What still may join two components: the n-grams whose nodes are in more than one.
-    placed = entries.select("gram", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gram")
-    placed = settled(placed.join(mixed, "gram", "left_semi"), "placed")
-    left, right = placed.alias("x"), placed.alias("y")
-    met = left.join(right, F.col("x.gram") == F.col("y.gram")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), num, den))
-    more = settled(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        again = _verified(more, nodes, texts, n, num, den)
+    def still_mixed() -> DataFrame:
+        """Entries of n-grams whose nodes are in more than one component, with their component."""
+        placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = placed.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gram")
+        return settled(placed.join(mixed, "gram", "left_semi"), "mixed")
+
+    def more_of(pairs: DataFrame) -> bool:
+        """Verify pairs that weren't yet; True if there were any."""
+        nonlocal tested, roots
+        new = settled(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more")
+        if not new.limit(1).count():
+            return False
+        again = _verified(new, small, texts, n, num, den)
+        before, tested = tested, settled(tested.union(again), "tested")
         if again.where("linked").limit(1).count():
-            roots = components(tested.where("linked").union(again.where("linked")))
-    for t in (entries, nodes, placed, more):
-        dropped(spark, t)
+            roots = components(tested.where("linked"))
+        for t in (new, again, before):
+            dropped(spark, t)
+        return True
+
+    # Neighbours in a block that are in different components: as many pairs as there are entries.
+    for _ in range(NEIGHBOUR_ROUNDS):
+        mixed = still_mixed()
+        own = F.struct("node", "n", "pos", "root")
+        beside = mixed.withColumn("last", F.lag(own).over(ordered)).where("last.root <> root").withColumn("other", F.struct("last.node", "last.n", "last.pos"))
+        if not more_of(pairs_of(beside.select("node", "n", "pos", "other"))):
+            break
 
+    # All that may still join two components.
+    mixed = still_mixed()
+    x, y = mixed.alias("x"), mixed.alias("y")
+    met = x.join(y, F.col("x.gram") == F.col("y.gram")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), num, den))
+    more_of(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    dropped(spark, entries)
     return rows.join(roots, "node", "left").select("key", "digest", "n", F.coalesce("root", "node").alias("root"))
 
 
