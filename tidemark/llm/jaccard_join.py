@@ -3,7 +3,7 @@
 Texts with equal sets of n-grams are one node. Nodes are joined by rare-first prefix filtering: a node's n-grams are put
 in one global order, rare ones first, and two nodes that are similar enough share one of the first few (the prefix). Of a
 prefix n-gram's nodes, pairs are left out by length, by the place of the n-gram (what can still follow on both sides) and
-by the suffix filter (how many n-grams fall into each of sixteen ranges of hashes bounds how many can agree). What is left
+by the suffix filter (how many n-grams fall into each of RANGES ranges of hashes bounds how many can agree). What is left
 is verified once per pair on whole sets.
 
 Only the components matter, so not every pair of a large group is made. First each node of a prefix n-gram is paired with
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.shared import dropped, grouped, settled
+from tidemark.llm.shared import dropped, freed, grouped, settled
 
 #: N-grams that go to all tasks with their counts: 16 bytes each.
 FREQUENT = 200_000
@@ -44,7 +44,7 @@ BLOCK = 500
 NEIGHBOUR_ROUNDS = 2
 #: Bits of the filter that says which nodes' sets a pass over the texts has to return. It may say yes too often.
 FILTER_BITS = 1 << 24
-RANGES = 16
+RANGES = 256
 #: Names of nodes that a task remembers so as not to repeat them.
 REMEMBERED = 400_000
 #: Bytes of text whose words are hashed at a time, one text at least.
@@ -203,7 +203,7 @@ def _profiles(df: DataFrame, n: int) -> DataFrame:
 def _prefixes(df: DataFrame, n: int, num: int, den: int, order: tuple) -> DataFrame:
     """df: text. (node, n, ranges, prefix) of each distinct node; prefix: the first n-grams in the global order."""
     shared = df.sparkSession.sparkContext.broadcast(order)
-    schema = "node binary, n int, ranges array<int>, prefix array<bigint>"
+    schema = "node binary, n int, ranges binary, prefix array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
@@ -224,10 +224,10 @@ def _prefixes(df: DataFrame, n: int, num: int, den: int, order: tuple) -> DataFr
                         chosen = grams[np.argsort(place, kind="stable")[:first]]
                     else:
                         chosen = grams[:first]
-                    rows.append((name, m, np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=RANGES).astype(np.int32), chosen.view(np.int64)))
+                    rows.append((name, m, np.minimum(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes(), chosen.view(np.int64)))
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["node", "n", "ranges", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["node", "n", "ranges", "prefix"])
 
     return df.mapInArrow(run, schema).dropDuplicates(["node"])
 
@@ -289,7 +289,9 @@ def _sets(df: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
 
     texts = df.where(F.col("text").isNotNull()).select("text", F.md5(F.encode("text", "utf-8")).alias("digest"))
     made = texts.mapInArrow(run, "node binary, grams binary")
-    return settled(made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = settled(made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    freed(df.sparkSession)
+    return sets
 
 
 def _possible(a_n: Column, b_n: Column, a_pos: Column, b_pos: Column, num: int, den: int) -> Column:
@@ -302,8 +304,18 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num:
     """pairs: distinct (a, b). The suffix filter, then whole sets: (a, b, linked) of all of them."""
     small = nodes.select("node", "n", "ranges", "digest")
     named = pairs.join(small.toDF("a", "an", "ar", "ad"), "a").join(small.toDF("b", "bn", "br", "bd"), "b")
-    apart = F.aggregate(F.zip_with("ar", "br", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    named = settled(named.select("a", "b", "an", "bn", "ad", "bd", ((num + den) * (F.col("an") + F.col("bn") - apart) >= 2 * num * (F.col("an") + F.col("bn"))).alias("may")), "pairs")
+
+    def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The n-grams that two nodes don't share are at least as many as their counts by range differ (counts end at 255)."""
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int64) for c in ("ar", "br"))
+                both = batch.column("an").to_numpy().astype(np.int64) + batch.column("bn").to_numpy()
+                may = (num + den) * (both - np.abs(x - y).sum(1)) >= 2 * num * both
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "an", "bn", "ad", "bd")), pa.array(may)], names=["a", "b", "an", "bn", "ad", "bd", "may"])
+
+    named = named.select("a", "b", "an", "bn", "ad", "bd", "ar", "br").mapInArrow(suffix, "a binary, b binary, an int, bn int, ad string, bd string, may boolean")
+    named = settled(named, "pairs")
     near = named.where("may")
     wanted = near.select(F.col("a").alias("node"), F.col("ad").alias("digest")).union(near.select("b", "bd")).groupBy("node").agg(F.min("digest").alias("digest"))
     sets = _sets(docs, n, wanted)
@@ -319,6 +331,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num:
     done = settled(said.union(named.where("NOT may").select("a", "b", F.lit(False))), "links")
     for t in (sets, named):
         dropped(docs.sparkSession, t)
+    freed(docs.sparkSession)
     return done
 
 
@@ -364,6 +377,7 @@ def placed_rows(docs: DataFrame, key: str, text: str, n: int, num: int, den: int
     entries = settled(entries, "entries")
     small = settled(nodes.select("node", "n", "ranges").join(rows.groupBy("node").agg(F.min("digest").alias("digest")), "node"), "small")
     dropped(spark, nodes)
+    freed(spark)
 
     def pairs_of(df: DataFrame) -> DataFrame:
         """df: node, n, pos, other. Distinct pairs that pass the filters."""

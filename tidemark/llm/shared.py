@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -60,6 +62,14 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Have shuffle files of finished jobs deleted now. Spark does so when the driver's garbage collector finds that nothing refers
+    to them, which on an idle driver may be never."""
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(0.3)
+
+
 def grouped(batch: pa.RecordBatch, at: int, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes of text in column `at` each, one row at least: long texts don't add up."""
     first, held = 0, 0
