@@ -137,7 +137,6 @@ def timecode_edges(clips: DataFrame, matched: DataFrame, rejected_pairs: DataFra
         met = met.join(no, (F.col("low") == F.col("nl")) & (F.col("high") == F.col("nh")) & (F.abs(F.col("shift") - F.col("no")) <= S.REJECTED_RADIUS), "left_anti")
     met = met.withColumn("shared", overlap(F.col("l_start"), F.col("l_end"), F.col("r_start"), F.col("r_end")))
     rank = F.row_number().over(Window.partitionBy("l_id").orderBy(F.desc("r_is_anchor"), F.desc("shared"), "r_position"))
-    # Any pair is taken by one of its two clips at most, so a clip needs its first choice beyond those that may be taken before it.
     ranked = met.withColumn("rank", rank)
     first = ranked.where("rank = 1 OR NOT r_is_anchor")
 
@@ -151,7 +150,7 @@ def timecode_edges(clips: DataFrame, matched: DataFrame, rejected_pairs: DataFra
                     break
         return pd.DataFrame(out, columns=["l_id", "r_id"])
 
-    chosen = _folded(first.select("l_id", "r_id", "l_position", "low", "high", "rank"), fold)
+    chosen = _folded(first.select("l_id", "r_id", "l_position", "low", "high", "rank", "r_is_anchor"), fold)
     both = ranked.join(chosen, ["l_id", "r_id"])
     left_is_r = F.col("r_is_anchor") | (F.col("r_id") < F.col("l_id"))
 
@@ -167,18 +166,20 @@ def timecode_edges(clips: DataFrame, matched: DataFrame, rejected_pairs: DataFra
 
 
 def _folded(groups: DataFrame, fold) -> DataFrame:
-    """Clips whose only rank is 1 need no fold: their choice can't have been taken unless both chose each other, and then the one
-    that comes later goes on to its next. Only those mutual ones, with their further ranks, are folded, by component."""
+    """The choices (l_id, r_id) of all clips. One that a placed clip overlaps takes the first of those, which nobody takes from it.
+    The others, which only have clips like themselves and such as have better, may find their pair taken; who takes it depends on
+    the order in which such clips follow one another, so they are folded, one group of them that overlaps link at a time."""
     from tidemark.operators.graph import components
 
     top = groups.where("rank = 1")
-    a, b = top.alias("a"), top.alias("b")
-    mutual = a.join(b, (F.col("a.l_id") == F.col("b.r_id")) & (F.col("a.r_id") == F.col("b.l_id"))).select(F.col("a.l_id").alias("l_id"))
-    plain = top.join(mutual, "l_id", "left_anti").select("l_id", "r_id")
-    rest = groups.join(mutual, "l_id", "left_semi")
-    roots = components(rest.select(F.col("low").alias("a"), F.col("high").alias("b")))
-    folded = rest.join(roots.select(F.col("node").alias("l_id"), "root"), "l_id").groupBy("root").applyInPandas(lambda pdf: fold(pdf), "l_id bigint, r_id bigint")
-    return plain.union(folded)
+    settled_ = top.where("r_is_anchor").select("l_id", "r_id")
+    free = top.where("NOT r_is_anchor").select("l_id")
+    rest = groups.join(free, "l_id", "left_semi")
+    both = rest.join(free.select(F.col("l_id").alias("r_id")), "r_id", "left_semi")
+    roots = components(both.select(F.col("low").alias("a"), F.col("high").alias("b")))
+    named = rest.join(roots.select(F.col("node").alias("l_id"), "root"), "l_id", "left").withColumn("root", F.coalesce("root", "l_id"))
+    kind = dict(groups.dtypes)["l_id"]
+    return settled_.union(named.groupBy("root").applyInPandas(lambda pdf: fold(pdf), f"l_id {kind}, r_id {kind}"))
 
 
 def disjoint(left: DataFrame, right: DataFrame, width, tolerance: float = 1e-6) -> bool:

@@ -585,8 +585,8 @@ def resolved_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT o_custkey AS clip, o_orderkey % 6 AS t, (o_custkey * 10 + o_orderkey % 9) - (o_orderkey % 100) * 1.0 AS d FROM orders), m AS (SELECT printf('imported-audio-%06d', t) AS track, quantile_cont(d, 0.5) AS median FROM e GROUP BY t),
-a AS (SELECT quantile_cont(median, 0.5) AS anchor FROM m WHERE track IN ('imported-audio-000001', 'imported-audio-000002')) SELECT track, CASE WHEN track IN ('imported-audio-000001', 'imported-audio-000002') THEN 0 ELSE round(median - anchor, 6) END AS shift FROM m, a"""
+    """WITH e AS (SELECT o_custkey AS clip, o_orderkey % 6 AS t, CAST(o_custkey * 10 + o_orderkey % 9 - o_orderkey % 100 AS DOUBLE) AS d FROM orders), m AS (SELECT printf('imported-audio-%06d', t) AS track, quantile_cont(d, 0.5) AS median FROM e GROUP BY t),
+a AS (SELECT quantile_cont(median, 0.5) AS anchor FROM m WHERE track IN ('imported-audio-000001', 'imported-audio-000002')) SELECT track, CASE WHEN track IN ('imported-audio-000001', 'imported-audio-000002') THEN 0.0::DOUBLE ELSE round(median - anchor, 6) END AS shift FROM m, a"""
 )
 def track_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far imported tracks move."""
