@@ -9,7 +9,7 @@ is verified once per pair on whole sets.
 Only the components matter, so not every pair of a large group is made. First each node of a prefix n-gram is paired with
 the first one, which joins most of what is similar; n-grams that very many nodes have are dealt out to salted blocks, whose
 first nodes are paired in turn. Then neighbours in a block that are in different components are paired, and last every
-pair that passes the filters and whose nodes are still in different components. So no link between components is missed,
+pair that passes the filters (here with parities of the sets, inside the join) and whose nodes are still in different components. So no link between components is missed,
 and a group of near copies costs its size, not its square.
 
 Rare-first order: counts come from all texts. Each task reports the n-grams that are frequent among its own; the sums of
@@ -45,6 +45,8 @@ NEIGHBOUR_ROUNDS = 2
 #: Bits of the filter that says which nodes' sets a pass over the texts has to return. It may say yes too often.
 FILTER_BITS = 1 << 24
 RANGES = 256
+#: 64-bit words of a node's parities.
+PARITIES = 16
 #: Names of nodes that a task remembers so as not to repeat them.
 REMEMBERED = 400_000
 #: Bytes of text whose words are hashed at a time, one text at least.
@@ -157,6 +159,13 @@ def node_name(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 PARITIES buckets of hashes: whether an odd number of n-grams falls into it. Where the bits of two nodes
+    differ, so do their sets: the number of such bits is at most that of n-grams which only one of the two has."""
+    odd = np.bincount((grams & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def least_common(n, num: int, den: int):
     """The fewest common n-grams of a node of n with a similar one."""
     return -(-num * n // den)
@@ -203,7 +212,7 @@ def _profiles(df: DataFrame, n: int) -> DataFrame:
 def _prefixes(df: DataFrame, n: int, num: int, den: int, order: tuple) -> DataFrame:
     """df: text. (node, n, ranges, prefix) of each distinct node; prefix: the first n-grams in the global order."""
     shared = df.sparkSession.sparkContext.broadcast(order)
-    schema = "node binary, n int, ranges binary, prefix array<bigint>"
+    schema = "node binary, n int, ranges binary, parity array<bigint>, prefix array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
@@ -224,10 +233,10 @@ def _prefixes(df: DataFrame, n: int, num: int, den: int, order: tuple) -> DataFr
                         chosen = grams[np.argsort(place, kind="stable")[:first]]
                     else:
                         chosen = grams[:first]
-                    rows.append((name, m, np.minimum(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes(), chosen.view(np.int64)))
+                    rows.append((name, m, np.minimum(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes(), parity(grams), chosen.view(np.int64)))
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["node", "n", "ranges", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.list_(pa.int64()))], names=["node", "n", "ranges", "parity", "prefix"])
 
     return df.mapInArrow(run, schema).dropDuplicates(["node"])
 
@@ -375,7 +384,7 @@ def placed_rows(docs: DataFrame, key: str, text: str, n: int, num: int, den: int
     entries = entries.withColumn("salt", F.when(F.col("dealt") > 1, F.pmod(F.xxhash64("node"), F.col("dealt"))).otherwise(F.lit(0)))
     entries = entries.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("gram", "salt"))).where("held > 1 OR dealt > 1").drop("held")
     entries = settled(entries, "entries")
-    small = settled(nodes.select("node", "n", "ranges").join(rows.groupBy("node").agg(F.min("digest").alias("digest")), "node"), "small")
+    small = settled(nodes.select("node", "n", "ranges", "parity").join(rows.groupBy("node").agg(F.min("digest").alias("digest")), "node"), "small")
     dropped(spark, nodes)
     freed(spark)
 
@@ -397,7 +406,7 @@ def placed_rows(docs: DataFrame, key: str, text: str, n: int, num: int, den: int
         """Entries of n-grams whose nodes are in more than one component, with their component."""
         placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = placed.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gram")
-        return settled(placed.join(mixed, "gram", "left_semi"), "mixed")
+        return placed.join(mixed, "gram", "left_semi")
 
     def more_of(pairs: DataFrame) -> bool:
         """Verify pairs that weren't yet; True if there were any."""
@@ -415,16 +424,17 @@ def placed_rows(docs: DataFrame, key: str, text: str, n: int, num: int, den: int
 
     # Neighbours in a block that are in different components: as many pairs as there are entries.
     for _ in range(NEIGHBOUR_ROUNDS):
-        mixed = still_mixed()
+        mixed = settled(still_mixed(), "mixed")
         own = F.struct("node", "n", "pos", "root")
         beside = mixed.withColumn("last", F.lag(own).over(ordered)).where("last.root <> root").withColumn("other", F.struct("last.node", "last.n", "last.pos"))
         if not more_of(pairs_of(beside.select("node", "n", "pos", "other"))):
             break
 
     # All that may still join two components.
-    mixed = still_mixed()
+    mixed = settled(still_mixed().join(small.select("node", "parity"), "node"), "mixed")
     x, y = mixed.alias("x"), mixed.alias("y")
-    met = x.join(y, F.col("x.gram") == F.col("y.gram")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), num, den))
+    apart = sum((F.bit_count(F.get("x.parity", F.lit(i)).bitwiseXOR(F.get("y.parity", F.lit(i)))) for i in range(PARITIES)), F.lit(0))
+    met = x.join(y, F.col("x.gram") == F.col("y.gram")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), num, den) & ((den + num) * apart <= (den - num) * (F.col("x.n") + F.col("y.n"))))
     more_of(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
     dropped(spark, entries)
     return rows.join(roots, "node", "left").select("key", "digest", "n", F.coalesce("root", "node").alias("root"))
