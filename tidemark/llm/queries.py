@@ -54,8 +54,8 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold(of: int):
-    """Remainder of crc32(doc_id as text), by which rows are held out."""
-    return F.crc32(F.col("doc_id").cast("string")) % of
+    """Remainder of crc32(doc_id as text), by which rows are held out; -1 without an id, so such rows are not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of, F.lit(-1).cast("long"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
