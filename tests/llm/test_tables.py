@@ -200,6 +200,24 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, n, num, block):
     assert got == plain_components(data, n, num, 100)[0]
 
 
+@pytest.mark.parametrize("tile", [1000, 20])
+def test_no_link_inside_a_component_is_lost(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard_join, "TILE_NODES", tile)  # a small one deals the large group out
+    data = near_copies(24)
+    sets = [shingles(t, 3) for _, t in data]
+
+    def alike(a, b):
+        return bool(a) and 100 * len(a & b) >= 90 * len(a | b)
+
+    got = Counter((r.doc_id, r.n_links) for r in jaccard_join.linked(frame(spark, data).repartition(5)).collect())
+    assert got == Counter((d, sum(alike(sets[i], s) for j, s in enumerate(sets) if j != i)) for i, (d, _) in enumerate(data))
+    found, members = jaccard_join.links(frame(spark, data).repartition(5))
+    want = Counter(len(a & b) for i, a in enumerate(set(sets)) for j, b in enumerate(set(sets)) if j < i and alike(a, b))
+    rows = found.collect()
+    assert Counter(r.common for r in rows) == want and len({(r.a, r.b) for r in rows}) == len(rows)
+    assert all(bytes(r.a) < bytes(r.b) for r in rows) and members.count() == len(data)
+
+
 def test_one_row_of_each_group_stays(spark):
     data = near_copies(22)
     _, groups = plain_components(data, 5, 80, 100)

@@ -6,11 +6,14 @@ prefix n-gram's nodes, pairs are left out by length, by the place of the n-gram
 by the suffix filter (how many n-grams fall into each of RANGES ranges of hashes bounds how many can agree). What is left
 is verified once per pair on whole sets.
 
-Only the components matter, so not every pair of a large group is made. First each node of a prefix n-gram is paired with
+Components come first, and for them not every pair of a large group is made. First each node of a prefix n-gram is paired with
 the first one, which joins most of what is similar; n-grams that very many nodes have are dealt out to salted blocks, whose
 first nodes are paired in turn. Then neighbours in a block that are in different components are paired, and last every
-pair that passes the filters (here with parities of the sets, inside the join) and whose nodes are still in different components. So no link between components is missed,
-and a group of near copies costs its size, not its square.
+pair that passes the filters (here with parities of the sets, inside the join) and whose nodes are still in different components. So no link between components is missed.
+
+Then links. Each lies inside one component, so all pairs of a component's nodes are verified, each once: a large component
+is dealt into parts, and each two parts are one tile, a product of two incidence matrices. `links` gives every link;
+`linked` only counts them, inside the tiles, so what it passes on is a row for each node and tile.
 
 Rare-first order: counts come from all texts. Each task reports the n-grams that are frequent among its own; the sums of
 the `FREQUENT` most frequent ones come last in the order, by their sum, and the rest first, by hash. The order decides how
@@ -24,6 +27,7 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +55,8 @@ PARITIES = 16
 REMEMBERED = 400_000
 #: Bytes of text whose words are hashed at a time, one text at least.
 GROUP = 2_000_000
+#: Nodes, and n-grams, in a part of a large component, on average. Columns of a tile's matrices at a time.
+TILE_NODES, TILE_GRAMS, TILE_COLUMNS = 1000, 2_000_000, 4096
 #: Keys of rows that go to all tasks, at most; beyond it rows are shuffled.
 BROADCAST_KEYS = 500_000
 
@@ -366,8 +372,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def placed_rows(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """(key, digest, n, root) of each row: the MD5 of its text, its n-grams, and its component's name (null without n-grams)."""
+class Found(NamedTuple):
+    """rows: key, digest, node, n of each row. roots: node, root of components of several nodes, but for the roots' own rows.
+    small: node, n, digest of each node. texts: text."""
+
+    rows: DataFrame
+    roots: DataFrame
+    small: DataFrame
+    texts: DataFrame
+
+
+def _found(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> Found:
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("key"), F.md5(F.encode(text, "utf-8")).alias("digest"), F.col(text).alias("text"))
     texts = docs.select("text")
@@ -436,21 +451,127 @@ def placed_rows(docs: DataFrame, key: str, text: str, n: int, num: int, den: int
     apart = sum((F.bit_count(F.get("x.parity", F.lit(i)).bitwiseXOR(F.get("y.parity", F.lit(i)))) for i in range(PARITIES)), F.lit(0))
     met = x.join(y, F.col("x.gram") == F.col("y.gram")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), num, den) & ((den + num) * apart <= (den - num) * (F.col("x.n") + F.col("y.n"))))
     more_of(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    dropped(spark, entries)
-    return rows.join(roots, "node", "left").select("key", "digest", "n", F.coalesce("root", "node").alias("root"))
+    for t in (entries, mixed, tested):
+        dropped(spark, t)
+    return Found(rows, roots, small, texts)
+
+
+def placed_rows(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
+    """(key, digest, n, root) of each row: the MD5 of its text, its n-grams, and its component's name (null without n-grams)."""
+    found = _found(docs, key, text, n, num, den)
+    return found.rows.join(found.roots, "node", "left").select("key", "digest", "n", F.coalesce("root", "node").alias("root"))
+
+
+def unpacked(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of packed sets, and for each the place of its set."""
+    data = np.frombuffer(b"".join(sets), np.uint8).reshape(-1, 5)
+    wide = np.zeros((len(data), 8), np.uint8)
+    wide[:, 3:] = data
+    return wide.view(">u8").ravel().astype(np.uint64), np.repeat(np.arange(len(sets)), [len(s) // 5 for s in sets])
+
+
+def common_of_all(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """`common` of each of a with each of b."""
+    (x, at), (y, bt) = unpacked(a), unpacked(b)
+    shared = np.intersect1d(x, y)
+    out = np.zeros((len(a), len(b)), np.float32)
+
+    def columns(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.minimum(np.searchsorted(shared, values), max(0, len(shared) - 1))
+        has = shared[place] == values if len(shared) else np.zeros(len(values), bool)
+        by = np.argsort(place[has], kind="stable")
+        return place[has][by], rows[has][by]
+
+    (xc, xr), (yc, yr) = columns(x, at), columns(y, bt)
+    for first in range(0, len(shared), TILE_COLUMNS):
+        width = min(TILE_COLUMNS, len(shared) - first)
+        sides = []
+        for c, r, m in ((xc, xr, len(a)), (yc, yr, len(b))):
+            i, j = np.searchsorted(c, [first, first + width])
+            side = np.zeros((m, width), np.float32)
+            side[r[i:j], c[i:j] - first] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)  # sums under 2**24 are whole
+
+
+def _tiles(found: Found, n: int, num: int, den: int, counted: bool) -> DataFrame:
+    """All links between nodes, as (a, b, common), or if counted as (node, linked): in each tile, how many rows have the nodes that
+    one links with. Nodes of one component meet in one tile, whatever their place in it."""
+    spark = found.rows.sparkSession
+    placed = found.roots.union(found.roots.select("root", "root").distinct())
+    members = placed.join(found.small.select("node", "n", "digest"), "node")
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("g"))
+    parts = sizes.select("root", F.greatest(F.ceil(F.col("c") / TILE_NODES), F.ceil(F.col("g") / TILE_GRAMS)).cast("int").alias("parts")).where("parts > 1")
+    few = F.broadcast if parts.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else (lambda x: x)
+    copies = found.rows.where("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    dealt = members.join(few(parts), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    sets = _sets(found.texts, n, members.select("node", "digest"))
+    each = dealt.join(copies, "node").join(sets, "node").select("root", "node", "n", "copies", "grams", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    each = each.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "copies", "grams")
+    each = each.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+
+    def tile(rows: list[tuple]) -> pa.RecordBatch | None:
+        """rows: root, i, j, part, node, n, copies, grams."""
+        one = [r for r in rows if r[3] == r[1]]
+        two = one if rows[0][1] == rows[0][2] else [r for r in rows if r[3] != r[1]]
+        if not two or not one:
+            return None
+        both = common_of_all([r[7] for r in one], [r[7] for r in two])
+        p, q = np.array([r[5] for r in one], np.int64), np.array([r[5] for r in two], np.int64)
+        yes = den * both >= num * (p[:, None] + q[None, :] - both)
+        if two is one:
+            np.fill_diagonal(yes, False)
+        if counted:
+            sides = [(one, yes @ np.array([r[6] for r in two], np.int64))]
+            if two is not one:
+                sides.append((two, np.array([r[6] for r in one], np.int64) @ yes))
+            return pa.RecordBatch.from_arrays([pa.array([r[4] for side, _ in sides for r in side], pa.binary()), pa.array(np.concatenate([c for _, c in sides]), pa.int64())], names=["node", "linked"])
+        x, y = np.nonzero(np.triu(yes) if two is one else yes)
+        pairs = [sorted((one[i][4], two[j][4])) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary()), pa.array(both[x, y], pa.int64())], names=["a", "b", "common"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != key:
+                    if held and (made := tile(held)):
+                        yield made
+                    held, key = [], row[:3]
+                held.append(row)
+        if held and (made := tile(held)):
+            yield made
+
+    done = settled(each.mapInArrow(run, "node binary, linked long" if counted else "a binary, b binary, common long"), "tiles")
+    dropped(spark, sets)
+    freed(spark)
+    return done
+
+
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets of n-grams as (a, b, common), once, a < b, and (key, node) of each row (node null without
+    n-grams). Rows of one node link too. The first has as many rows as there are links: a group of near copies gives its square."""
+    found = _found(docs, key, text, n, num, den)
+    return _tiles(found, n, num, den, counted=False), found.rows.select(F.col("key").alias(key), "node")
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(key, n_shingles, component): a row for each row of docs. Two texts link when den * common >= num * union of their
-    distinct word n-grams; component is the least key that links lead to, the row's own included.
+    """(key, n_shingles, component, n_links): a row for each row of docs. Two texts link when den * common >= num * union of their
+    distinct word n-grams; component is the least key that links lead to, the row's own included; n_links is the number of other
+    rows that the row links with, copies of a text each counted.
 
     Null and empty texts have no n-grams and link with nothing: their component is their own key. Rows with a null key take
     part, and never give a component its name. Repeated rows each come out. An empty table gives an empty result.
     """
-    rows = placed_rows(docs, key, text, n, num, den)
+    found = _found(docs, key, text, n, num, den)
+    others = _tiles(found, n, num, den, counted=True).groupBy("node").agg(F.sum("linked").alias("linked"))
+    counts = found.rows.where("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("copies")).join(others, "node", "left")
+    counts = counts.select("node", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    rows = found.rows.join(found.roots, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("key").alias("component"))
     done = rows.join(names, "root", "left")
-    return done.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"))
+    return done.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
