@@ -535,7 +535,7 @@ def synchronised_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1: made-up recordings from sound to placements: three pieces of one noise for each nation, with known offsets."""
     from tidemark.plans.pipeline import made_up_recordings, synchronised
 
-    return synchronised(made_up_recordings(table(spark, sf_dir, "nation").where("n_nationkey < 4").select(F.col("n_nationkey").cast("bigint").alias("scene"))))
+    return synchronised(made_up_recordings(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("scene"))))
 
 
 # Media, edits, stages --------------------------------------------------------------------------------------------------
