@@ -1,7 +1,9 @@
 """Queries that read all rows of their tables."""
 
+import random
+
 import __spark_entry__
-from tidemark.plans import pipeline
+from tidemark.plans import pipeline, standins
 
 
 def found(name):
@@ -13,3 +15,25 @@ def test_each_nation_is_a_scene(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(pipeline, "synchronised", lambda blocks: blocks)
     spark.range(25).withColumnRenamed("id", "n_nationkey").write.parquet(f"{tmp_path}/nation.parquet")
     assert sorted(r.scene for r in found("synchronised_takes")(spark, str(tmp_path)).collect()) == list(range(25))
+
+
+def test_all_orders_are_videos_or_recorders(spark, monkeypatch):
+    rng = random.Random(5)
+    data = [(i, rng.randrange(9), s := rng.randrange(900), s + rng.randint(1, 120)) for i in range(150)]
+    monkeypatch.setattr(standins, "order_intervals", lambda *_: spark.createDataFrame(data, "id long, source long, start long, end long"))
+    audio, first = {}, {}
+    for v, _, a, b in (r for r in data if r[0] % 3 == 0):
+        met = [(i, s % 4, i * 31 % 1009, max(a, c), min(b, d)) for i, s, c, d in data if i % 3 and c < b and a < d]
+        if met:
+            i, lane, _, c, d = min(met, key=lambda m: (m[1], m[3] - m[4], m[2], m[0]))
+            audio[v], first[v] = (i, lane, c, d), min(met, key=lambda m: (m[2], m[0]))[0]
+    assert {r.id: tuple(r)[1:] for r in found("all_replaced_audio")(spark, "").collect()} == audio
+    assert {r.id: r.recorder for r in found("all_first_recorder")(spark, "").collect()} == first
+
+
+def test_all_pages_are_clips_or_edits(spark, tmp_path):
+    urls = [f"http://h/{i % 7}/{i % 11}.{'mov' if i % 2 else 'html'}" for i in range(60)]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    clips = {u for i, u in enumerate(urls) if i % 3 == 0}
+    want = {u for i, u in enumerate(urls) if i % 3 and u not in clips and not u.endswith(".html")}
+    assert want and sorted(r.path for r in found("all_unresolved_media")(spark, str(tmp_path)).collect()) == sorted(want)

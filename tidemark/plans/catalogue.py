@@ -267,6 +267,25 @@ def replaced_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.replaced_audio(v, r, 60).select("id", "recorder", "lane", "start", "end")
 
 
+def _roles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All orders: every third one a video, the others recorders."""
+    iv = standins.order_intervals(spark, sf_dir)
+    r = iv.where("id % 3 <> 0").withColumns({"position": F.col("id") * 31 % 1009, "lane": F.col("source") % 4, "source_in": F.lit(0), "confidence": F.lit(0.9)})
+    return iv.where("id % 3 = 0").withColumn("confidence", F.lit(1.0)), r
+
+
+@query()
+def all_replaced_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C26 on all orders. (Held against a plain loop in the tests.)"""
+    return intervals.replaced_audio(*_roles(spark, sf_dir), 60).select("id", "recorder", "lane", "start", "end")
+
+
+@query()
+def all_first_recorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C25 on all orders. (Held against a plain loop in the tests.)"""
+    return intervals.first_overlapping(*_roles(spark, sf_dir), 60)
+
+
 @query(
     "WITH "
     + _INTERVALS
@@ -571,6 +590,13 @@ def unresolved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.unresolved(p.where("page_id % 2 = 0"), p.where("page_id % 3 = 0"), ("html",))
 
 
+@query()
+def all_unresolved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C18 on all pages: every third one a clip, the others edits. (Held against a plain loop in the tests.)"""
+    p = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"))
+    return library.unresolved(p.where("page_id % 3 <> 0"), p.where("page_id % 3 = 0"), ("html",))
+
+
 @query(
     """WITH e AS (SELECT o_orderkey AS edit, o_custkey AS k, o_orderkey % 2 = 0 AS vid, o_orderkey % 20 AS st, CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey % 3 END AS channel FROM orders), c AS (SELECT c_custkey AS clip, c_nationkey % 2 = 0 AS vid, c_nationkey % 3 AS streams FROM customer),
 m AS (SELECT edit, clip, e.vid, st, channel FROM e JOIN c ON c.clip = e.k WHERE CASE WHEN e.vid THEN c.vid ELSE streams > 0 END)
