@@ -37,3 +37,13 @@ def test_all_pages_are_clips_or_edits(spark, tmp_path):
     clips = {u for i, u in enumerate(urls) if i % 3 == 0}
     want = {u for i, u in enumerate(urls) if i % 3 and u not in clips and not u.endswith(".html")}
     assert want and sorted(r.path for r in found("all_unresolved_media")(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_all_customers_are_packed(spark, tmp_path):
+    keys = random.Random(6).sample(range(5000), 700)
+    spark.createDataFrame([(k, k % 25) for k in keys], "c_custkey long, c_nationkey int").repartition(6).write.parquet(f"{tmp_path}/customer.parquet")
+    want, at = {}, 0.0
+    for k in sorted(keys):
+        want[k] = at
+        at += k % 7 + 1.0
+    assert {r.position: r.start for r in found("all_packed_groups")(spark, str(tmp_path)).collect()} == want

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark import schema as S
+from tidemark.tables import ranged
 
 
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -204,8 +205,11 @@ def consecutive_runs(frames: DataFrame, group: list[str], least: int = 8) -> Dat
 
 def packed(groups: DataFrame, gap: float = 1.0) -> DataFrame:
     """Groups (position, length) one after another with a gap between them: start of each."""
-    by = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    return groups.withColumn("start", F.coalesce(F.sum(F.col("length") + gap).over(by), F.lit(0.0)))
+    parts = ranged(groups, "position")
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = parts.groupBy("range").agg(F.sum(F.col("length") + gap).alias("all")).select("range", F.coalesce(F.sum("all").over(earlier), F.lit(0.0)).alias("offset"))
+    by = Window.partitionBy("range").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.join(F.broadcast(offsets), "range").withColumn("start", F.col("offset") + F.coalesce(F.sum(F.col("length") + gap).over(by), F.lit(0.0))).drop("range", "offset")
 
 
 def bar_geometry(bars: DataFrame, scale: float, group: list[str]) -> DataFrame:

@@ -342,6 +342,12 @@ def packed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.packed(c)
 
 
+@query()
+def all_packed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L26 on all customers. (Held against a plain loop in the tests.)"""
+    return intervals.packed(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("position"), (F.col("c_custkey") % 7).cast("double").alias("length")))
+
+
 @query("WITH " + _INTERVALS + """ SELECT id, s * 2.0 AS x, least(e - s, coalesce(lead(s) OVER (PARTITION BY source ORDER BY s, id) - s, 1e18)) * 2.0 AS width FROM iv""")
 def bar_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars that end where the next begins."""

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +28,8 @@ def settled(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tidemark/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ranged(df: DataFrame, *keys) -> DataFrame:
+    """df settled in ranges of its order by keys; `range` numbers them in that order. Equal keys are in one range."""
+    return settled(df.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()), "ranged")
