@@ -47,3 +47,12 @@ def test_all_customers_are_packed(spark, tmp_path):
         want[k] = at
         at += k % 7 + 1.0
     assert {r.position: r.start for r in found("all_packed_groups")(spark, str(tmp_path)).collect()} == want
+
+
+def test_every_edge_has_its_place(spark, monkeypatch):
+    rng = random.Random(7)
+    data = [(i, i + 9000, rng.randint(30, 50) / 50, rng.randint(3, 6), float(rng.randint(3, 9)), rng.randint(0, 8) / 100, "waveform") for i in range(2500)]
+    monkeypatch.setattr(standins, "line_edges", lambda *_: spark.createDataFrame(data, "left long, right long, confidence double, anchors long, covered double, residual double, evidence string"))
+    want = sorted(data, key=lambda e: (-int(e[2] * 10000 + 0.5), -e[3], -e[4], int(e[5] * 10000 + 0.5), e[0]))
+    assert [r.left for r in sorted(found("all_edge_order")(spark, "").collect(), key=lambda r: r.n)] == [e[0] for e in want]
+    assert sorted(r.n for r in found("edge_order")(spark, "").collect()) == list(range(1, 1001))
