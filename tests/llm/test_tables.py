@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import frame, rows, sentence
 from tidemark.llm import decontamination, jaccard_join, url_reputation, warc
@@ -133,6 +134,15 @@ def test_archives_come_back(spark, packed):
     assert warc.read(spark, path, uriPrefix="http://zzz").count() == 0
 
 
+def test_content_type_is_that_of_the_column(spark):
+    path = scratch(spark, "warc-type")
+    warc.archived(warc.with_revisits(pages(spark)[1], "page_id"), path)
+    kinds = Counter(r.content_type for r in warc.read(spark, path).collect() if r.record_type == "response")
+    for kind, n in kinds.items():
+        assert kind.startswith("text/") and warc.read(spark, path, recordTypes="response").where(F.col("content_type") == kind).count() == n
+    assert warc.read(spark, path, recordTypes="response").where("content_type LIKE 'text/%'").count() == sum(kinds.values()) > 0
+
+
 def test_files_outside_the_manifest_are_not_read(spark, tmp_path):
     _, rows_ = pages(spark)
     path = f"file://{tmp_path}/w"

@@ -32,8 +32,8 @@ SCHEMA = "record_id string, record_type string, target_uri string, date string,
 WRITTEN = "record_id string, record_type string, target_uri string, payload_digest string, payload_length long, refers_to string, payload binary"
 MANIFEST, DATE = "_manifest.json", "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Header names of the columns that filters are pushed down to.
-HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "date": "warc-date", "content_type": "content-type"}
+#: Header names of the columns that filters are pushed down to. (content_type isn't one: of a response it is in the HTTP head.)
+HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "date": "warc-date"}
 #: Payloads of at least so many bytes are stored once, and digests of payloads that go to all tasks, at most.
 REVISIT_BYTES, BROADCAST_ROWS = 1000, 200_000
 BATCH_BYTES, FILE_BYTES = 8 << 20, 256 << 20
