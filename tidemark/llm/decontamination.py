@@ -2,12 +2,13 @@
 
 A text's k-gram hashes are winnowed: of every `SPAN - K + 1` neighbouring ones the least is kept. Two texts that share SPAN
 words in a row share that stretch's hashes and so its least one: no shared stretch of SPAN words goes unnoticed. Document
-and benchmark fingerprints are joined; every place where one stands in both fixes how the item lies in the document, and
-the words there are compared one by one (the extension), which also undoes any collision of hashes. Items of fewer than
-SPAN words are one window; their first k-gram, with a smaller k for very short ones, is sought among all of a document's.
+and benchmark fingerprints are joined, and each match is extended word by word: a window that holds the k-gram begins at
+most SPAN - K words before it, so a fingerprint's entry in the index carries those words and as many behind it, however long
+its item is. The extension also undoes any collision of hashes. Items of fewer than SPAN words are one window; their first
+k-gram, with a smaller k for very short ones, is sought among all of a document's. All lengths are sought in one pass.
 
-The benchmark's fingerprints go to all executors only while there are at most `BROADCAST_ROWS`; beyond it the join
-shuffles bare fingerprints and fetches the words of documents with a match afterwards. (`explode_outer` stands where
+The index goes to all executors only while it has at most `BROADCAST_ROWS` entries and `BROADCAST_BYTES` of words; beyond it
+the join shuffles bare fingerprints, and only documents with a match are read again. (`explode_outer` stands where
 `explode` would do: for the latter the optimiser adds a filter that works out the exploded array a second time, in one
 expression with all that it is made of.)
 """
@@ -17,19 +18,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import lower_ascii, settled, without
+from tidemark.llm.shared import lower_ascii, settled, split_words, without
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN, K = 10, 5
-BROADCAST_ROWS = 100_000
-#: Keys of texts (32 bytes each) that go to all tasks, at most; beyond it texts are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32_000_000
+#: Keys of texts (32 bytes each) that go to all tasks, at most, with BROADCAST_BYTES of item ids; beyond it texts are shuffled.
 BROADCAST_KEYS = 500_000
 ADDED = ("n_words", "n_hit", "n_items", "items", "contaminated")
 
 
 def words(text: Column) -> Column:
     """Words of the text with A-Z lower-cased; null has none."""
-    return F.coalesce(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return split_words(lower_ascii(text))
 
 
 def _grams(w: str, k: int) -> Column:
@@ -39,58 +40,73 @@ def _grams(w: str, k: int) -> Column:
 
 
 def _least(h: str, window: int) -> Column:
-    """The least of every `window` neighbouring hashes."""
+    """The least of every `window` neighbouring hashes, each once."""
     least = F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.least(*(F.get(F.col(h), i + j) for j in range(window))))
-    return F.when(F.size(h) >= window, least).otherwise(F.array().cast("array<bigint>"))
+    return F.array_distinct(F.when(F.size(h) >= window, least).otherwise(F.array().cast("array<bigint>")))
 
 
-def _prints(df: DataFrame, k: int, window: int) -> DataFrame:
-    """df (with `w`) and its k-gram hashes `h` and the kept ones `fps`, each once."""
-    df = df.withColumn("h", _grams("w", k))
-    return df.withColumn("fps", F.array_distinct(_least("h", window) if window > 1 else F.col("h")))
-
-
-def _places(h: str, fp: Column) -> Column:
+def _places(h: Column, fp: Column) -> Column:
     return F.filter(F.transform(h, lambda x, i: F.when(x == fp, i)), lambda i: i.isNotNull())
 
 
-def _hits(docs: DataFrame, items: DataFrame, k: int, window: int) -> DataFrame:
-    """(key, item, at): positions of the document's words that occurrences of the item's windows cover, for items that all
-    have SPAN words or more, or all fewer."""
-    own = _prints(items, k, window)
-    if window == 1:
-        own = own.withColumn("fps", F.slice("h", 1, 1))
-    own = own.select("item", F.col("w").alias("iw"), F.col("h").alias("ih"), F.explode_outer("fps").alias("fp"))
-    own = own.select("item", "iw", "fp", F.explode_outer(_places("ih", F.col("fp"))).alias("q")) if window > 1 else own.select("item", "iw", "fp", F.lit(0).alias("q"))
-    found = _prints(docs, k, window)
-    if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        met = found.select("key", "w", "h", F.explode_outer("fps").alias("fp")).join(F.broadcast(own), "fp")
+def index_of(items: DataFrame) -> DataFrame:
+    """items: item, w. The index (fp, item, k, back, near, need): a k-gram's hash, the words near it of which `back` stand before it,
+    and how many in a row have to agree. An item of SPAN words or more has an entry for each place of a kept hash, a shorter one a
+    single entry."""
+    long = items.where(F.size("w") >= SPAN).withColumn("h", _grams("w", K))
+    long = long.select("item", "w", "h", F.explode_outer(_least("h", SPAN - K + 1)).alias("fp")).select("item", "w", "fp", F.explode_outer(_places(F.col("h"), F.col("fp"))).alias("q"))
+    long = long.withColumn("back", F.least("q", F.lit(SPAN - K)))
+    long = long.select("fp", "item", F.lit(K).alias("k"), "back", F.slice("w", F.col("q") - F.col("back") + 1, F.col("back") + SPAN).alias("near"), F.lit(SPAN).alias("need"))
+    short = items.where(F.size("w") < SPAN).withColumn("k", F.least(F.size("w"), F.lit(K)))
+    first = F.lit(None).cast("bigint")
+    for k in range(1, K + 1):
+        first = F.when(F.col("k") == k, F.xxhash64(*(F.get("w", F.lit(j)) for j in range(k)))).otherwise(first)
+    short = short.select(first.alias("fp"), "item", "k", F.lit(0).alias("back"), F.col("w").alias("near"), F.size("w").alias("need"))
+    return long.union(short)
+
+
+def _hits(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """docs: key, w. (key, item, at): positions of the document's words that occurrences of the item's windows cover."""
+    size = index.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.array_join("near", " ")) + 100).alias("b"), F.max(F.col("need") >= SPAN).alias("long")).first()
+    short = sorted(r.k for r in index.where(F.col("need") < SPAN).select("k").distinct().collect())  # 1 to K
+    sought = sorted({K, *short})
+    found = docs.withColumns({f"h{k}": _grams("w", k) for k in sought})
+    kept = _least(f"h{K}", SPAN - K + 1) if size.long else F.array().cast("array<bigint>")
+    for k in short:
+        kept = F.array_union(kept, F.col(f"h{k}"))
+    found = found.withColumn("fps", kept)
+    hashes = [f"h{k}" for k in sought]
+    if size.n <= BROADCAST_ROWS and (size.b or 0) <= BROADCAST_BYTES:
+        met = found.select("key", "w", *hashes, F.explode_outer("fps").alias("fp")).join(F.broadcast(index), "fp")
     else:
-        met = found.select("key", F.explode_outer("fps").alias("fp")).join(own, "fp").join(found.select("key", "w", "h").dropDuplicates(["key"]), "key")
-    met = met.select("key", "w", "item", "iw", "q", F.explode_outer(_places("h", F.col("fp"))).alias("p")).withColumn("shift", F.col("p") - F.col("q"))
-    need = F.least(F.size("iw"), F.lit(SPAN))
-    same = met.withColumn("same", F.transform("iw", lambda x, j: F.coalesce((F.col("shift") + j >= 0) & (F.get("w", F.col("shift") + j) == x), F.lit(False))))
-    same = same.withColumn("same", F.transform(F.sequence(F.lit(0), F.size("iw") - need), lambda j: F.when(F.forall(F.slice("same", j + 1, need), lambda x: x), F.sequence(F.col("shift") + j, F.col("shift") + j + need - 1))))
-    return same.select("key", "item", F.array_distinct(F.flatten(F.filter("same", lambda x: x.isNotNull()))).alias("at"))
+        met = settled(found.select("key", F.explode_outer("fps").alias("fp")).distinct().join(index, "fp"), "met")
+        keys = met.select("key").distinct()
+        few = F.broadcast if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else (lambda x: x)
+        met = met.join(found.join(few(keys), "key", "left_semi").select("key", "w", *hashes).dropDuplicates(["key"]), "key")
+    h = F.col(f"h{sought[-1]}")
+    for k in sought[:-1]:
+        h = F.when(F.col("k") == k, F.col(f"h{k}")).otherwise(h)
+    met = met.select("key", "w", "item", "near", "need", "back", F.explode_outer(_places(h, F.col("fp"))).alias("p")).withColumn("shift", F.col("p") - F.col("back"))
+    same = F.transform("near", lambda x, j: F.coalesce((F.col("shift") + j >= 0) & (F.get("w", F.col("shift") + j) == x), F.lit(False)))
+    same = met.withColumn("same", same)
+    runs = F.transform(F.sequence(F.lit(0), F.size("near") - F.col("need")), lambda j: F.when(F.forall(F.slice("same", j + 1, F.col("need")), lambda x: x), F.sequence(F.col("shift") + j, F.col("shift") + j + F.col("need") - 1)))
+    return same.select("key", "item", F.array_distinct(F.flatten(F.filter(runs, lambda x: x.isNotNull()))).alias("at")).where(F.size("at") > 0)
 
 
 def _by_text(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str) -> DataFrame:
     """(key, n_hit, items) of texts with a hit; key is the text's MD5."""
     items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
     texts = docs.where(F.col(text).isNotNull()).select(F.md5(F.encode(text, "utf-8")).alias("key"), words(F.col(text)).alias("w"))
-    short = sorted(r[0] for r in items.where(F.size("w") < SPAN).select(F.least(F.size("w"), F.lit(K)).alias("k")).distinct().collect())  # 1 to K
-    hits = _hits(texts, items.where(F.size("w") >= SPAN), K, SPAN - K + 1)
-    for k in short:
-        hits = hits.union(_hits(texts, items.where((F.size("w") < SPAN) & (F.least(F.size("w"), F.lit(K)) == k)), k, 1))
-    by_text = hits.groupBy("key").agg(F.collect_set("at").alias("at"), F.collect_set(F.when(F.size("at") > 0, F.col("item"))).alias("items"))
+    by_text = _hits(texts, settled(index_of(items), "index")).groupBy("key").agg(F.collect_set("at").alias("at"), F.collect_set("item").alias("items"))
     return by_text.select("key", F.size(F.array_distinct(F.flatten("at"))).cast("long").alias("n_hit"), F.sort_array("items").alias("items"))
 
 
 def _hit_texts(*args) -> DataFrame:
-    """The texts with a hit, written out: sent to all tasks while there are at most BROADCAST_KEYS, so that no copies of one
-    text meet in a task; beyond it the engine can split the rows of a text."""
-    hit = settled(_by_text(*args).where("n_hit > 0"), "hit")
-    return F.broadcast(hit) if hit.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else hit
+    """The texts with a hit, written out: sent to all tasks while there are at most BROADCAST_KEYS with BROADCAST_BYTES of ids, so
+    that no copies of one text meet in a task; beyond it the engine can split the rows of a text."""
+    hit = settled(_by_text(*args), "hit")
+    size = hit.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.array_join("items", ","))).alias("b")).first()
+    return F.broadcast(hit) if size.n <= BROADCAST_KEYS and (size.b or 0) <= BROADCAST_BYTES else hit
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -103,14 +119,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """
     docs = without(docs, ADDED)
     by_text = _hit_texts(docs, benchmark, text, item_id, item_text)
-    done = docs.withColumns({"__key": F.md5(F.encode(text, "utf-8")), "n_words": F.size(words(F.col(text))).cast("long")}).join(by_text.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    done = docs.withColumns({"__key": F.md5(F.encode(text, "utf-8")), "n_words": F.size(split_words(F.col(text))).cast("long")}).join(by_text.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
     done = done.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return done.withColumns({"n_items": F.size("items").cast("long"), "contaminated": F.col("n_hit") > 0})
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs less the contaminated rows. Texts aren't shuffled while at most BROADCAST_KEYS texts have a hit."""
-    few = _hit_texts(docs, benchmark, text, item_id, item_text).select("key")
+    """docs less the contaminated rows; the rest as it is, repeated rows, null and empty texts included. Texts aren't shuffled while
+    at most BROADCAST_KEYS texts have a hit."""
+    hit = settled(_by_text(docs, benchmark, text, item_id, item_text).select("key"), "hit")
+    few = F.broadcast(hit) if hit.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else hit
     return docs.join(few, F.md5(F.encode(docs[f"`{text}`"], "utf-8")) == few["key"], "left_anti")
 
 
