@@ -243,6 +243,42 @@ def plain_license(text, phrases=license_scan.PHRASES):
     return len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))
 
 
+def plain_agreement(w, index, templates):
+    """Templates with enough votes at one place, and the most votes."""
+    looked = {x: posts for x, _, posts in [e for e in index if e[0] in set(w)][: license_scan.LOOKUPS]}
+    votes = {}
+    for i, x in enumerate(w):
+        for t, at, weight in looked.get(x, ()):
+            votes[t, i - at] = votes.get((t, i - at), 0) + weight
+    joined = " " + " ".join(w) + " "
+    own = {templates[t][0] for (t, _), v in votes.items() if v >= license_scan.ACCEPT - 1e-9 and all(f" {p} " in joined for p in templates[t][2])}
+    return own, max(votes.values(), default=0)
+
+
+def test_templates_are_found_as_by_a_plain_index(spark, monkeypatch):
+    rng = random.Random(5)
+    bodies = [b for _, b, _ in license_scan.TEMPLATES]
+    data = []
+    for i in range(250):
+        parts = [sentence(rng, rng.randint(0, 15))]
+        for _ in range(rng.randint(0, 2)):
+            v = rng.choice(bodies).split()
+            a = rng.randrange(len(v)) if rng.random() < 0.5 else 0
+            parts += [" ".join(x for x in v[a:] if rng.random() < 0.95), sentence(rng, rng.randint(0, 15))]
+        data.append((i, " ".join(parts)))
+    monkeypatch.setattr(license_scan, "LOOKUPS", 20)
+    counts, total = license_scan.document_counts(frame(spark, data), sorted({w for b in bodies for w in b.split()}))
+    assert total == len(data) and all(n == sum(x in t.split() for _, t in data) for x, n in counts.items())
+    index, met = license_scan.postings(license_scan.TEMPLATES, counts, total), 0
+    for r in license_scan.scanned(frame(spark, data)).collect():
+        own, best = plain_agreement(r.text.split(), index, license_scan.TEMPLATES)
+        base = set(r.base_labels.split(",")) - {""}
+        assert r.labels == ",".join(sorted(base | own)), r.doc_id
+        assert abs(r.score - (1 if base else min(1, best))) < 1e-9
+        met += bool(own - base)
+    assert met > 50
+
+
 def test_license_phrases_and_templates(spark):
     rng = random.Random(8)
     parts = ["Under the MIT License. ", "apache license, version 2.0 ", "CC BY-NC 4.0 ", "cc by nc cc by nc ", "the mit ", "license ", "x ", "under ", "\n", "é"]
