@@ -3,29 +3,30 @@
 Texts with equal sets of n-grams are one node. Nodes are joined by rare-first prefix filtering: a node's n-grams are put
 in one global order, rare ones first, and two nodes that are similar enough share one of the first few (the prefix). Of a
 prefix n-gram's nodes, pairs are left out by length, by the place of the n-gram (what can still follow on both sides) and
-by the suffix filter (how many n-grams fall into each of RANGES ranges of hashes bounds how many can agree). What is left
-is verified once per pair on whole sets.
+by the suffix filter: n-grams are dealt into buckets by hash, and the buckets whose counts differ in parity (for long nodes,
+also by how much they differ) are a lower bound of how many n-grams only one of the two has. What is left is verified once per pair on whole sets.
 
 Components come first, and for them not every pair of a large group is made. First each node of a prefix n-gram is paired with
 the first one, which joins most of what is similar; n-grams that very many nodes have are dealt out to salted blocks, whose
 first nodes are paired in turn. Then neighbours in a block that are in different components are paired, and last every
-pair that passes the filters (here with parities of the sets, inside the join) and whose nodes are still in different components. So no link between components is missed.
+pair that passes the filters, inside the join, and whose nodes are still in different components: of a frequent n-gram, block
+against block and only lengths that can match. So no link between components is missed.
 
 Then links. Each lies inside one component, so all pairs of a component's nodes are verified, each once: a large component
 is dealt into parts, and each two parts are one tile, a product of two incidence matrices. `links` gives every link;
 `linked` only counts them, inside the tiles, so what it passes on is a row for each node and tile.
 
-Rare-first order: counts come from all texts. Each task reports the n-grams that are frequent among its own; the sums of
-the `FREQUENT` most frequent ones come last in the order, by their sum, and the rest first, by hash. The order decides how
-many candidates there are, never which links are found.
+Rare-first order: the n-grams that would be first by hash are counted over all nodes. The `FREQUENT` most frequent of them come
+last in the order, by their counts, and the rest first, by hash. The order decides how many candidates there are, never which
+links are found.
 
-Hashes of n-grams have 64 bits, nodes' names 128.
+Hashes of n-grams have 64 bits, nodes' names 128; nodes are numbered, and joins are by number.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,27 +37,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.shared import dropped, freed, grouped, settled
+from tidemark.llm.shared import dealt_join, dropped, freed, grouped, mapped, settled
 
 #: N-grams that go to all tasks with their counts: 16 bytes each.
-FREQUENT = 200_000
-#: N-grams of a task that are counted at a time, and the share of its nodes from which one is reported (4 nodes at least).
-COUNTED, LOCAL_SHARE, LOCAL_LEAST = 4_000_000, 1 / 500, 4
+FREQUENT = 1_000_000
+#: N-grams of a task that are counted at a time, and how many of a node's are, as multiples of its prefix.
+COUNTED, AHEAD = 1_000_000, 1.25
 #: Nodes in a block of a very frequent n-gram, on average.
 BLOCK = 500
 #: Rounds of pairs of neighbours before all remaining pairs are made.
-NEIGHBOUR_ROUNDS = 2
+NEIGHBOUR_ROUNDS = 1
 #: Bits of the filter that says which nodes' sets a pass over the texts has to return. It may say yes too often.
 FILTER_BITS = 1 << 24
-RANGES = 256
-#: 64-bit words of a node's parities.
-PARITIES = 16
+#: 64-bit words of a node's parities. Of long nodes, whose parities say little, counts of hashes by range are kept too.
+PARITIES, LONG, RANGES = 16, 1_000, 512
+#: Bytes of an n-gram's hash in a set that is compared.
+PACKED = 6
 #: Names of nodes that a task remembers so as not to repeat them.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Bytes of text whose words are hashed at a time, one text at least.
-GROUP = 2_000_000
+GROUP = 1_000_000
 #: Nodes, and n-grams, in a part of a large component, on average. Columns of a tile's matrices at a time.
-TILE_NODES, TILE_GRAMS, TILE_COLUMNS = 1000, 2_000_000, 4096
+TILE_NODES, TILE_GRAMS, TILE_COLUMNS = 500, 1_000_000, 4096
 #: Keys of rows that go to all tasks, at most; beyond it rows are shuffled.
 BROADCAST_KEYS = 500_000
 
@@ -75,7 +77,7 @@ class Shingler:
     bytes are worked on in blocks that end between words, so a very long text takes no more memory for it than its words' hashes.
     """
 
-    BLOCK, BASE = 1 << 20, 0x9E3779B97F4A7C15 | 1
+    BLOCK, BASE = 1 << 18, 0x9E3779B97F4A7C15 | 1
 
     def __init__(self, n: int):
         self.n = n
@@ -172,56 +174,61 @@ def parity(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def ranges(grams: np.ndarray) -> bytes:
+    """How many hashes fall into each of RANGES ranges; a count ends at 255."""
+    return np.minimum(np.bincount((grams >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
+
+
 def least_common(n, num: int, den: int):
     """The fewest common n-grams of a node of n with a similar one."""
     return -(-num * n // den)
 
 
-def _profiles(df: DataFrame, n: int) -> DataFrame:
-    """df: key, digest, text. A row (key, digest, node, n) for each row, and rows (gram, count) of n-grams frequent in a task."""
+def _profiles(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """df: key, digest, text. A row (key, digest, node, n) for each row, and rows (gram, count): how many of some nodes of a task have
+    the n-gram among their first by hash. A node that several tasks have, or that a task has forgotten, counts more than once."""
     schema = T.StructType([*df.schema.fields[:2], T.StructField("node", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("gram", T.LongType()), T.StructField("count", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        shingle, seen, held, size, nodes = Shingler(n), set(), [], 0, 0
+        shingle, seen, held, size = Shingler(n), set(), [], 0
         kind = None
 
-        def frequent() -> pa.RecordBatch:
+        def counted() -> pa.RecordBatch:
             grams, counts = np.unique(np.concatenate(held), return_counts=True)
-            few = counts >= max(LOCAL_LEAST, nodes * LOCAL_SHARE)
-            m = int(few.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.array(grams[few].view(np.int64)), pa.array(counts[few].astype(np.int64))], names=schema.names)
+            m = len(grams)
+            return pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int64))], names=schema.names)
 
         for batch in batches:
             kind = batch.schema.field(0).type
             for part in grouped(batch, 2, GROUP):
                 names, sizes = [], []
                 for grams in shingle(part.column(2)):
-                    name = node_name(grams) if len(grams) else None
+                    name, m = node_name(grams) if len(grams) else None, len(grams)
                     names.append(name)
-                    sizes.append(len(grams))
+                    sizes.append(m)
                     if name and name not in seen:
                         seen.add(name)
-                        held.append(grams)
-                        size, nodes = size + len(grams), nodes + 1
+                        held.append(grams[: math.ceil(AHEAD * (m - least_common(m, num, den) + 1))].copy())
+                        size += len(held[-1])
                 m = part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=schema.names)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 if size >= COUNTED:
-                    yield frequent()
-                    seen, held, size, nodes = set(), [], 0, 0
+                    yield counted()
+                    held, size = [], 0
         if held:
-            yield frequent()
+            yield counted()
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def _prefixes(df: DataFrame, n: int, num: int, den: int, order: tuple) -> DataFrame:
-    """df: text. (node, n, ranges, prefix) of each distinct node; prefix: the first n-grams in the global order."""
+    """df: text. (name, n, parity, ranges, prefix) of each distinct node; prefix: the first n-grams in the global order."""
     shared = df.sparkSession.sparkContext.broadcast(order)
-    schema = "node binary, n int, ranges binary, parity array<bigint>, prefix array<bigint>"
+    schema = "name binary, n int, parity array<bigint>, ranges binary, prefix array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         shingle, seen = Shingler(n), set()
         common, rank = (np.frombuffer(b, t) for b, t in zip(shared.value, (np.uint64, np.int64), strict=True))
         for batch in batches:
@@ -239,60 +246,60 @@ def _prefixes(df: DataFrame, n: int, num: int, den: int, order: tuple) -> DataFr
                         chosen = grams[np.argsort(place, kind="stable")[:first]]
                     else:
                         chosen = grams[:first]
-                    rows.append((name, m, np.minimum(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes(), parity(grams), chosen.view(np.int64)))
+                    rows.append((name, m, parity(grams), ranges(grams) if m > LONG else None, chosen.view(np.int64)))
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.list_(pa.int64()))], names=["node", "n", "ranges", "parity", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.list_(pa.int64()))], names=["name", "n", "parity", "ranges", "prefix"])
 
-    return df.mapInArrow(run, schema).dropDuplicates(["node"])
+    return mapped(df, run, schema).dropDuplicates(["name"])
 
 
-def _bits(digests: list[str]) -> np.ndarray:
+def _bits(digests: pa.Array) -> np.ndarray:
     """Two places in the filter for each MD5."""
-    return (np.frombuffer(bytes.fromhex("".join(digests)), "<u4").reshape(-1, 4)[:, :2] % FILTER_BITS).astype(np.int64)
+    return (np.frombuffer(b"".join(digests.to_pylist()), "<u4").reshape(-1, 4)[:, :2] % FILTER_BITS).astype(np.int64)
 
 
 def packed(grams: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash, in order."""
-    return np.ascontiguousarray(grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    """The upper bits of each hash, in order."""
+    return np.ascontiguousarray(grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :PACKED]).tobytes()
 
 
-def common(a: bytes, b: bytes) -> int:
-    """How many hashes two packed sets share. (For two hashes of two sets to agree by chance in 40 bits takes about 10^6 words.)"""
-    def values(x: bytes) -> np.ndarray:
-        wide = np.zeros((len(x) // 5, 8), np.uint8)
-        wide[:, 3:] = np.frombuffer(x, np.uint8).reshape(-1, 5)
-        return wide.view(">u8").ravel().astype(np.uint64)
+def values(x: bytes) -> np.ndarray:
+    wide = np.zeros((len(x) // PACKED, 8), np.uint8)
+    wide[:, 8 - PACKED :] = np.frombuffer(x, np.uint8).reshape(-1, PACKED)
+    return wide.view(">u8").ravel().astype(np.uint64)
+
 
+def common(a: bytes, b: bytes) -> int:
+    """How many hashes two packed sets share. (For two hashes of two sets to agree by chance in 48 bits takes some 10^7 words.)"""
     x, y = values(a), values(b)
     both = np.sort(np.concatenate([x, y]))
     return int((both[1:] == both[:-1]).sum() - (x[1:] == x[:-1]).sum() - (y[1:] == y[:-1]).sum())
 
 
 def _sets(df: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """(node, grams) of wanted nodes, from the texts again. wanted: node, digest: the MD5 of one text of the node's. df: text. A
+    """(node, grams) of wanted nodes, from the texts again. wanted: node, name, digest: the MD5 of one text of the node's. df: text. A
     filter of fixed size goes out with the tasks: only texts in it are hashed, and only wanted ones are kept."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at = np.unique(_bits(batch.column(0).to_pylist()))
+                at = np.unique(_bits(batch.column(0)))
                 word, start = np.unique(at >> 6, return_index=True)
                 bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)), start)
                 yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
-    made = wanted.select("digest").mapInArrow(places, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
+    made = mapped(wanted.select("digest"), places, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
     words = np.zeros(FILTER_BITS >> 6, np.uint64)
     words[made.column("word").to_numpy()] = made.column("bits").to_numpy().view(np.uint64)
     shared = df.sparkSession.sparkContext.broadcast(words.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         shingle, asked, seen = Shingler(n), np.frombuffer(shared.value, np.uint64), set()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at = _bits(batch.column(1).to_pylist())
+            at = _bits(batch.column(1))
             hit = ((asked[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1)
             for part in grouped(batch.filter(pa.array(hit)), 0, GROUP):
                 new = [(node_name(g), g) for g in shingle(part.column(0)) if len(g)]
@@ -300,41 +307,57 @@ def _sets(df: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
                 seen.update(k for k, _ in new)
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in new], pa.binary()), pa.array([packed(g) for _, g in new], pa.binary())], names=["node", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in new], pa.binary()), pa.array([packed(g) for _, g in new], pa.binary())], names=["name", "grams"])
 
-    texts = df.where(F.col("text").isNotNull()).select("text", F.md5(F.encode("text", "utf-8")).alias("digest"))
-    made = texts.mapInArrow(run, "node binary, grams binary")
-    sets = settled(made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    texts = df.where(F.col("text").isNotNull()).select("text", digest_of("text").alias("digest"))
+    made = mapped(texts, run, "name binary, grams binary")
+    sets = settled(made.join(wanted.select("node", "name"), "name").select("node", "grams").dropDuplicates(["node"]), "sets")
     freed(df.sparkSession)
+    shared.destroy()
     return sets
 
 
+def digest_of(text: str) -> Column:
+    return F.unhex(F.md5(F.encode(text, "utf-8")))
+
+
 def _possible(a_n: Column, b_n: Column, a_pos: Column, b_pos: Column, num: int, den: int) -> Column:
     """Length and positional filters: the shorter one is long enough, and after an n-gram at these places enough may follow."""
     need = F.ceil((num * (a_n + b_n)) / F.lit(num + den))
     return (den * F.least(a_n, b_n) >= num * F.greatest(a_n, b_n)) & (1 + F.least(a_n - a_pos - 1, b_n - b_pos - 1) + F.least(a_pos, b_pos) >= need)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _alike(a_n: Column, b_n: Column, a: str, b: str, num: int, den: int) -> Column:
+    """The suffix filter: n-grams that only one of two sets has are at least as many as their parities a and b differ."""
+    apart = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(PARITIES)), F.lit(0))
+    return (den + num) * apart <= (den - num) * (a_n + b_n)
+
+
+def _verified(pairs: DataFrame, small: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """pairs: distinct (a, b). The suffix filter, then whole sets: (a, b, linked) of all of them."""
-    small = nodes.select("node", "n", "ranges", "digest")
-    named = pairs.join(small.toDF("a", "an", "ar", "ad"), "a").join(small.toDF("b", "bn", "br", "bd"), "b")
+    spark, own = small.sparkSession, small.select("node", "n", "parity")
+    named = pairs.join(own.toDF("a", "an", "ap"), "a").join(own.toDF("b", "bn", "bp"), "b")
+    named = settled(named.select("a", "b", "an", "bn", _alike(F.col("an"), F.col("bn"), "ap", "bp", num, den).alias("may")), "pairs")
+    long, columns = small.where(F.col("n") > LONG).select("node", "ranges"), ["a", "b", "an", "bn"]
 
     def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The n-grams that two nodes don't share are at least as many as their counts by range differ (counts end at 255)."""
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int64) for c in ("ar", "br"))
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16) for c in ("ar", "br"))
                 both = batch.column("an").to_numpy().astype(np.int64) + batch.column("bn").to_numpy()
-                may = (num + den) * (both - np.abs(x - y).sum(1)) >= 2 * num * both
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "an", "bn", "ad", "bd")), pa.array(may)], names=["a", "b", "an", "bn", "ad", "bd", "may"])
-
-    named = named.select("a", "b", "an", "bn", "ad", "bd", "ar", "br").mapInArrow(suffix, "a binary, b binary, an int, bn int, ad string, bd string, may boolean")
-    named = settled(named, "pairs")
-    near = named.where("may")
-    wanted = near.select(F.col("a").alias("node"), F.col("ad").alias("digest")).union(near.select("b", "bd")).groupBy("node").agg(F.min("digest").alias("digest"))
-    sets = _sets(docs, n, wanted)
-    both = near.select("a", "b", "an", "bn").join(sets.toDF("b", "bg"), "b").join(sets.toDF("a", "ag"), "a")
+                may = (num + den) * np.abs(x - y).sum(1, dtype=np.int64) <= (den - num) * both
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(may)], names=[*columns, "may"])
+
+    both_long = named.where(F.col("may") & (F.least("an", "bn") > LONG)).drop("may")
+    if both_long.limit(1).count():
+        both_long = both_long.join(long.toDF("a", "ar"), "a").join(long.toDF("b", "br"), "b").select(*columns, "ar", "br")
+        before = named
+        named = settled(mapped(both_long, suffix, "a long, b long, an int, bn int, may boolean").union(named.where(~F.col("may") | (F.least("an", "bn") <= LONG))), "pairs")
+        dropped(spark, before)
+    near = named.where("may").drop("may")
+    asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    sets = _sets(texts, n, small.join(asked, "node", "left_semi").select("node", "name", "digest"))
+    both = near.join(sets.toDF("b", "bg"), "b").join(sets.toDF("a", "ag"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,39 +365,43 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num:
             yes = [den * (c := common(x, y)) >= num * (p + q - c) for x, y, p, q in zip((x.as_py() for x in ag), (x.as_py() for x in bg), an.to_pylist(), bn.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([a, b, pa.array(yes, pa.bool_())], names=["a", "b", "linked"])
 
-    said = both.select("a", "b", "an", "bn", "ag", "bg").mapInArrow(run, "a binary, b binary, linked boolean")
+    said = mapped(both.select("a", "b", "an", "bn", "ag", "bg"), run, "a long, b long, linked boolean")
     done = settled(said.union(named.where("NOT may").select("a", "b", F.lit(False))), "links")
     for t in (sets, named):
-        dropped(docs.sparkSession, t)
-    freed(docs.sparkSession)
+        dropped(spark, t)
+    freed(spark)
     return done
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes in edges (a, b): root is the least node of the component. Large and small stars in turn, each
-    round written out; an edge list is a forest of stars when a round changes nothing."""
+    round written out, until a round changes nothing: then the edges are a forest of stars. Nodes with very many neighbours are
+    split between tasks."""
     spark = edges.sparkSession
+
+    def starred(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """df (u, v) with m, the least of u and its neighbours, and what can be dropped afterwards."""
+        least = settled(df.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("c")), "least")
+        return dealt_join(df, least.select("u", "m"), "u", "v", counts=least), least
+
     now = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
     before = None
-    for _ in range(rounds):
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
+    while (state := now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != before:
         before = state
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        both, a = starred(now.union(now.select("v", "u")))
+        large = settled(both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        near, b = starred(large)
+        small = near.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         following = settled(small, "stars")
-        dropped(spark, now)
+        for t in (now, a, b, large):
+            dropped(spark, t)
         now = following
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 class Found(NamedTuple):
-    """rows: key, digest, node, n of each row. roots: node, root of components of several nodes, but for the roots' own rows.
-    small: node, n, digest of each node. texts: text."""
+    """rows: key, digest, name, n of each row. roots: node, root of components of several nodes, but for the roots' own rows.
+    small: node, name, n, digest, best (the least key's struct), copies of each node. texts: text."""
 
     rows: DataFrame
     roots: DataFrame
@@ -382,24 +409,43 @@ class Found(NamedTuple):
     texts: DataFrame
 
 
+def rank() -> Column:
+    """What is least for the row that names a component, or stays: a null key comes last, then the digest decides."""
+    return F.struct(F.col("key").isNull().alias("none"), "key", "digest")
+
+
 def _found(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> Found:
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).alias("key"), F.md5(F.encode(text, "utf-8")).alias("digest"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).alias("key"), digest_of(text).alias("digest"), F.col(text).alias("text"))
     texts = docs.select("text")
-    profiles = settled(_profiles(docs, n), "profiles")
-    rows = profiles.where("gram IS NULL").select("key", "digest", "node", "n")
-    counts = profiles.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "gram").limit(FREQUENT)
-    found = counts.toArrow()  # FREQUENT rows at most
+    profiles = settled(_profiles(docs, n, num, den), "profiles")
+    rows = settled(profiles.where("gram IS NULL").select("key", "digest", F.col("node").alias("name"), "n"), "rows")
+    counts = settled(profiles.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("count").alias("count")).where("count > 1"), "counts")
+    dropped(spark, profiles)
+    # The least count of which, with all above it, there are at most FREQUENT.
+    least, held = 2, 0
+    for times, grams in counts.groupBy("count").agg(F.count(F.lit(1)).alias("grams")).orderBy(F.desc("count")).limit(FREQUENT).collect():  # a row a count: few
+        held += grams
+        if held > FREQUENT:
+            least = times + 1
+            break
+    found = counts.where(F.col("count") >= least).toArrow()  # FREQUENT rows at most
+    dropped(spark, counts)
+    freed(spark)
     grams, times = found.column("gram").to_numpy().view(np.uint64), found.column("count").to_numpy()
     by = np.argsort(grams)
-    nodes = settled(_prefixes(texts, n, num, den, (grams[by].tobytes(), times[by].astype(np.int64).tobytes())), "nodes")
+    del found
+    # Numbers are given where nodes are written, once, so they don't change afterwards.
+    nodes = settled(_prefixes(texts, n, num, den, (grams[by].tobytes(), times[by].astype(np.int64).tobytes())).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    freed(spark)
 
-    blocks_of = spark.createDataFrame([(int(g), int(c) // BLOCK + 1) for g, c in zip(grams.view(np.int64), times, strict=True) if c > 2 * BLOCK], "gram long, dealt int")
-    entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "gram")).join(F.broadcast(blocks_of), "gram", "left").withColumn("dealt", F.coalesce("dealt", F.lit(1)))  # of FREQUENT
-    entries = entries.withColumn("salt", F.when(F.col("dealt") > 1, F.pmod(F.xxhash64("node"), F.col("dealt"))).otherwise(F.lit(0)))
+    frequent = [(int(g), int(c) // BLOCK + 1) for g, c in zip(grams.view(np.int64), times, strict=True) if c > 2 * BLOCK]  # of FREQUENT
+    entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "gram")).join(F.broadcast(spark.createDataFrame(frequent, "gram long, dealt int")), "gram", "left").withColumn("dealt", F.coalesce("dealt", F.lit(1)))
+    entries = entries.withColumn("salt", F.when(F.col("dealt") > 1, F.pmod(F.xxhash64("node"), F.col("dealt"))).otherwise(F.lit(0)).cast("int"))
     entries = entries.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("gram", "salt"))).where("held > 1 OR dealt > 1").drop("held")
     entries = settled(entries, "entries")
-    small = settled(nodes.select("node", "n", "ranges", "parity").join(rows.groupBy("node").agg(F.min("digest").alias("digest")), "node"), "small")
+    of_rows = rows.where("name IS NOT NULL").groupBy("name").agg(F.min("digest").alias("digest"), F.min(rank()).alias("best"), F.count(F.lit(1)).alias("copies"))
+    small = settled(nodes.select("node", "name", "n", "parity", "ranges").join(of_rows, "name"), "small")
     dropped(spark, nodes)
     freed(spark)
 
@@ -414,8 +460,8 @@ def _found(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
     headed = entries.withColumn("other", F.first(one).over(ordered))
     heads = entries.where("dealt > 1").groupBy("gram", "salt").agg(F.min(F.struct("n", "node", "pos")).alias("h")).select("gram", "h.node", "h.n", "h.pos")
     heads = heads.withColumn("other", F.lag(one).over(Window.partitionBy("gram").orderBy("n", "node")))
-    tested = _verified(pairs_of(headed.select("node", "n", "pos", "other").union(heads.select("node", "n", "pos", "other"))), small, texts, n, num, den)
-    roots = components(tested.where("linked"))
+    tested = [_verified(pairs_of(headed.select("node", "n", "pos", "other").union(heads.select("node", "n", "pos", "other"))), small, texts, n, num, den)]
+    roots = components(tested[0].where("linked"))
 
     def still_mixed() -> DataFrame:
         """Entries of n-grams whose nodes are in more than one component, with their component."""
@@ -425,16 +471,19 @@ def _found(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
 
     def more_of(pairs: DataFrame) -> bool:
         """Verify pairs that weren't yet; True if there were any."""
-        nonlocal tested, roots
-        new = settled(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more")
+        nonlocal roots
+        for t in tested:
+            pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
+        new = settled(pairs, "more")
         if not new.limit(1).count():
             return False
-        again = _verified(new, small, texts, n, num, den)
-        before, tested = tested, settled(tested.union(again), "tested")
-        if again.where("linked").limit(1).count():
-            roots = components(tested.where("linked"))
-        for t in (new, again, before):
-            dropped(spark, t)
+        tested.append(_verified(new, small, texts, n, num, den))
+        dropped(spark, new)
+        if tested[-1].where("linked").limit(1).count():
+            # The stars so far stand for the links so far.
+            before, linked_now = roots, tested[-1].where("linked").select("a", "b")
+            roots = components(linked_now.union(before.select("node", "root")))
+            dropped(spark, before)
         return True
 
     # Neighbours in a block that are in different components: as many pairs as there are entries.
@@ -442,32 +491,35 @@ def _found(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
         mixed = settled(still_mixed(), "mixed")
         own = F.struct("node", "n", "pos", "root")
         beside = mixed.withColumn("last", F.lag(own).over(ordered)).where("last.root <> root").withColumn("other", F.struct("last.node", "last.n", "last.pos"))
-        if not more_of(pairs_of(beside.select("node", "n", "pos", "other"))):
+        more = more_of(pairs_of(beside.select("node", "n", "pos", "other")))
+        dropped(spark, mixed)
+        freed(spark)
+        if not more:
             break
 
-    # All that may still join two components.
+    # All that may still join two components. Entries of a frequent n-gram stand in bands by length, of which only equal and next
+    # ones can match, and meet block by block.
     mixed = settled(still_mixed().join(small.select("node", "parity"), "node"), "mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    apart = sum((F.bit_count(F.get("x.parity", F.lit(i)).bitwiseXOR(F.get("y.parity", F.lit(i)))) for i in range(PARITIES)), F.lit(0))
-    met = x.join(y, F.col("x.gram") == F.col("y.gram")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), num, den) & ((den + num) * apart <= (den - num) * (F.col("x.n") + F.col("y.n"))))
-    more_of(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    for t in (entries, mixed, tested):
+    names = ["gram", "node", "n", "pos", "root", "parity"]
+    x, y = mixed.where("dealt = 1").select(names).alias("x"), mixed.where("dealt = 1").select(names).alias("y")
+    able = (F.col("x.root") != F.col("y.root")) & _possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), num, den) & _alike(F.col("x.n"), F.col("y.n"), "x.parity", "y.parity", num, den)
+    met = x.join(y, F.col("x.gram") == F.col("y.gram")).where(F.col("x.node") < F.col("y.node")).where(able).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    band = F.floor(F.log("n") / (1.0001 * math.log(den / num))).cast("int") if den > num else F.col("n")
+    dealt = mixed.where("dealt > 1").withColumn("band", band)
+    x = dealt.select(*names, "salt", "band").alias("x")
+    y = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("dealt") - 1))).withColumn("meets", F.explode(F.array("band", F.col("band") - 1))).select(*names, "salt", "band", "meets").alias("y")
+    blocks = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.band") == F.col("y.meets")))
+    blocks = blocks.where((F.col("x.band") != F.col("y.band")) | (F.col("x.node") < F.col("y.node"))).where(able)
+    more_of(met.union(blocks.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))).distinct())
+    for t in (entries, mixed, *tested):
         dropped(spark, t)
+    freed(spark)
     return Found(rows, roots, small, texts)
 
 
-def placed_rows(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """(key, digest, n, root) of each row: the MD5 of its text, its n-grams, and its component's name (null without n-grams)."""
-    found = _found(docs, key, text, n, num, den)
-    return found.rows.join(found.roots, "node", "left").select("key", "digest", "n", F.coalesce("root", "node").alias("root"))
-
-
 def unpacked(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All hashes of packed sets, and for each the place of its set."""
-    data = np.frombuffer(b"".join(sets), np.uint8).reshape(-1, 5)
-    wide = np.zeros((len(data), 8), np.uint8)
-    wide[:, 3:] = data
-    return wide.view(">u8").ravel().astype(np.uint64), np.repeat(np.arange(len(sets)), [len(s) // 5 for s in sets])
+    return values(b"".join(sets)), np.repeat(np.arange(len(sets)), [len(s) // PACKED for s in sets])
 
 
 def common_of_all(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -495,19 +547,22 @@ def common_of_all(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out.astype(np.int64)  # sums under 2**24 are whole
 
 
+def _placed(found: Found) -> DataFrame:
+    """Every node of a component of several, and its root; the root's own row too."""
+    return found.roots.union(found.roots.select("root", "root").distinct())
+
+
 def _tiles(found: Found, n: int, num: int, den: int, counted: bool) -> DataFrame:
     """All links between nodes, as (a, b, common), or if counted as (node, linked): in each tile, how many rows have the nodes that
     one links with. Nodes of one component meet in one tile, whatever their place in it."""
     spark = found.rows.sparkSession
-    placed = found.roots.union(found.roots.select("root", "root").distinct())
-    members = placed.join(found.small.select("node", "n", "digest"), "node")
+    members = _placed(found).join(found.small.select("node", "name", "n", "digest", "copies"), "node")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("g"))
     parts = sizes.select("root", F.greatest(F.ceil(F.col("c") / TILE_NODES), F.ceil(F.col("g") / TILE_GRAMS)).cast("int").alias("parts")).where("parts > 1")
     few = F.broadcast if parts.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else (lambda x: x)
-    copies = found.rows.where("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
     dealt = members.join(few(parts), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    sets = _sets(found.texts, n, members.select("node", "digest"))
-    each = dealt.join(copies, "node").join(sets, "node").select("root", "node", "n", "copies", "grams", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    sets = _sets(found.texts, n, members.select("node", "name", "digest"))
+    each = dealt.drop("name", "digest").join(sets, "node").select("root", "node", "n", "copies", "grams", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     each = each.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "copies", "grams")
     each = each.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
 
@@ -526,10 +581,10 @@ def _tiles(found: Found, n: int, num: int, den: int, counted: bool) -> DataFrame
             sides = [(one, yes @ np.array([r[6] for r in two], np.int64))]
             if two is not one:
                 sides.append((two, np.array([r[6] for r in one], np.int64) @ yes))
-            return pa.RecordBatch.from_arrays([pa.array([r[4] for side, _ in sides for r in side], pa.binary()), pa.array(np.concatenate([c for _, c in sides]), pa.int64())], names=["node", "linked"])
+            return pa.RecordBatch.from_arrays([pa.array([r[4] for side, _ in sides for r in side], pa.int64()), pa.array(np.concatenate([c for _, c in sides]), pa.int64())], names=["node", "linked"])
         x, y = np.nonzero(np.triu(yes) if two is one else yes)
         pairs = [sorted((one[i][4], two[j][4])) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary()), pa.array(both[x, y], pa.int64())], names=["a", "b", "common"])
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64()), pa.array(both[x, y], pa.int64())], names=["a", "b", "common"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
@@ -543,7 +598,7 @@ def _tiles(found: Found, n: int, num: int, den: int, counted: bool) -> DataFrame
         if held and (made := tile(held)):
             yield made
 
-    done = settled(each.mapInArrow(run, "node binary, linked long" if counted else "a binary, b binary, common long"), "tiles")
+    done = settled(mapped(each, run, "node long, linked long" if counted else "a long, b long, common long"), "tiles")
     dropped(spark, sets)
     freed(spark)
     return done
@@ -553,7 +608,8 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
     """Every link between different sets of n-grams as (a, b, common), once, a < b, and (key, node) of each row (node null without
     n-grams). Rows of one node link too. The first has as many rows as there are links: a group of near copies gives its square."""
     found = _found(docs, key, text, n, num, den)
-    return _tiles(found, n, num, den, counted=False), found.rows.select(F.col("key").alias(key), "node")
+    members = dealt_join(found.rows, found.small.select("name", "node"), "name", "digest", "left")
+    return _tiles(found, n, num, den, counted=False), members.select(F.col("key").alias(key), "node")
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -566,26 +622,28 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3,
     """
     found = _found(docs, key, text, n, num, den)
     others = _tiles(found, n, num, den, counted=True).groupBy("node").agg(F.sum("linked").alias("linked"))
-    counts = found.rows.where("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("copies")).join(others, "node", "left")
-    counts = counts.select("node", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    rows = found.rows.join(found.roots, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("key").alias("component"))
-    done = rows.join(names, "root", "left")
-    return done.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    nodes = found.small.select("node", "name", F.col("best.key").alias("own"), "copies").join(others, "node", "left")
+    placed = settled(_placed(found).join(found.small.select("node", F.col("best.key").alias("own")), "node"), "placed")
+    named = placed.groupBy("root").agg(F.min("own").alias("component"))
+    named = dealt_join(placed.select("node", "root"), settled(named, "names"), "root", "node").select("node", "component")
+    nodes = settled(nodes.join(named, "node", "left").select("name", F.coalesce("component", "own").alias("component"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "named")
+    done = dealt_join(found.rows, nodes, "name", "digest", "left")
+    return done.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs, with one row of each component: the one with the least key (a null key comes last, then the digest of the text
-    decides). Rows without n-grams all stay; of repeated rows, one. Texts aren't shuffled while the keys of rows that go, and
-    of rows that are repeated, number at most BROADCAST_KEYS."""
-    rows = settled(placed_rows(docs, key, text, n, num, den), "rows")
-    rank = F.struct(F.col("key").isNull().alias("k"), "key", "digest")
-    best = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(rank).alias("best"))
-    each = rows.where("root IS NOT NULL").join(best, "root").withColumn("stays", rank == F.col("best"))
+    decides). Rows without n-grams, null and empty texts among them, all stay; of repeated rows, one. An empty table stays empty.
+    Texts aren't shuffled while the keys of rows that go, and of rows that are repeated, number at most BROADCAST_KEYS."""
+    found = _found(docs, key, text, n, num, den)
+    placed = settled(_placed(found).join(found.small.select("node", "name", "best"), "node"), "placed")
+    stays = dealt_join(placed.select("name", "root"), settled(placed.groupBy("root").agg(F.min("best").alias("best")), "names"), "root", "name").select("name", "best")
+    alone = found.small.where("copies > 1").join(_placed(found), "node", "left_anti").select("name", "best")
+    each = dealt_join(found.rows, settled(stays.union(alone), "stays"), "name", "digest").withColumn("stays", rank() == F.col("best"))
     each = settled(each.groupBy("key", "digest", "stays").agg(F.count(F.lit(1)).alias("c")).where("NOT stays OR c > 1"), "goes")
     few = F.broadcast if each.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else (lambda x: x)
     again = each.where("stays").select("key", "digest")
-    own = [docs[f"`{key}`"], F.md5(F.encode(docs[f"`{text}`"], "utf-8"))]
+    own = [docs[f"`{key}`"], F.unhex(F.md5(F.encode(docs[f"`{text}`"], "utf-8")))]
 
     def met(t: DataFrame):
         return own[0].eqNullSafe(t["key"]) & (own[1] == t["digest"])

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import math
 import tempfile
 import time
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -40,9 +43,11 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (a local session) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without it a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -76,6 +81,62 @@ def freed(spark: SparkSession) -> None:
     time.sleep(0.3)
 
 
+#: Rows of one key from which `dealt_join` splits it, and the share of all rows from which it does.
+HOT_ROWS, HOT_SHARE = 500, 1 / 1000
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """left joined with right, which has one row for each key. Keys with more than HOT_SHARE of left's rows, of which there can be
+    no more than 1 / HOT_SHARE, are split between tasks by a hash of left's column `by`, and their rows of right repeated.
+    counts: left's keys and how many rows of left have them, where that is known."""
+    counts = counts or left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("c"))
+    size = counts.agg(F.sum("c").alias("all"), F.max("c").alias("most")).first()
+    most = max(HOT_ROWS, math.ceil((size["all"] or 0) * HOT_SHARE))
+    if (size["most"] or 0) <= most:
+        return left.join(right, key, how)
+    hot = [(r[0], math.ceil(r[1] / most)) for r in counts.select(key, "c").where(F.col("c") > most).collect()]  # 1 / HOT_SHARE rows at most
+    dealt = F.broadcast(left.sparkSession.createDataFrame(hot, T.StructType([T.StructField(key, left.schema[key].dataType), T.StructField("__d", T.IntegerType())])))
+    split = left.join(dealt, key, "left").withColumn("__salt", F.when(F.col("__d").isNotNull(), F.pmod(F.xxhash64(by), F.col("__d")).cast("int")).otherwise(0)).drop("__d")
+    again = right.join(dealt, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__d", F.lit(1)) - 1))).drop("__d")
+    return split.join(again, [key, "__salt"], how).drop("__salt")
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function over Arrow batches, without passes of Python's collector while it lasts (tables of many small objects hold no
+    cycles). Afterwards the worker, which Spark keeps for later tasks, gives back the memory that it no longer uses."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied
+
+
+#: Rows of a batch of texts. Spark's default of 10,000 takes tens of megabytes for each side of each Python task.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of this session hold no more than BATCH_ROWS rows: with texts, memory is what rows cost."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow for texts: batches are small, and `run` is tidied."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(tidy(run), schema)
+
+
 def grouped(batch: pa.RecordBatch, at: int, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes of text in column `at` each, one row at least: long texts don't add up."""
     first, held = 0, 0
