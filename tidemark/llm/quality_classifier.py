@@ -8,7 +8,6 @@ updates one by one on the driver. Scoring is a sparse dot product for each text,
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import grouped, without
+from tidemark.llm.shared import grouped, mapped, without
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 BITS, SAMPLE, EPOCHS = 18, 8_000, 3
@@ -27,7 +26,7 @@ BITS, SAMPLE, EPOCHS = 18, 8_000, 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.02
 #: Shares of n-grams are small; this makes a text's features add up to it.
 SCALE = 8.0
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: The hash of a pair of one token with itself, whichever it is.
 TWICE = np.uint32(0x7457494E)
 ADDED = {"quality_score": T.DoubleType(), "quality_predicted": T.IntegerType()}
@@ -76,7 +75,7 @@ def trained(vectors: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS,
     for _ in range(epochs):
         for i in order.permutation(len(vectors)):
             y, idx, val = vectors[i]
-            idx, val = np.append(idx, 1 << bits), np.append(val * SCALE, 1.0)
+            idx, val = np.append(idx.astype(np.int64), 1 << bits), np.append(val.astype(np.float64) * SCALE, 1.0)
             zi, ni = z[idx], n[idx]
             wi = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
             p = 1 / (1 + np.exp(-np.clip(wi @ val, -35, 35)))
@@ -94,7 +93,8 @@ def sampled(labels: DataFrame, label: str, key: str, rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = SAMPLE, bits: int = BITS) -> Model:
-    """Trained on the labelled rows given (leave held-out ones out beforehand). Without any the model scores every text 0.5."""
+    """Trained on the labelled rows given (leave held-out ones out beforehand). Without any, or without documents, the model scores
+    every text 0.5. Of an id that docs have several times, each row counts; null texts count as empty ones."""
     few = F.broadcast(sampled(labels, label, key, sample))  # at most `sample` rows
     rows = docs.select(key, text).join(few, key).select(F.col(label).cast("int").alias("y"), F.xxhash64(text).alias("h"), text)
 
@@ -105,8 +105,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
                 got = [np.unique(hasher(t), return_counts=True) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([i.astype("<u4").tobytes() for i, _ in got], pa.binary()), pa.array([(c / max(1, c.sum())).astype("<f4").tobytes() for _, c in got], pa.binary())], names=["y", "h", "i", "v"])
 
-    got = rows.mapInArrow(run, "y int, h long, i binary, v binary").toArrow().sort_by([("h", "ascending"), ("y", "ascending"), ("i", "ascending")])
-    vectors = [(y, np.frombuffer(i, "<u4").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64)) for y, i, v in zip(*(got.column(c).to_pylist() for c in ("y", "i", "v")), strict=True)]
+    got = mapped(rows, run, "y int, h long, i binary, v binary").toArrow().sort_by([("h", "ascending"), ("y", "ascending"), ("i", "ascending")])
+    # Views into the table: the sample's vectors are on the driver once.
+    vectors = [(y, np.frombuffer(i.as_buffer(), "<u4"), np.frombuffer(v.as_buffer(), "<f4")) for y, i, v in zip(got.column("y").to_pylist(), got.column("i"), got.column("v"), strict=True)]
     return trained(vectors, bits)
 
 
@@ -118,13 +119,12 @@ def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast((model.weights.tobytes(), model.constant, model.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         weights, constant, bits = shared.value
         own = Model(np.frombuffer(weights, np.float32), constant, bits)
         hasher = Hasher(bits)
         for batch in batches:
-            for part in grouped(batch, at):
+            for part in grouped(batch, at, 1_000_000):
                 scores = [own.score(hasher(t)) for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=[*part.schema.names, *ADDED])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)

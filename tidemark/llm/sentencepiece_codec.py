@@ -10,7 +10,6 @@ so that executors need no file of their own.
 
 from __future__ import annotations
 
-import gc
 import re
 import struct
 from array import array
@@ -21,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import grouped, without
+from tidemark.llm.shared import grouped, mapped, without
 
 MARK = "▁"
 UINT32 = "I" if array("I").itemsize == 4 else "L"
 #: Chunks that a task remembers, and characters of text that it handles at a time (one text at least): bounds of its memory.
-TABLE_ENTRIES, GROUP_CHARS = 600_000, 4_000_000
+TABLE_ENTRIES, GROUP_CHARS = 150_000, 500_000
 ADDED = {"token_ids": T.BinaryType(), "n_tokens": T.LongType(), "decoded": T.StringType()}
 
 
@@ -107,7 +106,6 @@ def encoded(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the table's many small objects hold no cycles
         table = ChunkTable(model)
         for batch in batches:
             for part in grouped(batch, at, GROUP_CHARS):
@@ -115,7 +113,7 @@ def encoded(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
                 more = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*batch.schema.names, *ADDED])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def decoded(df: DataFrame, model: bytes, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -130,4 +128,4 @@ def decoded(df: DataFrame, model: bytes, ids: str = "token_ids", out: str = "dec
             texts = [None if b is None else sp.decode(list(struct.unpack(f"<{len(b) // 4}I", b))) for b in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)

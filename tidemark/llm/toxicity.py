@@ -8,7 +8,6 @@ task remembers what it has found for a word, within a bound. Texts are scored wh
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.quality_classifier import sampled
-from tidemark.llm.shared import grouped, without
+from tidemark.llm.shared import grouped, mapped, without
 
 #: Terms of abuse that are sought with misspellings.
 WORDS = (
@@ -190,7 +189,7 @@ def _prefixes(docs: DataFrame) -> DataFrame:
                     ys += [y] * len(found)
                 yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array(ys, pa.int32())], names=["stem", "y"])
 
-    return docs.mapInArrow(run, "stem string, y int").groupBy("stem").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("others"))
+    return mapped(docs, run, "stem string, y int").groupBy("stem").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("others"))
 
 
 def learned_stems(docs: DataFrame) -> tuple[str, ...]:
@@ -233,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
                 got = [finder.features(t)[0] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = rows.where(half == 0).mapInArrow(run, "y int, x array<double>").toArrow()
+    got = mapped(rows.where(half == 0), run, "y int, x array<double>").toArrow()
     pairs = sorted(zip(got.column("x").to_pylist(), got.column("y").to_pylist(), strict=True))
     x, y = np.array([p[0] for p in pairs]).reshape(-1, FEATURES), np.array([p[1] for p in pairs], float)
     return Model(words, stems, tuple(logistic(x, y)) if len(y) else (0.0,) * (FEATURES + 1))
@@ -248,7 +247,6 @@ def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema, at = T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in ADDED.items())]), df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         finder, w = Finder(model.words, model.stems), np.array(model.weights)
         for batch in batches:
             for part in grouped(batch, at):
@@ -258,4 +256,4 @@ def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 new = [pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *ADDED])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
