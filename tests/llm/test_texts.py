@@ -294,3 +294,8 @@ def test_license_phrases_and_templates(spark):
     assert license_scan.scanned(frame(spark, [])).collect() == []
     with pytest.raises(ValueError):
         license_scan.scanned(frame(spark, []), phrases=(("a b a", "x"),))
+
+
+def test_accounts_end_where_their_country_says():
+    for t, found in [("GB82 WEST 1234 5698 7654 32 OK THEN", "GB82 WEST 1234 5698 7654 32"), ("x DE89370400440532013000 2024", "DE89370400440532013000"), ("DE89370400440532013000X", None), ("GB82 WEST 1234 5698 7654 33", None), ("QQ82 WEST 1234 5698 7654 32", None)]:
+        assert [t[x.start : x.end] for x in pii.spans(t) if x.kind == "iban"] == ([found] if found else []), t

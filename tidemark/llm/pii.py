@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import grouped, without
+from tidemark.llm.shared import grouped, mapped, without
 
 BASE = ("email", "ip", "card", "phone")
 MORE = ("iban", "ssn", "secret")
@@ -39,7 +39,15 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18,
+    "DO": 28, "EE": 20, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23,
+    "IS": 26, "IT": 27, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30,
+    "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26,
+    "UA": 29, "VG": 24, "XK": 20,
+}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z_/+-]*[0-9])(?:[0-9a-fA-F]{32,128}|[A-Za-z0-9+/_-]{24,128}={0,2})(?![A-Za-z0-9+/_=-])")
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
@@ -78,6 +86,17 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def ibans(text: str) -> Iterator[tuple[int, int, bool]]:
+    """Accounts as long as their country's are, whatever capitals or digits follow a space, and whether their check digits hold."""
+    for m in IBAN.finditer(text):
+        length, end = IBAN_LENGTHS.get(m[0][:2], 0), m.start()
+        for _ in range(length):
+            end += text[end : end + 1] == " "
+            end += 1
+        if length and end <= m.end() and not text[end : end + 1].isalnum():
+            yield m.start(), end, mod97(text[m.start() : end].replace(" ", ""))
+
+
 def near(kind: str, text: str, start: int, end: int) -> bool:
     return bool(CONTEXT_RE[kind].search(text, max(0, start - NEAR), start) or CONTEXT_RE[kind].search(text, end, end + NEAR))
 
@@ -101,9 +120,7 @@ def spans(text: str | None) -> list[Span]:
             for m in PHONE.finditer(text):
                 if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
                     found.append(("phone", *m.span(), True))
-        for m in IBAN.finditer(text):
-            plain = m[0].replace(" ", "")
-            found.append(("iban", *m.span(), 15 <= len(plain) <= 34 and mod97(plain)))
+        found += [("iban", *x) for x in ibans(text)]
         found += [("ssn", *m.span(), True) for m in SSN.finditer(text)]
         found += [("secret", *m.span(), len(set(m[0])) >= 8) for m in SECRET.finditer(text)]
     out = []
@@ -131,7 +148,8 @@ def with_spans(df: DataFrame, text: str = "text", out: str = "pii_spans") -> Dat
 
 
 def redacted(df: DataFrame, text: str = "text", out: str = "pii_kinds") -> DataFrame:
-    """df with its spans masked in the text (null stays null), and the kinds that were found, one entry for each span."""
+    """df with its spans masked in the text (null stays null, empty stays empty), and the kinds that were found, one entry for each
+    span. One row out for each row in, repeated rows too; an empty table gives an empty result."""
 
     def run(texts: list[str | None]) -> list[list]:
         each = [spans(t) for t in texts]
@@ -155,4 +173,4 @@ def _mapped(df: DataFrame, text: str, added: dict[str, T.DataType], run) -> Data
                 columns = dict(zip(part.schema.names, part.columns, strict=True)) | dict(zip(types, new, strict=True))
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return df.mapInArrow(go, schema)
+    return mapped(df, go, schema)

@@ -83,7 +83,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("pii_spans", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in pii.BASE]
-    return done.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("pii_spans").alias("spans"))
+    return done.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("pii_spans").alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
