@@ -201,6 +201,25 @@ def test_channel_choice_and_rendering():
     assert len(y) == 4004 and np.abs(y[500:3500] - np.sin(np.arange(500, 3500) / 1.001 / 7)).max() < 0.02
     assert len(signal.at_rate(x, 1000, -1, 5, 800)) == 4000 and not signal.at_rate(x, 1000, 3.5, 1, 800)[401:].any()
     assert signal.theil_sen(np.arange(9.0), 1.001 * np.arange(9.0) + 2, True)[:2] == pytest.approx((1.001, 2))
+    assert signal.theil_sen(np.array([0.0, 10, 20]), np.array([0.0, 10.02, 20]), True)[:2] == pytest.approx((1.0, 0.02 / 3))
+    assert signal.theil_sen(np.array([0.0, 10, 20]), np.array([0.0, 10.02, 20]), False)[:2] == (1.0, 0.0)
+    line = [(x, 1.001 * x, 0.9) for x in (0.0, 30, 60, 90, 120, 150)]
+    assert signal.step_probes(line, 1.001, lambda c: 1 / 0) == [] and signal.step_probes(line[:3], 1.0, lambda c: 1 / 0) == []
+
+    def step(c):  # 50 ms at 70 s
+        return c, c + 0.05 * (c > 70), 0.9
+
+    stepped = [step(x) for x in (0.0, 30, 60, 90, 120, 150)]
+    probes = signal.step_probes(stepped, 1.0, step)
+    assert len(probes) == 5 and min(abs(p[0] - 70) for p in probes) < 1.0
+    assert signal.step_probes(stepped, 1.0, lambda c: (c, c, 0.1)) == []
+    near = np.array([0.0, 1, 2, 2.05, 3, 4, 5, 6])
+    bent = np.where(near < 3, near, near + 0.05)
+    assert signal.piecewise(near, bent + np.where(near == 2.05, 0.5, 0), np.where(near == 2.05, 0.1, 0.9)) is not None
+    assert signal.piecewise(near, bent[::-1]) is None and signal.piecewise(np.arange(6.0), np.array([0.0, 1, 2, 3.5, 4.5, 5.5])) is None
+    sound = np.random.default_rng(3).normal(size=16_000 * 6)
+    x, y, q = signal.observe(sound, sound, 1.0, 0.0, 5.9, 2.1)  # a window that would end behind the recordings
+    assert abs(x - y) < 1e-4 and x < 6 and q > 0.6
     knots, residual = signal.piecewise(np.arange(10.0), np.concatenate([np.arange(5.0), np.arange(5.0, 10) + 0.05]))
     assert residual <= 0.006 and 3 <= len(knots) <= 8
 
@@ -281,6 +300,9 @@ def test_retimes_and_windows():
     assert timelines.graph_retime([(0, 0), (50, 100)], 0, 25, None) == (2.0, False, 0.0, 50.0)
     assert timelines.graph_retime([(0, 100), (100, 0)], 0, 50, -1.0) == (1.0, True, 49.0, 99.0)
     assert timelines.graph_retime([(0, 0), (10, 30), (20, 20)], 0, 20, None) is None
+    # 25 frames a second on a sequence of 30: a slope of 5 to 6 is the usual speed.
+    assert timelines.graph_retime([(0, 0), (60, 50)], 0, 30, 1.0, 30, 25) == pytest.approx((1.0, False, 0.0, 25.0))
+    assert timelines.graph_retime([(0, 0), (60, 100)], 0, 30, None, 30, 25) == pytest.approx((2.0, False, 0.0, 50.0))
     e = {"start": 0.0, "end": 10.0, "source_in": 0.0, "source_out": 20.0, "reverse": True}
     assert timelines.clip_to_window(e, 2, 9) | {} == {**e, "start": 2, "end": 9, "source_in": 2.0, "source_out": 16.0} and timelines.clip_to_window(e, 10, 12) is None
 

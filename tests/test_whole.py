@@ -22,13 +22,13 @@ def test_all_orders_are_videos_or_recorders(spark, monkeypatch):
     data = [(i, rng.randrange(9), s := rng.randrange(900), s + rng.randint(1, 120)) for i in range(150)]
     monkeypatch.setattr(standins, "order_intervals", lambda *_: spark.createDataFrame(data, "id long, source long, start long, end long"))
     audio, first = {}, {}
-    for v, _, a, b in (r for r in data if r[0] % 3 == 0):
-        met = [(i, s % 4, i * 31 % 1009, max(a, c), min(b, d)) for i, s, c, d in data if i % 3 and c < b and a < d]
+    for v, island, a, b in (r for r in data if r[0] % 3 == 0):
+        met = [(i, i % 4, i * 31 % 1009, max(a, c), min(b, d)) for i, s, c, d in data if i % 3 and s == island and c < b and a < d]
         if met:
             i, lane, _, c, d = min(met, key=lambda m: (m[1], m[3] - m[4], m[2], m[0]))
             audio[v], first[v] = (i, lane, c, d), min(met, key=lambda m: (m[2], m[0]))[0]
-    assert {r.id: tuple(r)[1:] for r in found("all_replaced_audio")(spark, "").collect()} == audio
-    assert {r.id: r.recorder for r in found("all_first_recorder")(spark, "").collect()} == first
+    assert {r.id: tuple(r)[1:] for r in found("replaced_audio")(spark, "").collect()} == audio
+    assert {r.id: r.recorder for r in found("first_recorder")(spark, "").collect()} == first
 
 
 def test_all_pages_are_clips_or_edits(spark, tmp_path):
@@ -36,7 +36,7 @@ def test_all_pages_are_clips_or_edits(spark, tmp_path):
     spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     clips = {u for i, u in enumerate(urls) if i % 3 == 0}
     want = {u for i, u in enumerate(urls) if i % 3 and u not in clips and not u.endswith(".html")}
-    assert want and sorted(r.path for r in found("all_unresolved_media")(spark, str(tmp_path)).collect()) == sorted(want)
+    assert want and sorted(r.path for r in found("unresolved_media")(spark, str(tmp_path)).collect()) == sorted(want)
 
 
 def test_all_customers_are_packed(spark, tmp_path):
@@ -46,7 +46,7 @@ def test_all_customers_are_packed(spark, tmp_path):
     for k in sorted(keys):
         want[k] = at
         at += k % 7 + 1.0
-    assert {r.position: r.start for r in found("all_packed_groups")(spark, str(tmp_path)).collect()} == want
+    assert {r.position: r.start for r in found("packed_groups")(spark, str(tmp_path)).collect()} == want
 
 
 def test_every_edge_has_its_place(spark, monkeypatch):
@@ -54,5 +54,4 @@ def test_every_edge_has_its_place(spark, monkeypatch):
     data = [(i, i + 9000, rng.randint(30, 50) / 50, rng.randint(3, 6), float(rng.randint(3, 9)), rng.randint(0, 8) / 100, "waveform") for i in range(2500)]
     monkeypatch.setattr(standins, "line_edges", lambda *_: spark.createDataFrame(data, "left long, right long, confidence double, anchors long, covered double, residual double, evidence string"))
     want = sorted(data, key=lambda e: (-int(e[2] * 10000 + 0.5), -e[3], -e[4], int(e[5] * 10000 + 0.5), e[0]))
-    assert [r.left for r in sorted(found("all_edge_order")(spark, "").collect(), key=lambda r: r.n)] == [e[0] for e in want]
-    assert sorted(r.n for r in found("edge_order")(spark, "").collect()) == list(range(1, 1001))
+    assert [r.left for r in sorted(found("edge_order")(spark, "").collect(), key=lambda r: r.n)] == [e[0] for e in want]

@@ -85,22 +85,24 @@ def cut_and_remove(items: DataFrame, head: float, tail: float, shortest: float,
     return close_gaps(out, ["island"]) if close else out
 
 
-def first_overlapping(videos: DataFrame, recorders: DataFrame, width) -> DataFrame:
-    """For each video (id, start, end) the first recorder, in order of `position`, whose whole span overlaps its own."""
-    met = overlap_join(videos, recorders, width)
+def first_overlapping(videos: DataFrame, recorders: DataFrame, width, group: list[str] | None = None) -> DataFrame:
+    """For each video (id, start, end) the first recorder, in order of `position`, whose whole span overlaps its own; with
+    `group` (an island), of the recorders there."""
+    met = overlap_join(videos, recorders, width, group)
     return met.groupBy(F.col("l_id").alias("id")).agg(F.min_by("r_id", F.struct("r_position", "r_id")).alias("recorder"))
 
 
-def replaced_audio(videos: DataFrame, recorders: DataFrame, width) -> DataFrame:
+def replaced_audio(videos: DataFrame, recorders: DataFrame, width, group: list[str] | None = None) -> DataFrame:
     """For each video the recorder on the lowest lane that overlaps it, there the one with most overlap (the first of
-    equals), cut to the overlap; the source range follows, the confidence is the lesser one.
+    equals), cut to the overlap; the source range follows, the confidence is the lesser one. With `group` (an island), of the
+    recorders there.
 
     videos: id, start, end, confidence; recorders: id, lane, position, start, end, source_in, confidence."""
-    met = overlap_join(videos, recorders, width).withColumn("shared", overlap(F.col("l_start"), F.col("l_end"), F.col("r_start"), F.col("r_end")))
-    rank = F.row_number().over(Window.partitionBy("l_id").orderBy("r_lane", F.desc("shared"), "r_position", "r_id"))
-    one = met.withColumn("rn", rank).where("rn = 1")
+    met = overlap_join(videos, recorders, width, group).withColumn("shared", overlap(F.col("l_start"), F.col("l_end"), F.col("r_start"), F.col("r_end")))
     start = F.greatest("l_start", "r_start")
-    return one.select(F.col("l_id").alias("id"), F.col("r_id").alias("recorder"), F.col("r_lane").alias("lane"), start.alias("start"), F.least("l_end", "r_end").alias("end"), (F.col("r_source_in") + start - F.col("r_start")).alias("source_in"), F.least("l_confidence", "r_confidence").alias("confidence"))
+    chosen = F.struct(F.col("r_id").alias("recorder"), F.col("r_lane").alias("lane"), start.alias("start"), F.least("l_end", "r_end").alias("end"), (F.col("r_source_in") + start - F.col("r_start")).alias("source_in"), F.least("l_confidence", "r_confidence").alias("confidence"))
+    best = F.min_by(chosen, F.struct("r_lane", -F.col("shared"), "r_position", "r_id"))
+    return met.groupBy(F.col("l_id").alias("id")).agg(best.alias("best")).select("id", "best.*")
 
 
 def nearest_audio(videos: DataFrame, audio: DataFrame, frame_seconds: Column) -> DataFrame:

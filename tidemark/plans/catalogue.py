@@ -252,50 +252,32 @@ def lone_recorders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.lone_recorders(iv, 60).select("id")
 
 
-@query(
-    "WITH "
-    + _INTERVALS
-    + """, v AS (SELECT * FROM iv WHERE id % 3 = 0), r AS (SELECT *, id * 31 % 1009 AS pos, source % 4 AS lane FROM iv WHERE id % 100 = 1)
-SELECT v.id, r.id AS recorder, CAST(r.lane AS BIGINT) AS lane, CAST(greatest(v.s, r.s) AS BIGINT) AS start, CAST(least(v.e, r.e) AS BIGINT) AS "end" FROM v JOIN r ON v.s < r.e AND r.s < v.e
-QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY r.lane, least(v.e, r.e) - greatest(v.s, r.s) DESC, r.pos, r.id) = 1"""
-)
-def replaced_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The recorder that stands in for a camera's sound."""
-    iv = standins.order_intervals(spark, sf_dir)
-    v = iv.where("id % 3 = 0").withColumn("confidence", F.lit(1.0))
-    r = iv.where("id % 100 = 1").withColumns({"position": F.col("id") * 31 % 1009, "lane": F.col("source") % 4, "source_in": F.lit(0), "confidence": F.lit(0.9)})
-    return intervals.replaced_audio(v, r, 60).select("id", "recorder", "lane", "start", "end")
-
-
 def _roles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All orders: every third one a video, the others recorders."""
     iv = standins.order_intervals(spark, sf_dir)
-    r = iv.where("id % 3 <> 0").withColumns({"position": F.col("id") * 31 % 1009, "lane": F.col("source") % 4, "source_in": F.lit(0), "confidence": F.lit(0.9)})
+    r = iv.where("id % 3 <> 0").withColumns({"position": F.col("id") * 31 % 1009, "lane": F.col("id") % 4, "source_in": F.lit(0), "confidence": F.lit(0.9)})
     return iv.where("id % 3 = 0").withColumn("confidence", F.lit(1.0)), r
 
 
-@query()
-def all_replaced_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C26 on all orders. (Held against a plain loop in the tests.)"""
-    return intervals.replaced_audio(*_roles(spark, sf_dir), 60).select("id", "recorder", "lane", "start", "end")
-
-
-@query()
-def all_first_recorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C25 on all orders. (Held against a plain loop in the tests.)"""
-    return intervals.first_overlapping(*_roles(spark, sf_dir), 60)
+_ROLES = ", v AS (SELECT * FROM iv WHERE id % 3 = 0), r AS (SELECT *, id * 31 % 1009 AS pos, id % 4 AS lane FROM iv WHERE id % 3 <> 0) "
 
 
 @query(
     "WITH "
     + _INTERVALS
-    + """, v AS (SELECT * FROM iv WHERE id % 3 = 0), r AS (SELECT *, id * 31 % 1009 AS pos FROM iv WHERE id % 100 = 1)
-SELECT v.id, r.id AS recorder FROM v JOIN r ON v.s < r.e AND r.s < v.e QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY r.pos, r.id) = 1"""
+    + _ROLES
+    + """SELECT v.id, r.id AS recorder, CAST(r.lane AS BIGINT) AS lane, CAST(greatest(v.s, r.s) AS BIGINT) AS start, CAST(least(v.e, r.e) AS BIGINT) AS "end" FROM v JOIN r ON v.source = r.source AND v.s < r.e AND r.s < v.e
+QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY r.lane, least(v.e, r.e) - greatest(v.s, r.s) DESC, r.pos, r.id) = 1"""
 )
+def replaced_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recorder of its island (a customer's orders) that stands in for a camera's sound."""
+    return intervals.replaced_audio(*_roles(spark, sf_dir), 60, ["source"]).select("id", "recorder", "lane", "start", "end")
+
+
+@query("WITH " + _INTERVALS + _ROLES + "SELECT v.id, r.id AS recorder FROM v JOIN r ON v.source = r.source AND v.s < r.e AND r.s < v.e QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY r.pos, r.id) = 1")
 def first_recorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first recorder that overlaps a video."""
-    iv = standins.order_intervals(spark, sf_dir)
-    return intervals.first_overlapping(iv.where("id % 3 = 0"), iv.where("id % 100 = 1").withColumn("position", F.col("id") * 31 % 1009), 60)
+    """The first recorder of its island that overlaps a video."""
+    return intervals.first_overlapping(*_roles(spark, sf_dir), 60, ["source"])
 
 
 @query(
@@ -335,16 +317,9 @@ def consecutive_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.consecutive_runs(d, ["user_id"], 3)
 
 
-@query("""SELECT c_custkey AS position, c_acctbal * 0 + c_custkey % 7 AS length, coalesce(sum(c_custkey % 7 + 1.0) OVER (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM customer WHERE c_nationkey = 3""")
+@query("""SELECT c_custkey AS position, c_acctbal * 0 + c_custkey % 7 AS length, coalesce(sum(c_custkey % 7 + 1.0) OVER (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM customer""")
 def packed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups one behind another with a second between them."""
-    c = table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("position"), (F.col("c_custkey") % 7).cast("double").alias("length"))
-    return intervals.packed(c)
-
-
-@query()
-def all_packed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L26 on all customers. (Held against a plain loop in the tests.)"""
     return intervals.packed(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("position"), (F.col("c_custkey") % 7).cast("double").alias("length")))
 
 
@@ -479,15 +454,9 @@ def admitted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.admitted(standins.line_edges(spark, sf_dir)).select("left", "right")
 
 
-@query("WITH " + _EDGES + ' SELECT l AS "left", r AS "right", row_number() OVER (ORDER BY floor(confidence * 10000 + 0.5) DESC, anchors DESC, floor(covered * 10 + 0.5) DESC, floor(residual * 10000 + 0.5), l, r) AS n FROM ad QUALIFY n <= 1000')
+@query("WITH " + _EDGES + ' SELECT l AS "left", r AS "right", row_number() OVER (ORDER BY floor(confidence * 10000 + 0.5) DESC, anchors DESC, floor(covered * 10 + 0.5) DESC, floor(residual * 10000 + 0.5), l, r) AS n FROM ad')
 def edge_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The strongest thousand edges in their total order (a report of the top)."""
-    return all_edge_order(spark, sf_dir).where("n <= 1000")
-
-
-@query()
-def all_edge_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All edges that count, in their total order. (Held against a plain sort in the tests.)"""
+    """All edges that count, in their total order."""
     return graph.ranked(graph.admitted(standins.line_edges(spark, sf_dir))).select("left", "right", "n")
 
 
@@ -594,16 +563,9 @@ def media_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.bins(p)
 
 
-@query("SELECT DISTINCT url AS path FROM pages WHERE page_id % 2 = 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0) AND NOT regexp_matches(lower(url), '[^./]\\.html$')")
+@query("SELECT DISTINCT url AS path FROM pages WHERE page_id % 3 <> 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0) AND NOT regexp_matches(lower(url), '[^./]\\.html$')")
 def unresolved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of edits that no clip has, but for an extension."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"))
-    return library.unresolved(p.where("page_id % 2 = 0"), p.where("page_id % 3 = 0"), ("html",))
-
-
-@query()
-def all_unresolved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C18 on all pages: every third one a clip, the others edits. (Held against a plain loop in the tests.)"""
+    """Files of edits that no clip has, but for an extension; every third page is a clip, the others are edits."""
     p = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"))
     return library.unresolved(p.where("page_id % 3 <> 0"), p.where("page_id % 3 = 0"), ("html",))
 

@@ -73,9 +73,10 @@ def stated_speed(effect: ET.Element) -> float | None:
     return None if varies or speed != speed or speed in (0, float("inf")) else speed
 
 
-def graph_retime(keys: list[tuple[float, float]], graph_in: float, graph_out: float, stated: float | None) -> tuple[float, bool, float, float] | None:
-    """(speed, reverse, source in, source out) in frames of a key-frame graph that is a line; None if it bends, runs out of its
-    source, or is empty. A stated speed within a hundredth stands for the slope."""
+def graph_retime(keys: list[tuple[float, float]], graph_in: float, graph_out: float, stated: float | None, item_fps: float = 1.0, file_fps: float = 1.0) -> tuple[float, bool, float, float] | None:
+    """(speed, reverse, source in, source out) of a key-frame graph that is a line from frames of the item to frames of the file,
+    which is what in and out are in; None if it bends, runs out of its source, or is empty. A stated speed within a hundredth stands
+    for the slope."""
     keys = sorted(keys)
     if len(keys) < 2 or keys[-1][0] <= keys[0][0] or graph_out <= graph_in:
         return None
@@ -83,13 +84,12 @@ def graph_retime(keys: list[tuple[float, float]], graph_in: float, graph_out: fl
     slope = (y1 - y0) / (x1 - x0)
     if not slope or any(abs(y - (y0 + slope * (x - x0))) > max(0.05, abs(y1 - y0) * 1e-6) for x, y in keys):
         return None
-    back = slope < 0
+    back, wanted = slope < 0, abs(stated or 0.0) * file_fps / item_fps
+    if stated and abs(wanted - abs(slope)) <= 0.01 * wanted:
+        slope = -wanted if back else wanted
     a, b = (y0 + slope * (x - x0) - back for x in (graph_in, graph_out))
-    speed = abs(slope)
-    if stated is not None and abs(abs(stated) - speed) <= 0.01 * speed:
-        speed = abs(stated)
     low, high = min(a, b), max(a, b)
-    return (speed, back, low, high) if low >= -1e-9 and high > low else None
+    return (abs(slope) * item_fps / file_fps, back, low, high) if low >= -1e-9 and high > low else None
 
 
 def clip_to_window(edit: dict, low: float, high: float) -> dict | None:
@@ -150,16 +150,23 @@ class Fcp7:
                 edit["channel"] = int(channel) - 1
             for effect in item.iter("effect"):
                 if (effect.findtext("effectid") or "").lower() == "timeremap":
-                    keys = [(number(k, "when"), number(k, "value")) for k in effect.iter("keyframe")]
-                    got = graph_retime([k for k in keys if None not in k], a, b, stated_speed(effect)) if keys else None
+                    graph = next((p for p in effect.findall("parameter") if p.findtext("parameterid") == "graphdict"), None)
+                    keys = [(number(k, "when"), number(k, "value")) for k in graph.findall("keyframe")] if graph is not None else []
+                    source = frame_of(self.file_of(item), own)
+                    got = graph_retime([k for k in keys if None not in k], a, b, stated_speed(effect), own[1] / own[0], source[1] / source[0])
                     if got:
-                        edit |= {"speed": got[0], "reverse": got[1], "source_in": got[2] * s, "source_out": got[3] * s}
+                        in_file = source[0] / source[1]
+                        edit |= {"speed": got[0], "reverse": got[1], "source_in": got[2] * in_file, "source_out": got[3] * in_file}
                     elif (v := stated_speed(effect)) is not None:
                         edit |= {"speed": abs(v), "reverse": v < 0}
                     else:
                         self.warnings.append(f"{key}: its speed varies")
             yield from self.media(item, edit, depth)
 
+    def file_of(self, item: ET.Element) -> ET.Element | None:
+        ref = item.find("file")
+        return self.files.get(ref.get("id"), ref) if ref is not None else None
+
     def media(self, item: ET.Element, edit: dict, depth: int) -> Iterator[dict]:
         nested = item.find("sequence")
         multi = item.find("multiclip")
@@ -184,8 +191,7 @@ class Fcp7:
                 if part:
                     yield part | {"item": f"{edit['item']}/{part['item']}", "track_index": edit["track_index"], "enabled": edit["enabled"] and part["enabled"], "start": edit["start"] + (part["start"] - edit["source_in"]) * per, "end": edit["start"] + (part["end"] - edit["source_in"]) * per}
             return
-        ref = item.find("file")
-        found = self.files.get(ref.get("id"), ref) if ref is not None else None
+        found = self.file_of(item)
         path = path_of(found.findtext("pathurl")) if found is not None else None
         if path is None:
             self.warnings.append(f"{edit['item']}: it names no file")
