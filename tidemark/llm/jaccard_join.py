@@ -653,3 +653,17 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     if again.limit(1).count():
         left = left.union(docs.join(few(again), met(again), "left_semi").dropDuplicates([key, text]))
     return left
+
+
+#: The same as `linked` with its defaults, by all pairs of texts that share an n-gram.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN generate_series(1, len(w) - 2)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+h AS MATERIALIZED (SELECT r, g, n FROM s JOIN n USING (r)),
+p AS (SELECT a.r AS a, b.r AS b, any_value(a.n) AS an, any_value(b.n) AS bn, count(*) AS c FROM h a JOIN h b ON a.g = b.g AND a.r < b.r AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * c >= 90 * (an + bn - c) UNION ALL SELECT b, a FROM p WHERE 100 * c >= 90 * (an + bn - c)),
+t AS (SELECT r, r AS o FROM d UNION SELECT t.r, l.b FROM t JOIN l ON l.a = t.o),
+k AS (SELECT t.r, min(o.doc_id) AS least FROM t JOIN d o ON o.r = t.o GROUP BY t.r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE least END AS component_id FROM d JOIN k USING (r) LEFT JOIN n USING (r)
+"""

@@ -107,4 +107,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.SQL, "op2_url_reputation": url_reputation.sql(), "op5_warc": WARC_SQL}
+    return {"op1_decontamination": decontamination.SQL, "op2_url_reputation": url_reputation.sql(), "op5_warc": WARC_SQL, "op7_jaccard_join": jaccard_join.SQL}
