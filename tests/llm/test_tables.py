@@ -93,6 +93,9 @@ def test_hosts_rules_and_bounds(spark):
         elif ".example.net" in host:
             assert got[i].verdict == ("block" if host.startswith("bad") else "allow")
     assert got[urls.index("https://other0.example.net/")].reputation == pytest.approx(0.5, abs=0.1)
+    mostly = [(f"https://h{i % 20}.example.net/{i}", int(i % 10 > 0 and (i % 20 < 19 or i % 40 == 19))) for i in range(4000)]  # h0 and h10 have bad pages only, h19 as many bad as good ones, the others good ones
+    worse = url_reputation.judged(spark.createDataFrame([(u,) for u, _ in mostly], "url string"), spark.createDataFrame(mostly, "url string, outcome int")).select("host", "verdict").distinct().collect()
+    assert {r.host for r in worse if r.verdict == "block"} == {"h19.example.net"} | {f"h{i}.example.net" for i in (0, 10)} and len(worse) == 20
     again = url_reputation.judged(pages.union(pages).withColumnRenamed("page_id", "Host"), None).collect()
     assert len(again) == 2 * len(urls) and {r.verdict for r in again if r.rule is None} == {"allow"}
     assert url_reputation.judged(pages.limit(0), spark.createDataFrame([], "url string, outcome int")).collect() == []

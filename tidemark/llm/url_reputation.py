@@ -2,8 +2,9 @@
 
 Outcomes of labelled pages are summed by host, by registered domain and by suffix. The overall rate is the prior of
 suffixes, a suffix's posterior that of its domains, a domain's that of its hosts. How strongly a prior holds is estimated
-from the data: the beta-binomial overdispersion at each level, by moments. A host is blocked when even the upper bound of
-its rate of good pages is below `CUT`. What goes to the driver is three numbers a level.
+from the data: the beta-binomial overdispersion at each level, by moments. A host is blocked when even at the upper bound of
+its rate its odds of a good page are below `CUT` times those of all pages: what counts as bad depends on how good pages are at
+large. What goes to the driver is three numbers a level.
 """
 
 from __future__ import annotations
@@ -63,8 +64,9 @@ def _rho(stats: DataFrame) -> tuple[float, float]:
 
 
 def reputations(pages: DataFrame) -> DataFrame:
-    """pages: host and outcome (1 good, 0 bad, null unlabelled). For each host: reputation (posterior mean) and
-    reputation_bound (mean and Z standard deviations)."""
+    """pages: host and outcome (1 good, 0 bad, null unlabelled). For each host: reputation (posterior mean), reputation_bound (mean
+    and Z standard deviations, at most 1), and `bad`: whether the bound's odds are below CUT times the overall ones. Without labelled
+    pages no host is bad."""
     hosts = pages.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("long").alias("k"))
     hosts = settled(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain"))), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -79,7 +81,9 @@ def reputations(pages: DataFrame) -> DataFrame:
     domains = domains.join(suffixes, "suffix").select("domain", mean(F.col("m0"), r1).alias("m1"))
     m = hosts.join(domains, "domain").select("host", mean(F.col("m1"), r2).alias("reputation"), (F.lit((1 - r2) / r2) + F.col("n")).alias("weight"))
     r = F.col("reputation")
-    return m.select("host", "reputation", (r + Z * F.sqrt(r * (1 - r) / (F.col("weight") + 1))).alias("reputation_bound"))
+    m = m.select("host", "reputation", F.least(F.lit(1.0), r + Z * F.sqrt(r * (1 - r) / (F.col("weight") + 1))).alias("reputation_bound"))
+    b = F.col("reputation_bound")
+    return m.withColumn("bad", b * (1 - rate) < CUT * rate * (1 - b))
 
 
 def judged(pages: DataFrame, outcomes: DataFrame | None = None, url: str = "url", rules=RULES) -> DataFrame:
@@ -97,8 +101,8 @@ def judged(pages: DataFrame, outcomes: DataFrame | None = None, url: str = "url"
     said = F.lit(None).cast("string")
     for verdict, h, p in rules:
         said = F.when(F.col("rule") == h + p, F.lit(verdict)).otherwise(said)
-    done = pages.join(reputations(known), "host", "left").withColumn("rule", rule)
-    return done.withColumn("verdict", F.coalesce(said, F.when(F.col("reputation_bound") < CUT, F.lit("block")).otherwise(F.lit("allow"))))
+    done = pages.join(reputations(known).withColumnRenamed("bad", "__bad"), "host", "left").withColumn("rule", rule)
+    return done.withColumn("verdict", F.coalesce(said, F.when(F.col("__bad"), F.lit("block")).otherwise(F.lit("allow")))).drop("__bad")
 
 
 def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -135,7 +139,8 @@ s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
 {level("h", "hs")},
 ms AS (SELECT suffix, (rate * ((1 - rho) / rho) + k) / ((1 - rho) / rho + n) AS m0 FROM s, sr),
 md AS (SELECT domain, (m0 * ((1 - rho) / rho) + k) / ((1 - rho) / rho + n) AS m1 FROM d JOIN ms USING (suffix), dr),
-mh AS (SELECT host, (m1 * ((1 - rho) / rho) + k) / ((1 - rho) / rho + n) AS m2, (1 - rho) / rho + n AS w FROM hs JOIN md USING (domain), hr)
-SELECT page_id, host, path, rule, CASE rule {says} ELSE CASE WHEN m2 + {Z} * sqrt(m2 * (1 - m2) / (w + 1)) < {CUT} THEN 'block' ELSE 'allow' END END AS verdict
-FROM (SELECT *, CASE {cases} END AS rule FROM p) JOIN mh USING (host)
+mh AS (SELECT host, sr.rate AS rate, (m1 * ((1 - hr.rho) / hr.rho) + k) / ((1 - hr.rho) / hr.rho + n) AS m2, (1 - hr.rho) / hr.rho + n AS w FROM hs JOIN md USING (domain), hr, sr),
+mb AS (SELECT host, rate, least(1.0, m2 + {Z} * sqrt(m2 * (1 - m2) / (w + 1))) AS b FROM mh)
+SELECT page_id, host, path, rule, CASE rule {says} ELSE CASE WHEN b * (1 - rate) < {CUT} * rate * (1 - b) THEN 'block' ELSE 'allow' END END AS verdict
+FROM (SELECT *, CASE {cases} END AS rule FROM p) JOIN mb USING (host)
 """
