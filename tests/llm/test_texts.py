@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -299,3 +300,52 @@ def test_license_phrases_and_templates(spark):
 def test_accounts_end_where_their_country_says():
     for t, found in [("GB82 WEST 1234 5698 7654 32 OK THEN", "GB82 WEST 1234 5698 7654 32"), ("x DE89370400440532013000 2024", "DE89370400440532013000"), ("DE89370400440532013000X", None), ("GB82 WEST 1234 5698 7654 33", None), ("QQ82 WEST 1234 5698 7654 32", None)]:
         assert [t[x.start : x.end] for x in pii.spans(t) if x.kind == "iban"] == ([found] if found else []), t
+
+
+def test_signs_for_letters_stay_in_their_words():
+    finder = toxicity.Finder(("trash", "bastard", "scum"), ())
+    assert [finder.features(t)[1] for t in ("you tr@sh", "b@$tard!", "$cum of", "so trash!you", "mail me@site")] == [["tr@sh"], ["b@$tard"], ["$cum"], ["trash!you"], []]
+
+
+def test_forest_paths_are_those_of_a_plain_walk():
+    rng = np.random.default_rng(4)
+    x, odd = rng.normal(size=(400, quality_rules.N_STATS)), rng.normal(8, 1, size=(40, quality_rules.N_STATS))
+    forest = quality_rules.calibrated(quality_rules.grown(x, odd), x, np.ones(400, bool))
+
+    def depth(row, tree):
+        node = 0
+        while forest.feature[tree][node] >= 0:
+            node = forest.child[tree][node] + (row[forest.feature[tree][node]] >= forest.value[tree][node])
+        return forest.depth[tree][node]
+
+    every = np.concatenate([x[:20], odd[:5]])
+    assert np.allclose(forest.paths(every), [np.mean([depth(r, t) for t in range(len(forest.feature))]) for r in every])
+    assert (forest.paths(x) < forest.cut).mean() <= quality_rules.SPARED and (forest.paths(odd) < forest.cut).mean() > 0.9
+
+
+def test_updates_are_those_of_a_plain_ftrl():
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(40):
+        idx = np.unique(rng.integers(0, 30, 8))
+        rows.append((k % 2, idx.astype("<u4"), np.full(len(idx), 1 / len(idx), "<f4")))
+    got, c = quality_classifier.trained(rows, bits=5, epochs=2), quality_classifier
+    z, n = [0.0] * 33, [0.0] * 33
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= c.L1 else -(z[i] - np.sign(z[i]) * c.L1) / ((c.BETA + n[i] ** 0.5) / c.ALPHA + c.L2)
+
+    order = np.random.default_rng(0)
+    for _ in range(2):
+        for k in order.permutation(len(rows)):
+            y, idx, val = rows[k]
+            row = [(int(i), float(v) * c.SCALE) for i, v in zip(idx, val, strict=True)] + [(32, 1.0)]
+            w = {i: weight(i) for i, _ in row}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in row)))
+            for i, v in row:
+                g = (p - y) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / c.ALPHA * w[i]
+                n[i] += g * g
+    assert np.allclose(got.weights, [weight(i) for i in range(32)], atol=1e-6) and abs(got.constant - weight(32)) < 1e-9
+    h = c.Hasher(5)("one two two")
+    assert abs(got.score(h) - 1 / (1 + np.exp(-(weight(32) + c.SCALE * np.mean([weight(int(i)) for i in h]))))) < 1e-6
