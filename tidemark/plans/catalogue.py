@@ -317,7 +317,7 @@ def consecutive_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.consecutive_runs(d, ["user_id"], 3)
 
 
-@query("""SELECT c_custkey AS position, c_acctbal * 0 + c_custkey % 7 AS length, coalesce(sum(c_custkey % 7 + 1.0) OVER (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM customer""")
+@query("""SELECT c_custkey AS position, CAST(c_custkey % 7 AS DOUBLE) AS length, coalesce(sum(CAST(c_custkey % 7 + 1 AS DOUBLE)) OVER (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CAST(0 AS DOUBLE)) AS start FROM customer""")
 def packed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups one behind another with a second between them."""
     return intervals.packed(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("position"), (F.col("c_custkey") % 7).cast("double").alias("length")))
