@@ -8,8 +8,8 @@ also by how much they differ) are a lower bound of how many n-grams only one of
 
 Components come first, and for them not every pair of a large group is made. First each node of a prefix n-gram is paired with
 the first one, which joins most of what is similar; n-grams that very many nodes have are dealt out to salted blocks, whose
-first nodes are paired in turn. Then neighbours in a block that are in different components are paired, and last every
-pair that passes the filters, inside the join, and whose nodes are still in different components: of a frequent n-gram, block
+first nodes are paired in turn. Then the nodes of each n-gram whose nodes are in different components are dealt at random into
+small blocks, anew for each n-gram, and the pairs inside a block are tried, and last every pair that passes the filters, inside the join, and whose nodes are still in different components: of a frequent n-gram, block
 against block and only lengths that can match. So no link between components is missed.
 
 Then links. Each lies inside one component, so all pairs of a component's nodes are verified, each once: a large component
@@ -45,12 +45,13 @@ FREQUENT = 1_000_000
 COUNTED, AHEAD = 1_000_000, 1.25
 #: Nodes in a block of a very frequent n-gram, on average.
 BLOCK = 500
-#: Rounds of pairs of neighbours before all remaining pairs are made.
-NEIGHBOUR_ROUNDS = 1
+#: Nodes in a random block, on average, and rounds of them before all remaining pairs are made.
+TRIED, TRIED_ROUNDS = 16, 1
 #: Bits of the filter that says which nodes' sets a pass over the texts has to return. It may say yes too often.
 FILTER_BITS = 1 << 24
-#: 64-bit words of a node's parities. Of long nodes, whose parities say little, counts of hashes by range are kept too.
-PARITIES, LONG, RANGES = 16, 1_000, 512
+#: 64-bit words of a node's parities, and of a second, wide set that longer nodes have besides, for so many parities say little of
+#: them. Of long nodes counts of hashes by range are kept too.
+PARITIES, WIDE, WIDE_FROM, LONG, RANGES = 16, 64, 2_000, 1_000, 512
 #: Bytes of an n-gram's hash in a set that is compared.
 PACKED = 6
 #: Names of nodes that a task remembers so as not to repeat them.
@@ -167,10 +168,10 @@ def node_name(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def parity(grams: np.ndarray) -> np.ndarray:
-    """A bit for each of 64 PARITIES buckets of hashes: whether an odd number of n-grams falls into it. Where the bits of two nodes
+def parity(grams: np.ndarray, words: int = PARITIES) -> np.ndarray:
+    """A bit for each of 64 times `words` buckets of hashes: whether an odd number of n-grams falls into it. Where the bits of two nodes
     differ, so do their sets: the number of such bits is at most that of n-grams which only one of the two has."""
-    odd = np.bincount((grams & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    odd = np.bincount((grams & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -224,9 +225,9 @@ def _profiles(df: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def _prefixes(df: DataFrame, n: int, num: int, den: int, order: tuple) -> DataFrame:
-    """df: text. (name, n, parity, ranges, prefix) of each distinct node; prefix: the first n-grams in the global order."""
+    """df: text. (name, n, parity, wide, ranges, prefix) of each distinct node; prefix: the first n-grams in the global order."""
     shared = df.sparkSession.sparkContext.broadcast(order)
-    schema = "name binary, n int, parity array<bigint>, ranges binary, prefix array<bigint>"
+    schema = "name binary, n int, parity array<bigint>, wide array<bigint>, ranges binary, prefix array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen = Shingler(n), set()
@@ -246,10 +247,10 @@ def _prefixes(df: DataFrame, n: int, num: int, den: int, order: tuple) -> DataFr
                         chosen = grams[np.argsort(place, kind="stable")[:first]]
                     else:
                         chosen = grams[:first]
-                    rows.append((name, m, parity(grams), ranges(grams) if m > LONG else None, chosen.view(np.int64)))
+                    rows.append((name, m, parity(grams), parity(grams, WIDE) if m > WIDE_FROM else None, ranges(grams) if m > LONG else None, chosen.view(np.int64)))
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.list_(pa.int64()))], names=["name", "n", "parity", "ranges", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.binary()), pa.array([r[5] for r in rows], pa.list_(pa.int64()))], names=["name", "n", "parity", "wide", "ranges", "prefix"])
 
     return mapped(df, run, schema).dropDuplicates(["name"])
 
@@ -327,9 +328,16 @@ def _possible(a_n: Column, b_n: Column, a_pos: Column, b_pos: Column, num: int,
     return (den * F.least(a_n, b_n) >= num * F.greatest(a_n, b_n)) & (1 + F.least(a_n - a_pos - 1, b_n - b_pos - 1) + F.least(a_pos, b_pos) >= need)
 
 
-def _alike(a_n: Column, b_n: Column, a: str, b: str, num: int, den: int) -> Column:
-    """The suffix filter: n-grams that only one of two sets has are at least as many as their parities a and b differ."""
-    apart = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(PARITIES)), F.lit(0))
+def _differing(a: str, b: str, wide: bool = False) -> Column:
+    """In how many places two nodes' parities differ. Sixteen words are written out, so that a join stays compiled; the many of wide
+    ones would make a method that the JVM no longer compiles."""
+    if wide:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(PARITIES)), F.lit(0))
+
+
+def _alike(a_n: Column, b_n: Column, apart: Column, num: int, den: int) -> Column:
+    """The suffix filter: n-grams that only one of two sets has are at least as many as the places in which their parities differ."""
     return (den + num) * apart <= (den - num) * (a_n + b_n)
 
 
@@ -337,7 +345,7 @@ def _verified(pairs: DataFrame, small: DataFrame, texts: DataFrame, n: int, num:
     """pairs: distinct (a, b). The suffix filter, then whole sets: (a, b, linked) of all of them."""
     spark, own = small.sparkSession, small.select("node", "n", "parity")
     named = pairs.join(own.toDF("a", "an", "ap"), "a").join(own.toDF("b", "bn", "bp"), "b")
-    named = settled(named.select("a", "b", "an", "bn", _alike(F.col("an"), F.col("bn"), "ap", "bp", num, den).alias("may")), "pairs")
+    named = settled(named.select("a", "b", "an", "bn", _alike(F.col("an"), F.col("bn"), _differing("ap", "bp"), num, den).alias("may")), "pairs")
     long, columns = small.where(F.col("n") > LONG).select("node", "ranges"), ["a", "b", "an", "bn"]
 
     def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,7 +453,7 @@ def _found(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
     entries = entries.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("gram", "salt"))).where("held > 1 OR dealt > 1").drop("held")
     entries = settled(entries, "entries")
     of_rows = rows.where("name IS NOT NULL").groupBy("name").agg(F.min("digest").alias("digest"), F.min(rank()).alias("best"), F.count(F.lit(1)).alias("copies"))
-    small = settled(nodes.select("node", "name", "n", "parity", "ranges").join(of_rows, "name"), "small")
+    small = settled(nodes.select("node", "name", "n", "parity", "wide", "ranges").join(of_rows, "name"), "small")
     dropped(spark, nodes)
     freed(spark)
 
@@ -464,10 +472,11 @@ def _found(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
     roots = components(tested[0].where("linked"))
 
     def still_mixed() -> DataFrame:
-        """Entries of n-grams whose nodes are in more than one component, with their component."""
+        """Entries of n-grams whose nodes are in more than one component, with their component, how many nodes their n-gram has, and
+        their parities."""
         placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gram")
-        return placed.join(mixed, "gram", "left_semi")
+        mixed = placed.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("held")).where("r0 <> r1").select("gram", "held")
+        return placed.join(mixed, "gram").join(small.select("node", "parity", "wide"), "node")
 
     def more_of(pairs: DataFrame) -> bool:
         """Verify pairs that weren't yet; True if there were any."""
@@ -486,12 +495,28 @@ def _found(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
             dropped(spark, before)
         return True
 
-    # Neighbours in a block that are in different components: as many pairs as there are entries.
-    for _ in range(NEIGHBOUR_ROUNDS):
+    def meeting(df: DataFrame, *by: str, other: DataFrame | None = None, same: Column = F.lit(True)) -> DataFrame:
+        """Pairs of a row of df and one of other (or df) that have equal values in the columns `by`, and `same`, pass the filters and
+        are in different components. Longer nodes meet each other by their wide parities."""
+        out = []
+        for parities, some in (("parity", F.lit(True)), ("wide", F.col("n") > WIDE_FROM)):
+            x, y = ((t.where(some).drop({"parity": "wide", "wide": "parity"}[parities])).alias(a) for t, a in ((df, "x"), (df if other is None else other, "y")))
+            on = (F.col("x.node") < F.col("y.node")) & same if other is None else same
+            for c in by:
+                on &= F.col(f"x.{c}") == F.col(f"y.{c}")
+            able = (F.col("x.root") != F.col("y.root")) & _possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), num, den)
+            if parities == "parity":
+                able &= F.least("x.n", "y.n") <= WIDE_FROM
+            able &= _alike(F.col("x.n"), F.col("y.n"), _differing(f"x.{parities}", f"y.{parities}", parities == "wide"), num, den)
+            out.append(x.join(y, on).where(able).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
+        return out[0].union(out[1])
+
+    # Nodes of an n-gram meet a few others, drawn anew for each n-gram: as many pairs as there are entries, times a constant. They
+    # join nearly all of a group of near copies, whose pairs would otherwise all come up below.
+    for turn in range(TRIED_ROUNDS):
         mixed = settled(still_mixed(), "mixed")
-        own = F.struct("node", "n", "pos", "root")
-        beside = mixed.withColumn("last", F.lag(own).over(ordered)).where("last.root <> root").withColumn("other", F.struct("last.node", "last.n", "last.pos"))
-        more = more_of(pairs_of(beside.select("node", "n", "pos", "other")))
+        drawn = mixed.withColumn("block", F.pmod(F.xxhash64("node", "gram", F.lit(turn)), F.ceil(F.col("held") / TRIED)))
+        more = more_of(meeting(drawn, "gram", "block").distinct())
         dropped(spark, mixed)
         freed(spark)
         if not more:
@@ -499,18 +524,12 @@ def _found(docs: DataFrame, key: str, text: str, n: int, num: int, den: int) ->
 
     # All that may still join two components. Entries of a frequent n-gram stand in bands by length, of which only equal and next
     # ones can match, and meet block by block.
-    mixed = settled(still_mixed().join(small.select("node", "parity"), "node"), "mixed")
-    names = ["gram", "node", "n", "pos", "root", "parity"]
-    x, y = mixed.where("dealt = 1").select(names).alias("x"), mixed.where("dealt = 1").select(names).alias("y")
-    able = (F.col("x.root") != F.col("y.root")) & _possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), num, den) & _alike(F.col("x.n"), F.col("y.n"), "x.parity", "y.parity", num, den)
-    met = x.join(y, F.col("x.gram") == F.col("y.gram")).where(F.col("x.node") < F.col("y.node")).where(able).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    mixed = settled(still_mixed(), "mixed")
     band = F.floor(F.log("n") / (1.0001 * math.log(den / num))).cast("int") if den > num else F.col("n")
-    dealt = mixed.where("dealt > 1").withColumn("band", band)
-    x = dealt.select(*names, "salt", "band").alias("x")
-    y = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("dealt") - 1))).withColumn("meets", F.explode(F.array("band", F.col("band") - 1))).select(*names, "salt", "band", "meets").alias("y")
-    blocks = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.band") == F.col("y.meets")))
-    blocks = blocks.where((F.col("x.band") != F.col("y.band")) | (F.col("x.node") < F.col("y.node"))).where(able)
-    more_of(met.union(blocks.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))).distinct())
+    dealt = mixed.where("dealt > 1").withColumn("band", band).withColumn("meets", F.col("band"))
+    spread = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("dealt") - 1))).withColumn("meets", F.explode(F.array("band", F.col("band") - 1)))
+    once = (F.col("x.band") != F.col("y.band")) | (F.col("x.node") < F.col("y.node"))
+    more_of(meeting(mixed.where("dealt = 1"), "gram").union(meeting(dealt, "gram", "salt", "meets", other=spread, same=once)).distinct())
     for t in (entries, mixed, *tested):
         dropped(spark, t)
     freed(spark)
