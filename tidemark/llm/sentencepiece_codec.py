@@ -2,8 +2,8 @@
 
 A chunk is a run of whitespace markers with the characters up to the next run. Where no piece of the model holds a
 marker after another character, no merge crosses the start of a chunk, so the ids of a text are the ids of its chunks in
-order. Each task keeps one table, chunk -> (ids, decoded text): a chunk is segmented when first met, and every text is
-then a look-up of its chunks, joined back by position. The table is bounded (`TABLE_ENTRIES`); when full it is begun anew,
+order. Each task keeps one table, chunk -> ids: a chunk is segmented when first met, and every text is then a look-up of
+its chunks, joined back by position. Texts are decoded from their whole ids, by the library. The table is bounded (`TABLE_ENTRIES`); when full it is begun anew,
 which costs time and changes no result. `piece_table_applies` checks the condition on the model, which comes in as bytes
 so that executors need no file of their own.
 """
@@ -11,7 +11,6 @@ so that executors need no file of their own.
 from __future__ import annotations
 
 import re
-import struct
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -49,12 +48,16 @@ def piece_table_applies(sp) -> bool:
     return bool(not crossing and keeps and front and plain)
 
 
+def texts_of(sp, packed: list[bytes]) -> list[str]:
+    """What the library's decode makes of whole packed ids. Begin and end ids decode to nothing."""
+    return sp.decode([array(UINT32, b).tolist() for b in packed], num_threads=1)
+
+
 class ChunkTable:
-    """Distinct chunks, without their first marker, and their packed ids. `odd` has the decoded text of those that decode to
-    something else than they were (none, for a model without normalisation and with byte fallback)."""
+    """Distinct chunks, without their first marker, and their packed ids."""
 
     def __init__(self, model: bytes, entries: int = TABLE_ENTRIES):
-        self.sp, self.entries, self.ids, self.odd = processor(model), entries, {}, {}
+        self.sp, self.entries, self.ids = processor(model), entries, {}
         if not piece_table_applies(self.sp):
             raise ValueError("pieces of this model cross whitespace markers or it changes its input: chunks can't be segmented one by one")
         self.find = re.compile(f"{MARK}({MARK}*[^{MARK}]*)").findall
@@ -69,12 +72,10 @@ class ChunkTable:
         return text.split(" ")  # the same where no two markers meet
 
     def learn(self, chunks: list[str]) -> None:
-        """Segment chunks that the table lacks. The library puts one marker in front of what it encodes, and takes one off
-        what it decodes: the chunk's first."""
+        """Segment chunks that the table lacks. The library puts one marker in front of what it encodes: the chunk's first."""
         plain = [c.replace(MARK, " ") for c in chunks]
         found = [ids or [self.lone] for ids in self.sp.encode(plain, num_threads=1)]
         self.ids.update(zip(chunks, [array(UINT32, ids).tobytes() for ids in found], strict=True))
-        self.odd.update((c, d) for c, p, d in zip(chunks, plain, self.sp.decode(found, num_threads=1), strict=True) if d != p)
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
         """For each text its ids with begin and end, as little-endian unsigned 32-bit integers, and what they decode to.
@@ -83,16 +84,13 @@ class ChunkTable:
         distinct = set(chain.from_iterable(chunks))
         if len(self.ids) + len(distinct) > self.entries:
             self.ids.clear()
-            self.odd.clear()
         self.learn([c for c in distinct if c not in self.ids])
-        ids, id_of, odd = [], self.ids.__getitem__, self.odd
+        ids, id_of = [], self.ids.__getitem__
         for c in chunks:
             parts = list(map(id_of, c))
             parts.append(self.end)
             ids.append(self.begin + b"".join(parts))
-        if odd:
-            return ids, [" ".join([odd.get(x) if x in odd else x.replace(MARK, " ") for x in c]) for c in chunks]
-        return ids, [(t or "").replace(MARK, " ") for t in texts]
+        return ids, texts_of(self.sp, ids)
 
 
 def encoded(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
@@ -125,7 +123,7 @@ def decoded(df: DataFrame, model: bytes, ids: str = "token_ids", out: str = "dec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)
         for batch in batches:
-            texts = [None if b is None else sp.decode(list(struct.unpack(f"<{len(b) // 4}I", b))) for b in batch.column(at).to_pylist()]
+            texts = [None if b is None else texts_of(sp, [b])[0] for b in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
     return mapped(df, run, schema)
