@@ -349,3 +349,32 @@ def test_updates_are_those_of_a_plain_ftrl():
     assert np.allclose(got.weights, [weight(i) for i in range(32)], atol=1e-6) and abs(got.constant - weight(32)) < 1e-9
     h = c.Hasher(5)("one two two")
     assert abs(got.score(h) - 1 / (1 + np.exp(-(weight(32) + c.SCALE * np.mean([weight(int(i)) for i in h]))))) < 1e-6
+
+
+def test_beginnings_are_found_misspelled():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    words, stems = ("idiot", "trash"), ("idiota", "abomi", "disg", "wretche")
+    a = toxicity.Automaton(words, stems)
+    rng = random.Random(6)
+    met = set()
+    for _ in range(4000):
+        w = list(rng.choice(stems + words) + rng.choice(["", "n", "ting", "able"]))
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randint(0, 1)] = [rng.choice("abdiost")] * rng.randint(0, 1)
+        w = "".join(w)
+        fits = [d for s in stems for n in range(1, len(w) + 1) if (d := distance(w[:n], s)) <= (len(s) >= toxicity.BEGINNING_EDIT)]
+        want = min((d for x in words if (d := distance(w, x)) <= toxicity.allowed(len(x))), default=None)
+        assert a.both(w) == (want, min(fits, default=None)), w
+        met.add(a.both(w))
+    assert {(None, 0), (None, 1), (None, None), (0, None)} <= met
+    f = toxicity.Finder(words, stems)
+    assert [f.kind(w) for w in ("idiot", "idi0t", "abominable", "abxminable", "wr3tched", "disgust", "dosgust", "plain")] == [0, 1, 2, 3, 3, 2, None, None]

@@ -2,14 +2,14 @@
 tell quotation from abuse; a logistic model on the counts gives the score.
 
 The lexicon has fixed words (`WORDS`) and word beginnings learned from labelled rows: those that hardly occur but in texts
-labelled toxic. Learning reads at most `sample` labelled rows (a documented bound: the smallest hashes of their id). Each
+labelled toxic. Both stand in one trie; a beginning fits as soon as it ends, whatever letters follow. Learning reads at most `sample` labelled rows (a documented bound: the smallest hashes of their id). Each
 task remembers what it has found for a word, within a bound. Texts are scored whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -29,8 +29,8 @@ WORDS = (
 SAMPLE = 12_000
 #: A learned beginning has so many letters, starts a word in so many toxic texts at least, and in others at most this share of them.
 STEM_LENGTHS, STEM_TEXTS, STEM_OTHERS, STEMS = (5, 10), 4, 0.12, 5_000
-#: Letters from which a term may be off by one edit, and by two.
-ONE_EDIT, TWO_EDITS = 5, 9
+#: Letters from which a term may be off by one edit, and by two; letters from which a beginning may be off by one.
+ONE_EDIT, TWO_EDITS, BEGINNING_EDIT = 5, 9, 5
 #: Words on either side of a hit that form its window.
 WINDOW = 6
 REMEMBERED = 400_000
@@ -42,57 +42,64 @@ REPORTING = frozenset("said says wrote called quote quoted quotes word term insu
 ADDRESS = frozenset("you your yours u ur youre he she they him her them tu toi vous ton du dich dein ihr euch ustedes usted tú eres".split())
 FOLD = str.maketrans("013457@$!", "oieastasi")
 ADDED = {"toxic_score": T.DoubleType(), "toxic_predicted": T.IntegerType(), "toxic_terms": T.ArrayType(T.StringType())}
-FEATURES = 7
+FEATURES = 8
+
+
+def allowed(length: int) -> int:
+    return (length >= ONE_EDIT) + (length >= TWO_EDITS)
 
 
 class Trie:
-    """Words by letter; `ends` has the length of the word that ends at a node, or 0."""
+    """Words and beginnings by letter. `ends` and `begins` have the edits that the word or the beginning which ends at a node may
+    have, or -1; `budget` the most that one through the node may have."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: Iterable[str], beginnings: Iterable[str] = ()):
         self.next: list[dict[str, int]] = [{}]
-        self.ends = [0]
-        self.deepest = [0]  # length of the longest word through the node
+        self.ends, self.begins, self.budget = [-1], [-1], [-1]
         for w in words:
-            node = 0
-            for c in w:
-                self.deepest[node] = max(self.deepest[node], len(w))
-                if c not in self.next[node]:
-                    self.next[node][c] = len(self.next)
-                    self.next.append({})
-                    self.ends.append(0)
-                    self.deepest.append(0)
-                node = self.next[node][c]
-            self.ends[node] = len(w)
-            self.deepest[node] = max(self.deepest[node], len(w))
-
+            self._add(w, self.ends, allowed(len(w)))
+        for w in beginnings:
+            self._add(w, self.begins, int(len(w) >= BEGINNING_EDIT))
 
-def allowed(length: int) -> int:
-    return (length >= ONE_EDIT) + (length >= TWO_EDITS)
+    def _add(self, word: str, kind: list[int], edits: int) -> None:
+        node = 0
+        self.budget[0] = max(self.budget[0], edits)
+        for c in word:
+            if c not in self.next[node]:
+                self.next[node][c] = len(self.next)
+                self.next.append({})
+                for figures in (self.ends, self.begins, self.budget):
+                    figures.append(-1)
+            node = self.next[node][c]
+            self.budget[node] = max(self.budget[node], edits)
+        kind[node] = max(kind[node], edits)
 
 
 class Automaton:
-    """The Levenshtein automata of all words, run over the trie at once and made deterministic as letters come.
+    """The Levenshtein automata of all terms, run over the trie at once and made deterministic as letters come.
 
-    A state is a set of (node, edits): the words below the node are that many edits from what was read so far. Whether a
-    word may have so many is known at its end only, so a branch is dropped when none of its words may.
+    A state is a set of (node, edits): the terms below the node are that many edits from what was read so far. Whether a
+    term may have so many is known at its end only, so a branch is dropped when none of its terms may.
     """
 
-    def __init__(self, words: tuple[str, ...], most_states: int = 200_000):
-        self.trie, self.most = Trie(list(words)), most_states
+    def __init__(self, words: Iterable[str], beginnings: Iterable[str] = (), most_states: int = 50_000):
+        self.trie, self.most = Trie(words, beginnings), most_states
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
+        self.word_edits: list[int | None] = []
+        self.beginning_edits: list[int | None] = []
         self.first = self._state({(0, 0)})
 
     def _state(self, pairs: set[tuple[int, int]]) -> int:
         best: dict[int, int] = {}
         todo = list(pairs)
-        while todo:  # letters of the word that the text lacks
+        while todo:  # letters of the term that the text lacks
             node, e = todo.pop()
-            if e > allowed(self.trie.deepest[node]) or best.get(node, 9) <= e:
+            if e > self.trie.budget[node] or best.get(node, 9) <= e:
                 continue
             best[node] = e
             todo += [(n, e + 1) for n in self.trie.next[node].values()]
@@ -101,6 +108,8 @@ class Automaton:
             self.number[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
+            self.word_edits.append(min((e for node, e in key if e <= self.trie.ends[node]), default=None))
+            self.beginning_edits.append(min((e for node, e in key if e <= self.trie.begins[node]), default=None))
         return self.number[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -115,18 +124,25 @@ class Automaton:
 
     def edits(self, word: str) -> int | None:
         """The fewest edits to a word of the lexicon, or None beyond what its length allows."""
+        return self.both(word)[0]
+
+    def both(self, word: str) -> tuple[int | None, int | None]:
+        """The fewest edits from word to a word of the lexicon, and from a beginning of word to one of the lexicon; None beyond what
+        the term's length allows."""
         if len(self.sets) > self.most:
             self.clear()
-        state = self.first
+        state, beginning = self.first, None
         for c in word:
             following = self.moves[state].get(c)
             if following is None:
                 following = self.moves[state][c] = self._move(state, c)
             state = following
+            e = self.beginning_edits[state]
+            if e is not None and (beginning is None or e < beginning):
+                beginning = e
             if not self.sets[state]:
-                return None
-        at_end = [e for node, e in self.sets[state] if (n := self.trie.ends[node]) and e <= allowed(n)]
-        return min(at_end, default=None)
+                return None, beginning
+        return self.word_edits[state], beginning
 
 
 class Model(NamedTuple):
@@ -136,11 +152,11 @@ class Model(NamedTuple):
 
 
 class Finder:
-    """Hits of texts: words with what kind they are (0 exact, 1 misspelled, 2 learned beginning), remembered by word."""
+    """Hits of texts: words with what kind they are (0 exact, 1 misspelled, 2 learned beginning, 3 misspelled beginning),
+    remembered by word."""
 
     def __init__(self, words: tuple[str, ...], stems: tuple[str, ...]):
-        self.automaton, self.stems, self.known = Automaton(words), frozenset(stems), {}
-        self.lengths = sorted({len(s) for s in stems})
+        self.automaton, self.known = Automaton(words, stems), {}
 
     def kind(self, word: str) -> int | None:
         found = self.whole(word)
@@ -150,12 +166,14 @@ class Finder:
 
     def whole(self, word: str) -> int | None:
         plain = word.translate(FOLD) if not word.isalpha() else word
-        edits = self.automaton.edits(plain)
+        edits, beginning = self.automaton.both(plain)
         if edits is None and len(plain) > 3 and plain != (single := re.sub(r"(.)\1+", r"\1", plain)):
             edits = 1 if self.automaton.edits(single) == 0 else None  # drawn out letters
         if edits is not None:
             return 0 if edits == 0 and plain == word else 1
-        return 2 if any(word[:n] in self.stems for n in self.lengths if n <= len(word)) else None
+        if beginning is None:
+            return None
+        return 2 if self.automaton.both(word)[1] == 0 else 3  # as it stands, with digits that were learned
 
     def features(self, text: str | None) -> tuple[list[float], list[str]]:
         words = WORD.findall(text.lower()) if text else []
@@ -164,7 +182,7 @@ class Finder:
             known.clear()
         for w in set(words).difference(known):
             known[w] = self.kind(w)
-        counts, quoted, addressed, terms = [0, 0, 0], 0, 0, []
+        counts, quoted, addressed, terms = [0, 0, 0, 0], 0, 0, []
         if any(known[w] is not None for w in set(words)):
             spans = [m.span() for m in WORD.finditer(text.lower())]
             low = text.lower()
@@ -180,7 +198,7 @@ class Finder:
                 addressed += not ADDRESS.isdisjoint(window)
         total = sum(counts)
         share = total / max(1, len(words))
-        return [float(counts[0] > 0), np.log1p(counts[0]), float(counts[1] > 0), float(counts[2] > 0), np.log1p(counts[2]), quoted / max(1, total), float(addressed > 0) + min(1.0, 20 * share)], terms
+        return [float(counts[0] > 0), np.log1p(counts[0]), float(counts[1] > 0), float(counts[2] > 0), np.log1p(counts[2]), quoted / max(1, total), float(addressed > 0) + min(1.0, 20 * share), float(counts[3] > 0)], terms
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
@@ -229,8 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     few = F.broadcast(sampled(labels, label, key, sample))  # at most `sample` rows
     rows = docs.select(key, text).join(few, key).select(F.col(label).cast("int").alias("y"), F.col(text).alias("t"))
     # Three quarters of the sample teach the beginnings, the last one what a hit is worth: else learned beginnings would look surer than they are.
-    half = F.pmod(F.xxhash64("t"), F.lit(4))
-    stems = learned_stems(rows.where(half > 0))
+    quarter = F.pmod(F.xxhash64("t"), F.lit(4))
+    stems = learned_stems(rows.where(quarter > 0))
     words = tuple(sorted(set(WORDS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
                 got = [finder.features(t)[0] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = mapped(rows.where(half == 0), run, "y int, x array<double>").toArrow()
+    got = mapped(rows.where(quarter == 0), run, "y int, x array<double>").toArrow()
     pairs = sorted(zip(got.column("x").to_pylist(), got.column("y").to_pylist(), strict=True))
     x, y = np.array([p[0] for p in pairs]).reshape(-1, FEATURES), np.array([p[1] for p in pairs], float)
     return Model(words, stems, tuple(logistic(x, y)) if len(y) else (0.0,) * (FEATURES + 1))
