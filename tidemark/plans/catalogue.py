@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark import schema as S
-from tidemark.functions import mapping, names, timecode
-from tidemark.operators import assembly, graph, intervals, lanes, library, matching, order, signal, spans
+from tidemark.functions import evidence, mapping, names, timecode
+from tidemark.operators import assembly, graph, intervals, lanes, library, matching, order, policies, signal, spans
 from tidemark.plans import standins
+from tidemark.sources import fingerprints
 from tidemark.streaming import live
 from tidemark.tables import table
 
@@ -654,4 +655,107 @@ def expected_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offset that metadata leads one to expect: by timecode if both have one, else by date."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("clip"), F.when(F.col("c_custkey") % 4 == 1, F.col("c_nationkey") * 2.0).alias("tc"), F.col("c_acctbal").alias("rec"), (F.col("c_custkey") % 100 + 1).alias("k"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_nationkey") * 2.0).alias("stc"), F.col("s_acctbal").alias("srec"))
-    return c.join(s, "k").select("clip", F.coalesce(F.col("tc") - F.col("stc"), F.col("rec") - F.col("srec")).alias("expected"))
+    return c.join(s, "k").select("clip", evidence.expected_offset(F.col("tc"), F.col("stc"), F.col("rec"), F.col("srec")).alias("expected"))
+
+
+# Policies, evidence and the cache --------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH "
+    + _EDGES.rpartition(",\nad AS")[0]
+    + """, t AS (SELECT *, greatest(CASE l % 5 WHEN 0 THEN 0.45 WHEN 1 THEN 0.7 ELSE 0.55 END, CASE WHEN r % 3 = 0 THEN 0.45 ELSE 0.55 END) AS least FROM ed)
+SELECT l AS "left", r AS "right", CAST(least AS DOUBLE) AS least FROM t WHERE evidence = 'span' OR (confidence >= least AND (evidence = 'timecode' OR anchors >= 3) AND covered >= 3 AND residual <= 0.1)"""
+)
+def pair_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that hold against the stricter threshold of their two clips; some clips have one of their own."""
+    l = F.col("p_partkey")
+    own = table(spark, sf_dir, "part").select(l.alias("clip"), F.when(l % 5 == 0, "permissive").when(l % 5 == 1, "conservative").alias("threshold")).where("threshold IS NOT NULL")
+    others = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 10_000_000).alias("clip"), F.lit("permissive").alias("threshold")).where("clip % 3 = 0")
+    edges = policies.with_least_confidence(standins.line_edges(spark, sf_dir), own.unionByName(others))
+    return graph.admitted(edges, F.col("least")).select("left", "right", "least")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS clip, CAST(CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS DOUBLE) * 86400 AS rec, CAST(o_orderkey % 90 AS DOUBLE) AS d, o_orderkey % 2 = 0 AS dated,
+CASE o_orderkey % 5 WHEN 1 THEN 'recStart' WHEN 2 THEN 'recStop' WHEN 3 THEN 'timecode' ELSE 'auto' END AS mode, CASE WHEN o_orderkey % 7 = 0 THEN 'v' WHEN o_orderkey % 3 = 0 THEN 'b' END AS tc FROM orders)
+SELECT clip, mode, tc AS timecode, CASE WHEN dated THEN CASE mode WHEN 'recStop' THEN rec - d WHEN 'timecode' THEN NULL ELSE rec END END AS recording,
+coalesce(CASE WHEN dated AND mode <> 'timecode' THEN TRUE END, mode IN ('auto', 'timecode') AND tc IS NOT NULL) AS known FROM o"""
+)
+def temporal_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whose timecode a clip goes by, how it is to be timed, and whether anything times it."""
+    k = F.col("o_orderkey")
+    stream = "struct<sourceTimecode:string>"
+    video = F.when(k % 7 == 0, F.struct(F.lit("v").alias("sourceTimecode"))).cast(stream)
+    audio = F.array(F.struct(F.lit(None).cast("string").alias("sourceTimecode")), F.struct(F.when(k % 3 == 0, "b").alias("sourceTimecode")), F.struct(F.lit("c").alias("sourceTimecode")))
+    audio = F.when(k % 3 == 0, audio).cast(f"array<{stream}>")
+    orders = table(spark, sf_dir, "orders")
+    clips = orders.select(k.alias("clip"), F.when(k % 2 == 0, F.unix_date(F.to_date("o_orderdate")).cast("bigint") * 86_400).alias("recorded"), (k % 90).cast("double").alias("duration"), evidence.source_timecode(video, audio).alias("timecode"))
+    own = orders.select(k.alias("clip"), F.when(k % 5 == 1, "recStart").when(k % 5 == 2, "recStop").when(k % 5 == 3, "timecode").alias("mode")).where("mode IS NOT NULL")
+    timed = policies.resolved(clips, own, "auto").withColumn("recording", evidence.recording_anchor(F.col("mode"), F.col("recorded"), F.col("duration")))
+    return timed.select("clip", "mode", "timecode", "recording", evidence.has_evidence(F.col("recording"), evidence.timecode_anchor(F.col("mode"), F.col("timecode"))).alias("known"))
+
+
+@query(
+    """WITH e AS (SELECT event_id AS id, event_id % 11 = 0 AS corrected, CASE WHEN event_id % 4 <> 0 THEN event_id / 64.0 END AS tc, event_id % 3 = 0 AS alone, CASE WHEN event_id % 2 = 0 THEN event_id * 977 END AS rec, event_id % 5 = 0 AS derived FROM events),
+f AS (SELECT *, tc * 25 - floor(tc * 25) AS rest FROM e)
+SELECT id, CAST(CASE WHEN corrected THEN 0 ELSE coalesce(tc, CASE WHEN alone THEN rec % 86400 END, 0) END AS DOUBLE) AS start, coalesce(alone AND NOT derived AND rest - 0.5 > 12.5 / 48 AND 1 - rest > 12.5 / 48, FALSE) AS past FROM f"""
+)
+def media_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where files' own time begins, and whether beyond the middle of a frame."""
+    n = F.col("event_id")
+    tc, alone = F.when(n % 4 != 0, n / 64.0), n % 3 == 0
+    start = evidence.media_start(n % 11 == 0, tc, alone, F.when(n % 2 == 0, n * 977))
+    return table(spark, sf_dir, "events").select(n.alias("id"), start.alias("start"), evidence.past_the_middle(alone, tc, n % 5 == 0, F.lit(48.0), F.lit(25.0)).alias("past"))
+
+
+@query(
+    """WITH e AS (SELECT o_custkey AS c, o_orderkey + 1000000000 AS o, CAST(CAST(o_orderdate AS DATE) - DATE '1995-01-01' AS DOUBLE) AS off FROM orders), g AS (SELECT c, least(0, min(-off)) AS first FROM e GROUP BY c)
+SELECT c_custkey AS clip, c_custkey AS root, CAST(coalesce(-first, 0) AS DOUBLE) AS start FROM customer LEFT JOIN g ON c = c_custkey UNION ALL SELECT o, e.c, -off - first FROM e JOIN g ON e.c = g.c"""
+)
+def provisional_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and their orders as groups, by the days between an order and a fixed one."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("left"), (F.col("o_orderkey") + 1_000_000_000).alias("right"), F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).alias("offset"))
+    clips = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("clip")).union(o.select("right"))
+    return graph.provisional(clips, o)
+
+
+@query("""SELECT doc_id, strlen(text) || ':' || doc_id * 1000000 AS revision, sha256('fingerprints-6' || chr(0) || 'mel' || chr(0) || lang || chr(0) || source || chr(0) || strlen(text) || chr(0) || doc_id || text) AS key FROM documents""")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a cache's entries and marks of their files' states."""
+    size, at = F.octet_length("text"), F.timestamp_seconds("doc_id")
+    sample = fingerprints.sampled(F.encode("text", "UTF-8"))
+    return table(spark, sf_dir, "documents").select("doc_id", fingerprints.revision(size, at).alias("revision"), fingerprints.key("mel", F.col("lang"), F.col("source"), size, F.col("doc_id"), sample).alias("key"))
+
+
+def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    kind = F.when(n % 6 == 5, "log").when(n % 6 == 4, "ltc").when(n % 6 == 3, "timing").otherwise("bin")
+    media = F.concat(F.when(n % 2 == 0, "/m//x/../").otherwise("/m/./"), F.col("user_id").cast("string"))
+    version = F.when(n % 3 == 1, 5).otherwise(6)
+    return table(spark, sf_dir, "events").select(n.cast("string").alias("key"), media.alias("media"), version.alias("version"), kind.alias("kind"), F.timestamp_seconds(n).alias("modified"), (n % 1000).alias("bytes"), F.when(n % 4 == 0, n % 77).alias("waveform_bytes"), F.col("event_type").alias("payload"))
+
+
+_CACHE = "c AS (SELECT event_id AS n, user_id, event_type, CASE WHEN event_id % 6 = 5 THEN 'log' WHEN event_id % 6 = 4 THEN 'ltc' WHEN event_id % 6 = 3 THEN 'timing' ELSE 'bin' END AS kind, CASE WHEN event_id % 3 = 1 THEN 5 ELSE 6 END AS version FROM events)"
+
+
+@query("WITH " + _CACHE + """ SELECT o_orderkey AS media, CAST(o_orderkey AS VARCHAR) AS key, coalesce(a.event_type, b.event_type) AS payload, a.n IS NULL AS promoted FROM orders
+LEFT JOIN c a ON a.n = o_orderkey AND a.kind = 'bin' AND a.version = 6 LEFT JOIN c b ON b.n = o_orderkey + 1 AND b.kind = 'bin' AND b.version = 5 WHERE coalesce(a.event_type, b.event_type) IS NOT NULL""")
+def cache_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose landmarks the cache has, those of the older version too."""
+    k = F.col("o_orderkey")
+    return fingerprints.load(table(spark, sf_dir, "orders").select(k.alias("media"), k.cast("string").alias("key"), (k + 1).cast("string").alias("legacy_key")), _cache(spark, sf_dir))
+
+
+@query("WITH " + _CACHE + " SELECT CAST(n AS VARCHAR) AS key FROM c WHERE kind = 'log' OR (n > 1000 AND NOT (user_id % 5 = 0 AND (kind <> 'bin' OR version = 6)))")
+def cache_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache without old entries and those of some files."""
+    media = table(spark, sf_dir, "customer").select(F.concat(F.lit("/m/"), (F.col("c_custkey") * 5).cast("string")).alias("path"))
+    media = media.union(spark.createDataFrame([("/m/0",)], "path string"))
+    return fingerprints.without_media(fingerprints.pruned(_cache(spark, sf_dir), F.timestamp_seconds(F.lit(10_000)), 9_000.0), media).select("key")
+
+
+@query("WITH " + _CACHE + " SELECT count(*) AS file_count, CAST(sum(n % 1000 + CASE WHEN n % 4 = 0 THEN n % 77 ELSE 0 END) AS BIGINT) AS total_bytes FROM c WHERE kind <> 'log'")
+def cache_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the cache and their bytes."""
+    return fingerprints.statistics(_cache(spark, sf_dir))
