@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, jaccard_join, license_scan, pii, quality_classifier, quality_rules, sentencepiece_codec, toxicity, url_reputation, warc
+from tidemark.llm import decontamination, fill_in_middle, grouped_ranking, jaccard_join, language_model, license_scan, pii, quality_classifier, quality_rules, sentencepiece_codec, toxicity, url_reputation, warc
 from tidemark.llm.shared import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,38 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle.unfilled(fill_in_middle.filled(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
+    prefix, middle, n = (F.col(f"fim_{x}") for x in ("prefix_chars", "middle_chars", "units"))
+
+    def digest(c: str):
+        return F.sha2(F.encode(c, "utf-8"), 256)
+
+    return done.select("doc_id", n.alias("n"), F.col("fim_form").alias("form"), prefix.alias("prefix_chars"), middle.alias("middle_chars"), digest("fim_output").alias("output_sha256"), digest("fim_restored").alias("restored_sha256"))
+
+
+def op12_grouped_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "sale_lines").select("sale_id", "line_no", "item_id", "vendor_id", "quantity", "amount", "discount", "shipped_at")
+    one = F.coalesce(F.crc32(F.col("sale_id").cast("string")) % 5 == 0, F.lit(False))
+
+    def dealt(c):
+        return F.when(one, F.lit(-1)).otherwise(c).cast("long")
+
+    lines = lines.select(
+        dealt(F.col("vendor_id")).alias("vendor_id"), dealt(F.coalesce(F.col("item_id") % 2, F.lit(-1))).alias("part"), dealt(F.coalesce(100 * F.year("shipped_at") + F.month("shipped_at"), F.lit(-1))).alias("month"),
+        F.col("sale_id").cast("long"), F.col("line_no").cast("long"), F.col("quantity").cast("long"), F.floor(100 * F.col("discount") + 0.5).cast("long").alias("percent"), F.floor(100 * F.col("amount") + 0.5).cast("long").alias("amount_cents"),
+        F.floor(F.col("quantity") / 10).cast("long").alias("tens"),
+    )
+    done = grouped_ranking.ranked(lines, ["vendor_id", "part", "month"], "tens", "percent", ["sale_id", "line_no", "quantity", "amount_cents"], 5)
+    return done.select("vendor_id", "part", "month", "pos", "place", "sale_id", "line_no", "quantity", "percent", "amount_cents", "tied")
+
+
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", (fold(5) == 1).alias("held_out"), "text")
+    done = language_model.scored(docs, ~F.col("held_out"), keep_text=False)
+    return done.select("doc_id", "held_out", *(F.col(f"lm_{x}").alias(n) for x, n in (("tokens", "n_tokens"), ("known", "n_known"), ("train_tokens", "train_tokens"), ("base_score", "base_score"), ("score", "score"))))
+
+
 #: The same of `pages`, without archives.
 WARC_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
@@ -103,8 +135,8 @@ CASE WHEN page_id IS DISTINCT FROM kept THEN kept END AS refers_to FROM d LEFT J
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_url_reputation, op3_sentencepiece, op4_toxicity, op5_warc, op6_license_scan, op7_jaccard_join, op8_quality_classifier, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_url_reputation, op3_sentencepiece, op4_toxicity, op5_warc, op6_license_scan, op7_jaccard_join, op8_quality_classifier, op9_pii, op10_quality_rules, op11_fill_in_middle, op12_grouped_ranking, op13_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.SQL, "op2_url_reputation": url_reputation.sql(), "op5_warc": WARC_SQL, "op7_jaccard_join": jaccard_join.SQL}
+    return {"op1_decontamination": decontamination.SQL, "op2_url_reputation": url_reputation.sql(), "op5_warc": WARC_SQL, "op7_jaccard_join": jaccard_join.SQL, "op11_fill_in_middle": fill_in_middle.SQL, "op12_grouped_ranking": grouped_ranking.SQL}
