@@ -86,11 +86,23 @@ def counted(docs: DataFrame, known: int = KNOWN) -> Counts:
     table = settled(mapped(docs.select("text", "train"), run, "word binary, c bigint, n bigint").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
     each = F.col("word").isNotNull()
     size = table.agg(F.sum("c").alias("tokens"), F.count(F.when(each & (F.col("c") > 0), 1)).alias("distinct"), F.max(F.when(~each, F.col("c"))).alias("texts")).first()  # one row
-    top = table.where(each & (F.octet_length("word") <= KNOWN_BYTES)).orderBy(F.desc("n"), "word").limit(known).collect()  # `known` rows at most
+    top = sorted(frequent(table.where(each & (F.octet_length("word") <= KNOWN_BYTES)), known).collect(), key=lambda r: (-r["n"], bytes(r["word"])))  # `known` rows at most
     texts = size["texts"] or 0
     return Counts([(bytes(r["word"]), r["c"]) for r in top], size["tokens"] or 0, size["distinct"] + (texts > 0), texts, table.where(each))
 
 
+def frequent(table: DataFrame, most: int) -> DataFrame:
+    """The most frequent words, `most` at most: all whose number is above a bound that leaves so many. It is found on how many words there are
+    of each size (32 sizes an octave), so no task sends more than what is kept."""
+    size = F.floor(32 * F.log2("n"))
+    held, bound = 0, None
+    for row in sorted(table.where("n > 0").groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):  # 2,016 rows at most
+        if (held := held + row["count"]) > most:
+            break
+        bound = row["size"]
+    return table.where((F.col("n") > 0) & (size >= bound)) if bound is not None else table.limit(0)
+
+
 class Model(NamedTuple):
     """names: words of the vocabulary from 2 on. left, before: R1 and R2; out: q. other_total: c + 0.5 summed over the words that
     the vocabulary doesn't name, with one half for those never seen."""
