@@ -245,18 +245,21 @@ def plain_license(text, phrases=license_scan.PHRASES):
 
 
 def plain_agreement(w, index, templates):
-    """Templates with enough votes at one place, and the most votes."""
-    looked = {x: posts for x, _, posts in [e for e in index if e[0] in set(w)][: license_scan.LOOKUPS]}
-    votes = {}
+    """Templates with enough votes at one place and their phrases there, and the most votes."""
+    looked, votes = {x: posts for x, _, posts in index}, {}
     for i, x in enumerate(w):
         for t, at, weight in looked.get(x, ()):
             votes[t, i - at] = votes.get((t, i - at), 0) + weight
-    joined = " " + " ".join(w) + " "
-    own = {templates[t][0] for (t, _), v in votes.items() if v >= license_scan.ACCEPT - 1e-9 and all(f" {p} " in joined for p in templates[t][2])}
+
+    def holds(t, at):
+        there = " " + " ".join(w[max(0, at) : at + len(templates[t][1].split())]) + " "
+        return all(f" {p} " in there for p in templates[t][2])
+
+    own = {templates[t][0] for (t, at), v in votes.items() if v >= license_scan.ACCEPT - 1e-9 and holds(t, at)}
     return own, max(votes.values(), default=0)
 
 
-def test_templates_are_found_as_by_a_plain_index(spark, monkeypatch):
+def test_templates_are_found_as_by_a_plain_index(spark):
     rng = random.Random(5)
     bodies = [b for _, b, _ in license_scan.TEMPLATES]
     data = []
@@ -267,7 +270,6 @@ def test_templates_are_found_as_by_a_plain_index(spark, monkeypatch):
             a = rng.randrange(len(v)) if rng.random() < 0.5 else 0
             parts += [" ".join(x for x in v[a:] if rng.random() < 0.95), sentence(rng, rng.randint(0, 15))]
         data.append((i, " ".join(parts)))
-    monkeypatch.setattr(license_scan, "LOOKUPS", 20)
     counts, total = license_scan.document_counts(frame(spark, data), sorted({w for b in bodies for w in b.split()}))
     assert total == len(data) and all(n == sum(x in t.split() for _, t in data) for x, n in counts.items())
     index, met = license_scan.postings(license_scan.TEMPLATES, counts, total), 0
@@ -280,6 +282,16 @@ def test_templates_are_found_as_by_a_plain_index(spark, monkeypatch):
     assert met > 50
 
 
+def test_files_of_many_templates_have_all_their_labels_and_no_other(spark):
+    rng = random.Random(6)
+    templates = license_scan.TEMPLATES
+    data = [tuple(rng.sample(range(len(templates)), rng.randint(1, 4))) for _ in range(300)] + [tuple(range(len(templates))), tuple(reversed(range(len(templates))))]
+    docs = [(i, f" {sentence(rng, 3)}. ".join(templates[t][1] for t in ts)) for i, ts in enumerate(data)]
+    docs += [(1000 + i, " ".join(templates[t][1] for t in ts)) for i, ts in enumerate(data)]
+    for r in license_scan.scanned(frame(spark, docs)).collect():
+        assert r.labels == ",".join(sorted({templates[t][0] for t in data[r.doc_id % 1000]})), r.doc_id
+
+
 def test_license_phrases_and_templates(spark):
     rng = random.Random(8)
     parts = ["Under the MIT License. ", "apache license, version 2.0 ", "CC BY-NC 4.0 ", "cc by nc cc by nc ", "the mit ", "license ", "x ", "under ", "\n", "é"]
@@ -293,6 +305,11 @@ def test_license_phrases_and_templates(spark):
     by = {r.doc_id: r for r in got}
     assert by[1000].labels == "gpl-3" and by[1001].labels == "" and by[1002].labels == "mit" and by[21].score == 0
     assert license_scan.scanned(frame(spark, [])).collect() == []
+    bare = license_scan.scanned(frame(spark, data[-3:]), templates=(), phrases=(("granted free of", "x"),)).collect()
+    assert {(r.doc_id, r.labels) for r in bare} == {(1000, ""), (1001, ""), (1002, "x")}
+    assert license_scan.scanned(frame(spark, data[-3:]), phrases=()).where("n_base > 0 OR first_word IS NOT NULL OR base_labels <> ''").count() == 0
+    clash = license_scan.scanned(frame(spark, data[-1:], "w __w p0 c1").withColumnRenamed("text", "labels"), "labels").first()
+    assert (clash.w, clash["__w"], clash.p0, clash.c1, clash.labels) == (*["kept"] * 4, "mit")
     with pytest.raises(ValueError):
         license_scan.scanned(frame(spark, []), phrases=(("a b a", "x"),))
 

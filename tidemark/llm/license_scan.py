@@ -2,10 +2,11 @@
 
 Base labels come from phrases whose words stand one after another. The method: how many documents hold each word of the
 templates is counted over all documents. The index has postings (word, template, position) of the rare ones among them, and of
-each template's `ANCHORS` rarest whatever their share. Each file looks up the `LOOKUPS` words of highest IDF among those that
-it holds. Each place of such a word votes, with the word's IDF, for where a template would have to begin: votes that meet at
+each template's `ANCHORS` rarest whatever their share. Each file looks up all of the index's words that it holds, those of highest
+IDF first. Each place of such a word votes, with the word's IDF, for where a template would have to begin: votes that meet at
 one place are the intersection of postings by relative position. A template whose votes reach `ACCEPT` of its anchors' weight
-and whose mandatory phrases stand in the file gives its label. What leaves the executors are one count for each template word.
+at a place, and whose mandatory phrases stand in the words from there to where it would end, gives its label. What leaves the
+executors are one count for each template word.
 """
 
 from __future__ import annotations
@@ -52,8 +53,8 @@ TEMPLATES = (
 )
 #: Rarest words of a template, and the share of their weight that has to agree on one place.
 ANCHORS, ACCEPT = 6, 0.75
-#: Words in more than this share of the documents are postings only as anchors. Words that a file looks up, at most.
-RARE, LOOKUPS = 0.05, 64
+#: Words in more than this share of the documents are postings only as anchors.
+RARE = 0.05
 ADDED = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
@@ -106,51 +107,60 @@ def scanned(docs: DataFrame, text: str = "text", phrases=PHRASES, templates=TEMP
     """
     if any(overlaps_itself(p) for p, _ in phrases):
         raise ValueError("a phrase whose end is also its beginning can't be counted by splitting")
-    docs = without(docs, ADDED)
-    vocabulary = sorted({w for _, body, _ in templates for w in body.split()})
-    index = postings(templates, *document_counts(docs, vocabulary, text))
-    df = docs.withColumn("__w", words(F.col(text)))
-    df = df.withColumns({"n_words": F.size("__w").cast("long"), "__s": F.concat(F.lit(" "), F.array_join("__w", "  "), F.lit(" "))})
-    parts = {i: F.when(F.contains("__s", F.lit(spaced(p))), F.split("__s", spaced(p), -1)) for i, (p, _) in enumerate(phrases)}
-    df = df.withColumns({f"__p{i}": c for i, c in parts.items()})
-    first = [_words_in(F.get(f"__p{i}", F.lit(0))) for i in parts]
-    last = [F.col("n_words") - _words_in(F.get(f"__p{i}", F.size(f"__p{i}") - 1)) - len(p.split()) for i, (p, _) in enumerate(phrases)]
+    names = without(docs, ADDED).columns
+    # The caller's columns go by other names on the way, so none can clash.
+    df = docs.select(*(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)), words(docs[f"`{text}`"]).alias("w"))
+    df = df.withColumns({"n_words": F.size("w").cast("long"), "s": F.concat(F.lit(" "), F.array_join("w", "  "), F.lit(" "))})
+    parts = {i: F.when(F.contains("s", F.lit(spaced(p))), F.split("s", spaced(p), -1)) for i, (p, _) in enumerate(phrases)}
+    df = df.withColumns({f"p{i}": c for i, c in parts.items()})
+    first = [_words_in(F.get(f"p{i}", F.lit(0))) for i in parts]
+    last = [F.col("n_words") - _words_in(F.get(f"p{i}", F.size(f"p{i}") - 1)) - len(p.split()) for i, (p, _) in enumerate(phrases)]
+    none = F.lit(None).cast("long")
     df = df.withColumns(
         {
-            "n_base": sum((F.when(F.col(f"__p{i}").isNull(), 0).otherwise(F.size(f"__p{i}") - 1).cast("long") for i in parts), F.lit(0).cast("long")),
-            "first_word": F.least(*first) if len(first) > 1 else first[0],
-            "last_word": F.greatest(*last) if len(last) > 1 else last[0],
-            "__base": F.array_distinct(F.filter(F.array(*(F.when(F.col(f"__p{i}").isNotNull(), F.lit(label)) for i, (_, label) in enumerate(phrases))), lambda x: x.isNotNull())),
+            "n_base": sum((F.when(F.col(f"p{i}").isNull(), 0).otherwise(F.size(f"p{i}") - 1).cast("long") for i in parts), F.lit(0).cast("long")),
+            "first_word": F.least(none, none, *first),
+            "last_word": F.greatest(none, none, *last),
+            "base": F.array_distinct(F.filter(F.array(F.lit(None).cast("string"), *(F.when(F.col(f"p{i}").isNotNull(), F.lit(label)) for i, (_, label) in enumerate(phrases))), lambda x: x.isNotNull())),
         }
     )
+    own, best = F.array().cast("array<string>"), F.lit(0.0)
+    if templates:
+        df = voted(df, postings(templates, *document_counts(docs, sorted({w for _, body, _ in templates for w in body.split()}), text)), templates)
+        labels = F.array(*(F.lit(label) for label, _, _ in templates))
+        own, best = F.transform("sum.found", lambda t: F.get(labels, t)), F.col("sum.best")
+    return df.select(
+        *(F.col(f"c{i}").alias(c) for i, c in enumerate(names)),
+        "n_words", "n_base", "first_word", "last_word",
+        F.array_join(F.sort_array("base"), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.array_union("base", own)), ",").alias("labels"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.least(F.lit(1.0), best)).alias("score"),
+    )
+
+
+def voted(df: DataFrame, index, templates) -> DataFrame:
+    """df (w: words) with `sum`: `best`, the greatest agreement of any template at one place, and `found`, the templates that a place reaches
+    whose words hold their phrases."""
     # What the file looks up, by falling IDF, the postings of each, and the places of each in the file.
-    df = df.withColumn("__top", F.slice(F.array_intersect(F.array(*(F.lit(w) for w, _, _ in index)), F.col("__w")), 1, LOOKUPS))
+    df = df.withColumn("top", F.array_intersect(F.array(*(F.lit(w) for w, _, _ in index)), F.col("w")))
     table = F.create_map(*(x for w, _, found in index for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i"), F.lit(v).alias("v")) for t, i, v in found)))))
-    df = df.withColumn("__posts", F.transform("__top", lambda w: F.element_at(table, w)))
-    df = df.withColumn("__hits", F.filter(F.transform("__w", lambda w, i: F.struct(F.array_position("__top", w).cast("int").alias("of"), i.alias("i"))), lambda x: x["of"] > 0))
-    votes = F.flatten(F.transform("__hits", lambda h: F.transform(F.get("__posts", h["of"] - 1), lambda p: F.struct(p.t.alias("t"), (h.i - p.i).alias("at"), p.v.alias("v")))))
-    df = df.withColumn("__votes", F.sort_array(votes))
+    df = df.withColumn("posts", F.transform("top", lambda w: F.element_at(table, w)))
+    df = df.withColumn("hits", F.filter(F.transform("w", lambda w, i: F.struct(F.array_position("top", w).cast("int").alias("of"), i.alias("i"))), lambda x: x["of"] > 0))
+    votes = F.flatten(F.transform("hits", lambda h: F.transform(F.get("posts", h["of"] - 1), lambda p: F.struct(p.t.alias("t"), (h.i - p.i).alias("at"), p.v.alias("v")))))
+    df = df.withColumn("votes", F.sort_array(votes))
+    lengths = F.array(*(F.lit(len(body.split())) for _, body, _ in templates))
+    phrases = F.array(*(F.array(*(F.lit(spaced(p)) for p in must)).cast("array<string>") for _, _, must in templates))
+
+    def holds(t: Column, at: Column) -> Column:
+        """Whether the words at which the template would stand hold its phrases; it may begin before the file does."""
+        there = F.slice("w", F.greatest(at, F.lit(0)) + 1, F.greatest(F.get(lengths, t) + F.least(at, F.lit(0)), F.lit(0)))
+        span = F.concat(F.lit(" "), F.array_join(there, "  "), F.lit(" "))
+        return F.forall(F.get(phrases, t), lambda p: F.contains(span, p))
 
     def add(a: Column, v: Column) -> Column:
         total = F.when((a.t == v.t) & (a.at == v["at"]), a.sum + v.v).otherwise(v.v)
-        reached = (total >= ACCEPT - 1e-9) & ~F.array_contains(a.found, v.t)
+        reached = (total >= ACCEPT - 1e-9) & ~F.array_contains(a.found, v.t) & holds(v.t, v["at"])
         return F.struct(v.t.alias("t"), v["at"].alias("at"), total.alias("sum"), F.greatest(a.best, total).alias("best"), F.when(reached, F.array_append(a.found, v.t)).otherwise(a.found).alias("found"))
 
     start = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.array().cast("array<int>").alias("found"))
-    df = df.withColumn("__sum", F.aggregate("__votes", start, add))
-    own = [F.when(F.array_contains(F.col("__sum.found"), t) & _all(F.contains("__s", F.lit(spaced(p))) for p in must), F.lit(label)) for t, (label, _, must) in enumerate(templates)]
-    df = df.withColumn("__own", F.when(F.size("__sum.found") > 0, F.filter(F.array(*own), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>")))
-    return df.select(
-        *(f"`{c}`" for c in docs.columns),
-        "n_words", "n_base", "first_word", "last_word",
-        F.array_join(F.sort_array("__base"), ",").alias("base_labels"),
-        F.array_join(F.sort_array(F.array_union("__base", F.coalesce("__own", F.array().cast("array<string>")))), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce("__sum.best", F.lit(0.0)))).alias("score"),
-    )
-
-
-def _all(conditions) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
+    return df.withColumn("sum", F.aggregate("votes", start, add))
