@@ -28,7 +28,9 @@ WORDS = (
 )
 SAMPLE = 12_000
 #: A learned beginning has so many letters, starts a word in so many toxic texts at least, and in others at most this share of them.
-STEM_LENGTHS, STEM_TEXTS, STEM_OTHERS, STEMS = (5, 10), 4, 0.12, 5_000
+STEM_LENGTHS, STEM_TEXTS, STEM_OTHERS = (5, 10), 4, 0.12
+#: A doubtful beginning may start a word in so many other texts for each toxic one.
+DOUBTFUL_OTHERS = 0.7
 #: Letters from which a term may be off by one edit, and by two; letters from which a beginning may be off by one.
 ONE_EDIT, TWO_EDITS, BEGINNING_EDIT = 5, 9, 5
 #: Words on either side of a hit that form its window.
@@ -41,8 +43,10 @@ QUOTES = frozenset("\"“”«»„‟‘’‹›")
 REPORTING = frozenset("said says wrote called quote quoted quotes word term insult slur means meaning a-dit dit mot terme sagte wort dijo palabra".split())
 ADDRESS = frozenset("you your yours u ur youre he she they him her them tu toi vous ton du dich dein ihr euch ustedes usted tú eres".split())
 FOLD = str.maketrans("013457@$!", "oieastasi")
+FEATURES = 10
+#: What a row labelled toxic counts in the fit: such rows are few, and missing one is worse than a false alarm.
+TOXIC_WEIGHT = 1.5
 ADDED = {"toxic_score": T.DoubleType(), "toxic_predicted": T.IntegerType(), "toxic_terms": T.ArrayType(T.StringType())}
-FEATURES = 8
 
 
 def allowed(length: int) -> int:
@@ -148,15 +152,16 @@ class Automaton:
 class Model(NamedTuple):
     words: tuple[str, ...]
     stems: tuple[str, ...]
+    doubtful: tuple[str, ...]
     weights: tuple[float, ...]
 
 
 class Finder:
-    """Hits of texts: words with what kind they are (0 exact, 1 misspelled, 2 learned beginning, 3 misspelled beginning),
-    remembered by word."""
+    """Hits of texts: words with what kind they are (0 exact, 1 misspelled, 2 learned beginning, 3 misspelled beginning, 4 doubtful
+    beginning as it stands), remembered by word."""
 
-    def __init__(self, words: tuple[str, ...], stems: tuple[str, ...]):
-        self.automaton, self.known = Automaton(words, stems), {}
+    def __init__(self, words: tuple[str, ...], stems: tuple[str, ...], doubtful: tuple[str, ...] = ()):
+        self.automaton, self.doubtful, self.known = Automaton(words, stems), frozenset(doubtful), {}
 
     def kind(self, word: str) -> int | None:
         found = self.whole(word)
@@ -171,9 +176,12 @@ class Finder:
             edits = 1 if self.automaton.edits(single) == 0 else None  # drawn out letters
         if edits is not None:
             return 0 if edits == 0 and plain == word else 1
-        if beginning is None:
-            return None
-        return 2 if self.automaton.both(word)[1] == 0 else 3  # as it stands, with digits that were learned
+        if beginning is not None and self.automaton.both(word)[1] == 0:
+            return 2  # as it stands, with digits that were learned
+        low, high = STEM_LENGTHS
+        if self.doubtful and any(word[:n] in self.doubtful for n in range(low, min(high, len(word)) + 1)):
+            return 4
+        return None if beginning is None else 3
 
     def features(self, text: str | None) -> tuple[list[float], list[str]]:
         words = WORD.findall(text.lower()) if text else []
@@ -182,7 +190,7 @@ class Finder:
             known.clear()
         for w in set(words).difference(known):
             known[w] = self.kind(w)
-        counts, quoted, addressed, terms = [0, 0, 0, 0], 0, 0, []
+        counts, quoted, addressed, terms = [0, 0, 0, 0, 0], 0, 0, []
         if any(known[w] is not None for w in set(words)):
             spans = [m.span() for m in WORD.finditer(text.lower())]
             low = text.lower()
@@ -198,7 +206,7 @@ class Finder:
                 addressed += not ADDRESS.isdisjoint(window)
         total = sum(counts)
         share = total / max(1, len(words))
-        return [float(counts[0] > 0), np.log1p(counts[0]), float(counts[1] > 0), float(counts[2] > 0), np.log1p(counts[2]), quoted / max(1, total), float(addressed > 0) + min(1.0, 20 * share), float(counts[3] > 0)], terms
+        return [float(counts[0] > 0), np.log1p(counts[0]), float(counts[1] > 0), float(counts[2] > 0), np.log1p(counts[2]), quoted / max(1, total), float(addressed > 0) + min(1.0, 20 * share), float(counts[3] > 0), np.log1p(counts[4]), min(1.0, 20 * counts[4] / max(1, len(words)))], terms
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
@@ -218,24 +226,27 @@ def _prefixes(docs: DataFrame) -> DataFrame:
     return mapped(docs, run, "stem string, y int").groupBy("stem").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("others"))
 
 
-def learned_stems(docs: DataFrame) -> tuple[str, ...]:
-    """docs: y and text of the sample. Shortest beginnings first; one that a chosen one begins is left out."""
-    found = _prefixes(docs).where((F.col("toxic") >= STEM_TEXTS) & (F.col("others") <= STEM_OTHERS * F.col("toxic")))
-    rows = found.orderBy(F.length("stem"), F.desc("toxic"), "stem").limit(STEMS).collect()  # bounded, of a bounded sample
-    chosen: set[str] = set()
-    for r in rows:
-        if not any(r.stem[:n] in chosen for n in range(1, len(r.stem))):
-            chosen.add(r.stem)
-    return tuple(sorted(chosen))
+def learned_stems(docs: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """docs: y and text of the sample. Beginnings, and doubtful ones: of each kind one that a shorter one begins is left out."""
+    found = _prefixes(docs).where((F.col("toxic") >= STEM_TEXTS) & (F.col("others") <= DOUBTFUL_OTHERS * F.col("toxic")))
+    rows = found.collect()  # of a bounded sample
+
+    def shortest(stems: set[str]) -> tuple[str, ...]:
+        return tuple(sorted(x for x in stems if not any(x[:n] in stems for n in range(1, len(x)))))
+
+    sure = {r["stem"] for r in rows if r["others"] <= STEM_OTHERS * r["toxic"]}
+    return shortest(sure), shortest({r["stem"] for r in rows} - sure)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 25, ridge: float = 0.5) -> np.ndarray:
-    """Weights of a regularised logistic model by Newton's method, the constant last (it isn't regularised)."""
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 25, ridge: float = 0.5, toxic: float = TOXIC_WEIGHT) -> np.ndarray:
+    """Weights of a regularised logistic model by Newton's method, the constant last (it isn't regularised). A row of class 1 counts `toxic`
+    times."""
+    n = np.where(y > 0, toxic, 1.0)
     x = np.column_stack([x, np.ones(len(x))])
     w, penalty = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (n * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -248,11 +259,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     rows = docs.select(key, text).join(few, key).select(F.col(label).cast("int").alias("y"), F.col(text).alias("t"))
     # Three quarters of the sample teach the beginnings, the last one what a hit is worth: else learned beginnings would look surer than they are.
     quarter = F.pmod(F.xxhash64("t"), F.lit(4))
-    stems = learned_stems(rows.where(quarter > 0))
+    stems, doubtful = learned_stems(rows.where(quarter > 0))
     words = tuple(sorted(set(WORDS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(words, stems)
+        finder = Finder(words, stems, doubtful)
         for batch in batches:
             for part in grouped(batch, 1):
                 got = [finder.features(t)[0] for t in part.column(1).to_pylist()]
@@ -261,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     got = mapped(rows.where(quarter == 0), run, "y int, x array<double>").toArrow()
     pairs = sorted(zip(got.column("x").to_pylist(), got.column("y").to_pylist(), strict=True))
     x, y = np.array([p[0] for p in pairs]).reshape(-1, FEATURES), np.array([p[1] for p in pairs], float)
-    return Model(words, stems, tuple(logistic(x, y)) if len(y) else (0.0,) * (FEATURES + 1))
+    return Model(words, stems, doubtful, tuple(logistic(x, y)) if len(y) else (0.0,) * (FEATURES + 1))
 
 
 def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -273,7 +284,7 @@ def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema, at = T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in ADDED.items())]), df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, w = Finder(model.words, model.stems), np.array(model.weights)
+        finder, w = Finder(model.words, model.stems, model.doubtful), np.array(model.weights)
         for batch in batches:
             for part in grouped(batch, at):
                 got = [finder.features(t) for t in part.column(at).to_pylist()]
