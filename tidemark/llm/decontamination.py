@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import lower_ascii, settled, split_words, without
+from tidemark.llm.shared import aside, back, lower_ascii, settled, split_words, without
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN, K = 10, 5
@@ -96,7 +96,7 @@ def _hits(docs: DataFrame, index: DataFrame) -> DataFrame:
 def _by_text(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str) -> DataFrame:
     """(key, n_hit, items) of texts with a hit; key is the text's MD5."""
     items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
-    texts = docs.where(F.col(text).isNotNull()).select(F.md5(F.encode(text, "utf-8")).alias("key"), words(F.col(text)).alias("w"))
+    texts = docs.where(docs[f"`{text}`"].isNotNull()).select(F.md5(F.encode(docs[f"`{text}`"], "utf-8")).alias("key"), words(docs[f"`{text}`"]).alias("w"))
     by_text = _hits(texts, settled(index_of(items), "index")).groupBy("key").agg(F.collect_set("at").alias("at"), F.collect_set("item").alias("items"))
     return by_text.select("key", F.size(F.array_distinct(F.flatten("at"))).cast("long").alias("n_hit"), F.sort_array("items").alias("items"))
 
@@ -117,11 +117,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     Items without an id or without words are ignored; an id that is repeated counts once. Columns of docs with the names of
     the added ones are replaced. Either table may be empty.
     """
-    docs = without(docs, ADDED)
+    names = without(docs, ADDED).columns
     by_text = _hit_texts(docs, benchmark, text, item_id, item_text)
-    done = docs.withColumns({"__key": F.md5(F.encode(text, "utf-8")), "n_words": F.size(split_words(F.col(text))).cast("long")}).join(by_text.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
-    done = done.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
-    return done.withColumns({"n_items": F.size("items").cast("long"), "contaminated": F.col("n_hit") > 0})
+    own = docs[f"`{text}`"]
+    done = docs.select(*aside(docs, names), F.md5(F.encode(own, "utf-8")).alias("key"), F.size(split_words(own)).cast("long").alias("n_words")).join(by_text, "key", "left")
+    items, n_hit = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0).cast("long"))
+    return done.select(*back(names), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

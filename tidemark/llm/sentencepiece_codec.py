@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import grouped, mapped, without
+from tidemark.llm.shared import aside, grouped, mapped, without
 
 MARK = "▁"
 UINT32 = "I" if array("I").itemsize == 4 else "L"
@@ -99,9 +99,9 @@ def encoded(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     One row out for each row in, repeated rows and null ids too; a null text counts as empty; columns of df with the names of
     the added ones are replaced; an empty df gives an empty result. Order of rows isn't kept across partitions.
     """
-    df = without(df, ADDED)
-    schema = T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in ADDED.items())])
-    at = df.columns.index(text)
+    names = without(df, ADDED).columns
+    schema, at = T.StructType([*(df.schema[c] for c in names), *(T.StructField(k, v) for k, v in ADDED.items())]), len(names)
+    source = df.select(*aside(df, names), df[f"`{text}`"].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model)
@@ -109,21 +109,21 @@ def encoded(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
             for part in grouped(batch, at, GROUP_CHARS):
                 ids, texts = table.encode(part.column(at).to_pylist())
                 more = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*batch.schema.names, *ADDED])
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], *more], names=[*names, *ADDED])
 
-    return mapped(df, run, schema)
+    return mapped(source, run, schema)
 
 
 def decoded(df: DataFrame, model: bytes, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """df with the text of packed ids; null ids give a null text."""
-    df = without(df, [out])
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
-    at = df.columns.index(ids)
+    """df with the text of packed ids; null ids give a null text, and a column named `out` is replaced. A row out for each row in."""
+    names = without(df, [out]).columns
+    schema, at = T.StructType([*(df.schema[c] for c in names), T.StructField(out, T.StringType())]), len(names)
+    source = df.select(*aside(df, names), df[f"`{ids}`"].alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)
         for batch in batches:
             texts = [None if b is None else texts_of(sp, [b])[0] for b in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string())], names=[*names, out])
 
-    return mapped(df, run, schema)
+    return mapped(source, run, schema)

@@ -42,6 +42,15 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*(df[f"`{c}`"] for c in kept)) if len(kept) < len(df.columns) else df
 
 
+def aside(df: DataFrame, names: Iterable[str]) -> list[Column]:
+    """Columns of df under names (c0, c1, ...) that no other column of an operator has; `back` gives them their own again."""
+    return [df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)]
+
+
+def back(names: Iterable[str]) -> list[Column]:
+    return [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without it a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)

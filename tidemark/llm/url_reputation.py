@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import lower_ascii, settled, without
+from tidemark.llm.shared import aside, back, lower_ascii, settled, without
 
 #: Verdict, host and path of the rules.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -93,7 +93,8 @@ def judged(pages: DataFrame, outcomes: DataFrame | None = None, url: str = "url"
     one without ://, has an empty host and path, no rule, and is judged as the host of that name. Columns of the names
     added are replaced. The hosts' table is joined by host, with a hot host's rows split by the engine.
     """
-    pages = without(pages, ADDED).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    names = without(pages, ADDED).columns
+    pages = pages.select(*aside(pages, names), host_of(pages[f"`{url}`"]).alias("host"), path_of(pages[f"`{url}`"]).alias("path"))
     known = pages.select("host", F.lit(None).cast("int").alias("outcome"))
     if outcomes is not None:
         known = known.unionByName(outcomes.select(host_of(F.col("url")).alias("host"), F.col("outcome").cast("int").alias("outcome")))
@@ -101,8 +102,8 @@ def judged(pages: DataFrame, outcomes: DataFrame | None = None, url: str = "url"
     said = F.lit(None).cast("string")
     for verdict, h, p in rules:
         said = F.when(F.col("rule") == h + p, F.lit(verdict)).otherwise(said)
-    done = pages.join(reputations(known).withColumnRenamed("bad", "__bad"), "host", "left").withColumn("rule", rule)
-    return done.withColumn("verdict", F.coalesce(said, F.when(F.col("__bad"), F.lit("block")).otherwise(F.lit("allow")))).drop("__bad")
+    done = pages.join(reputations(known), "host", "left").withColumn("rule", rule)
+    return done.select(*back(names), "host", "path", "rule", "reputation", "reputation_bound", F.coalesce(said, F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
 
 
 def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from tidemark.llm.shared import aside, back, without
+
 SCHEMA = "record_id string, record_type string, target_uri string, date string, content_type string, payload_digest string, payload_length long, refers_to string, payload binary"
 WRITTEN = "record_id string, record_type string, target_uri string, payload_digest string, payload_length long, refers_to string, payload binary"
 MANIFEST, DATE = "_manifest.json", "2024-01-01T00:00:00Z"
@@ -265,16 +267,17 @@ def with_revisits(rows: DataFrame, order: str) -> DataFrame:
     """rows (record_id, target_uri, payload and the column `order`) with payload_digest, payload_length, record_type and
     refers_to. Of rows with equal payloads of REVISIT_BYTES or more, that with the largest `order` is the response and the
     others revisit it; if several share it, each is a response. Without a non-null `order` among them all are responses.
-    A null payload is the empty one."""
-    rows = rows.withColumn("payload", F.coalesce("payload", F.lit(b"")))
+    A null payload is the empty one. Columns of the added names are replaced; an empty table gives an empty one."""
+    names = [c for c in without(rows, ("payload_digest", "payload_length", "record_type", "refers_to")).columns if c != "payload"]
+    payload = F.coalesce(rows["payload"], F.lit(b""))
+    rows = rows.select(*aside(rows, names), rows[f"`{order}`"].alias("o"), rows["record_id"].alias("id"), payload.alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha1("payload"), "payload_length": F.octet_length("payload").cast("long")})
-    same = rows.where(F.col("payload_length") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.max(F.struct(F.col(order).alias("o"), "record_id")).alias("kept"), F.count(F.lit(1)).alias("c")).where("c > 1 AND kept.o IS NOT NULL").select("payload_digest", "kept")
+    same = rows.where(F.col("payload_length") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.max(F.struct("o", "id")).alias("kept"), F.count(F.lit(1)).alias("c")).where("c > 1 AND kept.o IS NOT NULL").select("payload_digest", "kept")
     if same.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         same = F.broadcast(same)
     rows = rows.join(same, "payload_digest", "left")
-    again = F.col("kept").isNotNull() & ~F.col(order).eqNullSafe(F.col("kept.o"))
-    rows = rows.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("kept.record_id"))})
-    return rows.withColumn("payload", F.when(~again, F.col("payload"))).drop("kept")
+    again = F.col("kept").isNotNull() & ~F.col("o").eqNullSafe(F.col("kept.o"))
+    return rows.select(*back(names), F.when(~again, F.col("payload")).alias("payload"), "payload_digest", "payload_length", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("kept.id")).alias("refers_to"))
 
 
 def archived(rows: DataFrame, path: str, **options: str) -> None:
