@@ -112,16 +112,46 @@ def test_timecode_edges_are_those_of_a_plain_loop(spark):
     assert {(r.left, r.right, r.offset) for r in got.collect()} == want
 
 
-def test_lanes_have_no_overlap_and_first_fit(spark):
+def plain_tracks(rows):
+    """First fit by a fold over everything: clips (id, source, start, duration) to tracks."""
+    pdf = pd.DataFrame(rows, columns=["id", "source_key", "start", "duration"])
+    own = pd.concat([lanes.source_lanes(g) for _, g in pdf.groupby("source_key")])
+    tracks, out = [], {}
+    held = sorted(((g.start.min(), s, lane), sorted(zip(g.start, g.start + g.duration.clip(lower=0), g.id, strict=True))) for (s, lane), g in own.groupby(["source_key", "lane"]))
+
+    def meet(x, y):
+        one, other = sorted([x[:2], y[:2]])
+        return other[0] < one[1] - lanes.DUST and other[1] > other[0]
+
+    for _, clips in held:
+        at = next((i for i, t in enumerate(tracks) if not any(meet(x, y) for x in clips for y in t)), len(tracks))
+        if at == len(tracks):
+            tracks.append([])
+        tracks[at] += clips
+        out |= {c[2]: at for c in clips}
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1000, 3])
+def test_lanes_are_those_of_a_fold(spark, chunk):
     rng = random.Random(2)
-    rows = [(str(i), str(i % 7), float(rng.randint(0, 200)), float(rng.randint(1, 20))) for i in range(200)]
-    got = lanes.allocated(spark.createDataFrame(rows, S.INTERVALS)).collect()
-    assert len(got) == 200
-    for a in got:
-        for b in got:
-            if a.id < b.id and a.track == b.track:
-                assert min(a.start + a.duration, b.start + b.duration) - max(a.start, b.start) <= lanes.SEAM + 1e-9
-    assert lanes.fits([(0, 1), (5, 9)], [(1, 5)]) and not lanes.fits([(0, 10)], [(3, 4)])
+    rows = [(str(i), str(rng.randint(0, 9) if i % 3 else 7), float(rng.randint(0, 400)) / 4, float(rng.choice([0, 1, 2, 2.25, 20]))) for i in range(300)]
+    got = {r.id: r.track for r in lanes.allocated(spark.createDataFrame(rows, S.INTERVALS).repartition(3), chunk=chunk).collect()}
+    assert got == plain_tracks(rows)
+    two = [(f"{p}{i}", s, t, d, p) for p in "ab" for i, s, t, d in rows[:60]]
+    got = {r.id: r.track for r in lanes.allocated(spark.createDataFrame(two, S.INTERVALS + ", project string"), "project", chunk).collect()}
+    want = plain_tracks(rows[:60])
+    assert got == {f"{p}{i}": t for p in "ab" for i, t in want.items()}
+    assert lanes.allocated(spark.createDataFrame([], S.INTERVALS)).collect() == []
+
+
+def test_a_source_that_is_never_idle_is_swept_range_by_range(spark):
+    rng = random.Random(5)
+    rows = [(str(i), "s", i / 8, rng.choice([2.0, 9.0, 30.0])) for i in range(400)]  # some clip is always open
+    frame = spark.createDataFrame(rows, "id string, source_key string, start double, d double")
+    got = {r.id: r.lane for r in lanes.in_source(frame, ["source_key"]).collect()}
+    want = lanes.source_lanes(pd.DataFrame(rows, columns=["id", "source_key", "start", "duration"])).set_index("id").lane
+    assert got == want.to_dict()
     one = lanes.source_lanes(pd.DataFrame({"id": ["a", "b", "c"], "start": [0.0, 0.0, 9.8], "duration": [10.0, 5.0, 4.0]})).set_index("id").lane
     assert one.to_dict() == {"a": 0, "b": 1, "c": 0}
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark import schema as S
 from tidemark.functions.mapping import value_at
 from tidemark.functions.names import track_key
+from tidemark.tables import numbered, settled
 
 
 def consistent_median(column: str):
@@ -17,6 +19,18 @@ def consistent_median(column: str):
     return F.when((F.count(c) == 1) | (F.max(c) - F.min(c) <= 2.0), F.percentile(c, 0.5))
 
 
+def upper_median(column: str) -> Column:
+    """Aggregate: the value in the middle, the upper one of two. It merges: tasks send their distinct values with their counts."""
+    return F.expr(f"percentile_disc(0.5 + 1e-9) WITHIN GROUP (ORDER BY `{column}`)")
+
+
+def line_fit(x: str, y: str) -> Column:
+    """Aggregate: slope and intercept of the line of least squares, and the root mean square of what it leaves."""
+    slope = F.regr_slope(y, x)
+    left = F.greatest(F.lit(0.0), F.regr_syy(y, x) - slope * F.regr_sxy(y, x)) / F.regr_count(y, x)
+    return F.struct(slope.alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.sqrt(left).alias("residual"))
+
+
 def chronology(items: DataFrame) -> DataFrame:
     """(island, kind, origin): 0 by recording dates, 1 by timecodes, else 2 by number. items: island, start, recorded, tc."""
     d = items.withColumns({"r": F.col("recorded") - F.col("start"), "t": F.col("tc") - F.col("start")}).groupBy("island").agg(consistent_median("r").alias("r"), consistent_median("t").alias("t"))
@@ -112,22 +126,28 @@ def assembled(placements: DataFrame, clips: DataFrame) -> DataFrame:
     """K3, K7: items of all islands, and of unmatched clips as islands of their own behind them, as flat rows.
 
     placements: clip, island (null: unmatched), offset, rate; clips: clip, kind, duration, source."""
-    from pyspark.sql.window import Window
-
-    rows = clips.join(placements.select("clip", "island", "offset", "rate", "confidence"), "clip", "left")
-    last = rows.agg(F.coalesce(F.max("island") + 1, F.lit(0)).alias("n"))
-    alone = rows.where("island IS NULL").withColumn("k", F.row_number().over(Window.orderBy("clip")) - 1).join(F.broadcast(last)).withColumn("island", F.col("n") + F.col("k")).drop("n", "k").withColumns({"offset": F.lit(0.0), "rate": F.lit(1.0), "confidence": F.lit(0.0)})
+    rows = settled(clips.join(placements.select("clip", "island", "offset", "rate", "confidence"), "clip", "left"), "placed")
+    last = rows.agg(F.coalesce(F.max("island") + 1, F.lit(0)).alias("n"))  # one row
+    alone = numbered(rows.where("island IS NULL"), "clip", name="k").join(F.broadcast(last)).withColumn("island", F.col("n") + F.col("k")).drop("n", "k").withColumns({"offset": F.lit(0.0), "rate": F.lit(1.0), "confidence": F.lit(0.0)})
     out = rows.where("island IS NOT NULL").withColumn("synced", F.lit(True)).unionByName(alone.withColumn("synced", F.lit(False)))
     return out.select("clip", "island", "kind", "source", F.col("offset").alias("start"), (F.col("offset") + F.col("duration") * F.col("rate")).alias("end"), "confidence", "synced")
 
 
+def digest(columns: list[str]) -> Column:
+    """Aggregate: a digest of the rows as a multiset, whatever their order. It merges: how many there are, and sums of the
+    eight 32-bit parts of a hash of each row. Sums of equal multisets are equal; different ones agree by accident with a
+    chance of about 2 ** -128. A task holds one row of sums."""
+    row = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    hashed = F.sha2(row, 256)
+    parts = [F.conv(F.substring(hashed, 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
+    return F.struct(F.count(F.lit(1)).alias("rows"), *(F.sum(p).alias(f"s{i}") for i, p in enumerate(parts)))
+
+
 def best_stage(stages: DataFrame) -> DataFrame:
     """Of stages (stage, clip, island) the one that places most clips, the later of equals; one that equals the stage before
-    it doesn't count."""
-    from pyspark.sql.window import Window
-
-    each = stages.groupBy("stage").agg(F.count("island").alias("placed"), F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("clip", "island")))), 256).alias("digest"))
-    new = each.withColumn("before", F.lag("digest").over(Window.orderBy("stage"))).where(F.col("before").isNull() | (F.col("digest") != F.col("before")))
+    it doesn't count. Each stage's rows are summed up in a digest where they are; what is compared has a row a stage."""
+    each = stages.groupBy("stage").agg(F.count("island").alias("placed"), digest(["clip", "island"]).alias("digest"))
+    new = each.withColumn("before", F.lag("digest").over(Window.partitionBy(F.lit(0)).orderBy("stage"))).where(F.col("before").isNull() | (F.col("digest") != F.col("before")))  # a row for each stage
     return new.agg(F.max_by("stage", F.struct("placed", "stage")).alias("stage"), F.max("placed").alias("placed"))
 
 

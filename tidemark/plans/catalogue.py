@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,27 +9,15 @@ from pyspark.sql.window import Window
 from tidemark import schema as S
 from tidemark.functions import evidence, mapping, names, timecode
 from tidemark.operators import assembly, graph, intervals, lanes, library, matching, order, policies, signal, spans
-from tidemark.plans import standins
+from tidemark.plans import measures, standins  # noqa: F401: measures enters more queries
+from tidemark.plans.registry import QUERIES, SQL, query  # noqa: F401
 from tidemark.sources import fingerprints
 from tidemark.streaming import live
-from tidemark.tables import table
+from tidemark.tables import settled, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 EPOCH_MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 
 
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Coarse matching -------------------------------------------------------------------------------------------------------
 
 _LANDMARKS = r"""t AS (SELECT doc_id AS clip, list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '') AS w FROM documents),
@@ -55,7 +41,7 @@ def best_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.histogram(matching.clip_pairs(matching.shared_landmarks(standins.doc_landmarks(spark, sf_dir), standins.doc_count(spark, sf_dir))))
+    return matching.histogram(matching.clip_pairs(settled(matching.shared_landmarks(settled(standins.doc_landmarks(spark, sf_dir), "landmarks"), standins.doc_count(spark, sf_dir)), "shared")))
 
 
 @query(
@@ -87,7 +73,7 @@ SELECT "left", "right", CAST(cell AS BIGINT) AS cell, CAST(lf AS BIGINT) AS lf,
 )
 def match_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4: one anchor for each stretch of a matched pair."""
-    shared = matching.shared_landmarks(standins.doc_landmarks(spark, sf_dir, named=True), standins.doc_count(spark, sf_dir))
+    shared = settled(matching.shared_landmarks(settled(standins.doc_landmarks(spark, sf_dir, named=True), "landmarks"), standins.doc_count(spark, sf_dir)), "shared")
     pairs = matching.clip_pairs(shared)
     chosen = matching.guarded(matching.winners(matching.histogram(pairs))).where("clear")
     return matching.anchors(pairs, chosen.select("left", "right", "winner")).select("left", "right", F.col("cell").cast("bigint"), F.col("lf").cast("bigint"), F.col("rf").cast("bigint"))
@@ -434,8 +420,8 @@ SELECT l_partkey, v[len(v) // 2 + 1] AS upper, round(median, 4) AS median, round
 )
 def medians_and_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three medians' two kinds, and least squares."""
-    g = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sort_array(F.collect_list("l_extendedprice")).alias("v"), F.percentile("l_extendedprice", 0.5).alias("median"), F.regr_slope("l_extendedprice", "l_quantity").alias("slope"))
-    return g.select("l_partkey", F.get("v", F.floor(F.size("v") / 2).cast("int")).alias("upper"), F.round("median", 4).alias("median"), F.round("slope", 3).alias("slope"))
+    g = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(assembly.upper_median("l_extendedprice").alias("upper"), F.percentile("l_extendedprice", 0.5).alias("median"), assembly.line_fit("l_quantity", "l_extendedprice").alias("f"))
+    return g.select("l_partkey", "upper", F.round("median", 4).alias("median"), F.round("f.slope", 3).alias("slope"))
 
 
 @query("SELECT user_id, CASE WHEN count(value) = 1 OR max(value) - min(value) <= 2 THEN round(quantile_cont(value, 0.5), 6) END AS median FROM events GROUP BY user_id, event_type, CAST(ts AS DATE)")
@@ -532,10 +518,11 @@ def mixed_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def synchronised_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1: made-up recordings from sound to placements: three pieces of one noise for each nation, with known offsets."""
-    from tidemark.plans.pipeline import made_up_recordings, synchronised
+    """K1: from sound to placements: the takes of tapes whose samples are the bytes of documents. (Landmarks and fits are numpy: tests hold
+    placements against made-up truth.)"""
+    from tidemark.plans.pipeline import synchronised
 
-    return synchronised(made_up_recordings(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("scene"))))
+    return synchronised(standins.tapes(spark, sf_dir), size=standins.TAPE_BLOCK)
 
 
 # Media, edits, stages --------------------------------------------------------------------------------------------------
@@ -646,14 +633,16 @@ def matched_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rejected_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges less rejected pairs, in whichever order those name them."""
     e = graph.admitted(standins.line_edges(spark, sf_dir)).select("left", "right")
-    no = e.where((F.col("left") % 11).isin(1, 2, 3) & (F.col("right") % 11 == F.col("left") % 11 + 1)).select(F.col("right").alias("a"), F.col("left").alias("b"))
-    return e.join(no.select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")), ["left", "right"], "left_anti")
+    no = e.where((F.col("left") % 11).isin(1, 2, 3) & (F.col("right") % 11 == F.col("left") % 11 + 1)).select(F.col("right").alias("left"), F.col("left").alias("right"))
+    return matching.without_rejected(e, no)
 
 
-@query("""SELECT c_custkey AS clip, CASE WHEN c_custkey % 4 = 1 THEN coalesce(CAST(c_nationkey * 2 AS DOUBLE) - s_tc, CAST(NULL AS DOUBLE)) ELSE c_acctbal - s_rec END AS expected FROM customer JOIN (SELECT s_suppkey, s_nationkey * 2.0 AS s_tc, s_acctbal AS s_rec FROM supplier) ON s_suppkey = c_custkey % 100 + 1 WHERE s_suppkey <= (SELECT count(*) FROM supplier)""")
+@query("""SELECT c_custkey AS clip, CASE WHEN c_custkey % 4 = 1 THEN coalesce(CAST(c_nationkey * 2 AS DOUBLE) - s_tc, CAST(NULL AS DOUBLE)) ELSE c_acctbal - s_rec END AS expected FROM customer JOIN (SELECT s_suppkey, s_nationkey * 2.0 AS s_tc, s_acctbal AS s_rec FROM supplier) ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier)""")
 def expected_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offset that metadata leads one to expect: by timecode if both have one, else by date."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("clip"), F.when(F.col("c_custkey") % 4 == 1, F.col("c_nationkey") * 2.0).alias("tc"), F.col("c_acctbal").alias("rec"), (F.col("c_custkey") % 100 + 1).alias("k"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("clip"), F.when(F.col("c_custkey") % 4 == 1, F.col("c_nationkey") * 2.0).alias("tc"), F.col("c_acctbal").alias("rec"), F.col("c_custkey").alias("key"))
+    n = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n"))  # one row
+    c = c.join(F.broadcast(n)).withColumn("k", F.col("key") % F.col("n"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_nationkey") * 2.0).alias("stc"), F.col("s_acctbal").alias("srec"))
     return c.join(s, "k").select("clip", evidence.expected_offset(F.col("tc"), F.col("stc"), F.col("rec"), F.col("srec")).alias("expected"))
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.tables import table
 
@@ -40,3 +45,45 @@ def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")
     return l.groupBy(F.col("l_partkey").alias("left"), (F.col("l_suppkey") + 10_000_000).alias("right")).agg(F.count(F.lit(1)).alias("anchors"), F.max("l_quantity").alias("q"), F.min("l_discount").alias("d"), F.max("l_tax").alias("t")).select(
         "left", "right", (F.col("q") / 50).alias("confidence"), "anchors", F.col("q").alias("covered"), F.col("t").alias("residual"), F.when(F.col("left") % 7 == 0, "span").when(F.col("left") % 5 == 0, "timecode").otherwise("waveform").alias("evidence"))
+
+
+#: Documents of a tape, the bytes that it has at least, where its takes begin, and samples of a block.
+PER_TAPE, LEAST_TAPE, SHIFTS, TAPE_BLOCK = 250, 480_000, (0, 65_596, 131_196), 1 << 17
+
+
+def tapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sound (clip, first, samples) of which each sample is a byte of a text: the documents of a tape (250 numbers in a row) one behind another,
+    in three takes that begin at SHIFTS. Takes are numbered tape * 10 + k. A byte stands for a fixed random amplitude."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.floor(F.col("doc_id") / PER_TAPE).alias("scene"), "doc_id", F.encode("text", "utf-8").alias("b"))
+    n = F.octet_length("b").cast("long")
+    before = F.coalesce(F.sum(n).over(Window.partitionBy("scene").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over a tape's documents
+    placed = docs.withColumns({"begin": before, "n": n})
+    takes = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).cast("long").alias("s")) for k, s in enumerate(SHIFTS)))
+    placed = placed.withColumn("t", F.explode(takes)).select((F.col("scene") * 10 + F.col("t.k")).alias("clip"), "b", (F.col("begin") - F.col("t.s")).alias("low"), (F.col("begin") - F.col("t.s") + F.col("n")).alias("high")).where("high > 0")
+    cut = placed.withColumn("block", F.explode(F.sequence(F.floor(F.greatest(F.lit(0).cast("long"), F.col("low")) / TAPE_BLOCK), F.floor((F.col("high") - 1) / TAPE_BLOCK))))
+    first = F.greatest(F.col("low"), F.col("block") * TAPE_BLOCK)
+    last = F.least(F.col("high"), (F.col("block") + 1) * TAPE_BLOCK)
+    part = F.substring("b", (first - F.col("low") + 1).cast("int"), (last - first).cast("int"))
+    blocks = cut.groupBy("clip", "block").agg(F.sort_array(F.collect_list(F.struct(first.alias("at"), part.alias("p")))).alias("p"))  # a block's bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loud = np.random.default_rng(1).normal(size=256).astype(np.float32)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                samples = loud[np.frombuffer(b"".join(batch.column("p")[i].as_py()), np.uint8)]
+                yield pa.RecordBatch.from_arrays([batch.column("clip").slice(i, 1), pa.array([batch.column("block")[i].as_py() * TAPE_BLOCK], pa.int64()), pa.array([samples], pa.list_(pa.float32()))], names=["clip", "first", "samples"])
+
+    return blocks.select("clip", "block", F.transform("p", lambda x: x.p).alias("p")).mapInArrow(run, "clip bigint, first bigint, samples array<float>")
+
+
+def tape_edges(spark: SparkSession, sf_dir: str, off: float) -> DataFrame:
+    """Edges between the takes of each tape of LEAST_TAPE bytes or more, `off` seconds beside the truth: sure ones from the first take,
+    a weak one between the others."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").groupBy(F.floor(F.col("doc_id") / PER_TAPE).alias("scene")).agg(F.sum(F.octet_length(F.encode("text", "utf-8"))).alias("n")).where(F.col("n") >= LEAST_TAPE)
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit((SHIFTS[a] - SHIFTS[b]) / 16_000).alias("o"), F.lit(c).alias("c")) for a, b, c in ((0, 1, 0.9), (0, 2, 0.88), (1, 2, 0.7))))
+    e = docs.withColumn("e", F.explode(pairs))
+    start = -F.col("e.o")
+    return e.select(
+        (F.col("scene") * 10 + F.col("e.a")).alias("left"), (F.col("scene") * 10 + F.col("e.b")).alias("right"), F.lit(1.0).alias("rate"), (F.col("e.o") + off).alias("offset"), F.col("e.c").alias("confidence"), F.lit(100).cast("bigint").alias("anchors"),
+        (start + 2.0).alias("left_start"), (start + 20.0).alias("left_end"), F.lit(18.0).alias("covered"), F.lit(0.02).alias("residual"), F.array().cast("array<struct<left:double,right:double>>").alias("points"), F.lit("waveform").alias("evidence"),
+    )

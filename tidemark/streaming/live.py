@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
+from tidemark.operators import graph
 from tidemark.operators.matching import clip_pairs, group_cap, guarded, winners
 from tidemark.operators.signal import mono_channel
+from tidemark.tables import settled
 
 
 def windowed_landmarks(stream: DataFrame, late: str = "10 minutes", length: str = "5 minutes") -> DataFrame:
@@ -96,3 +98,76 @@ def adaptive_channel_stream(blocks: DataFrame) -> DataFrame:
 
     kind = dict(blocks.dtypes)["clip"]
     return blocks.groupBy("clip").applyInPandasWithState(step, f"clip {kind}, block bigint, channel int", "channel int", "append", "NoTimeout")
+
+
+class LiveGroups:
+    """E10 of a stream: provisional groups kept up as matches come, change and go. Use as `events.writeStream.foreachBatch(LiveGroups(path)).start()`.
+
+    events: seq, left, right, kind (candidate, refined, rejected), offset, confidence. State are two tables in folders, each batch a part
+    of its own: pairs (their last event by seq, rejected ones as marks) and clips (root, start). A batch reads the groups that its pairs
+    touch, walks those anew with what has changed, and writes those: a match that comes joins two groups, one that goes takes its
+    group apart, and other groups are neither read nor written. What a clip or pair is now is its row of the last part. Every
+    `merge_every` batches parts become one. A batch that runs twice writes the same part again.
+    """
+
+    EDGES = "low bigint, high bigint, seq bigint, kind string, offset double, confidence double"
+    CLIPS = "clip bigint, root bigint, start double"
+
+    def __init__(self, path: str, merge_every: int = 20):
+        self.path, self.merge_every = path.rstrip("/"), merge_every
+
+    def _now(self, spark: SparkSession, what: str, keys: list[str], before: int) -> DataFrame:
+        """Of each key the row of its last part before batch number `before`."""
+        kind = self.EDGES if what == "pairs" else self.CLIPS
+        base = max((n for n in self._parts(spark, f"{what}-merged") if n < before), default=-1)
+        parts = [f"{self.path}/{what}-merged/{base}"] * (base >= 0) + [f"{self.path}/{what}/{n}" for n in self._parts(spark, what) if base < n < before]
+        if not parts:
+            return spark.createDataFrame([], kind)
+        rows = spark.read.schema(f"{kind}, part bigint").parquet(*parts)
+        values = [c for c in rows.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "part").alias("v")).select(*keys, "v.*").drop("part")
+
+    def _parts(self, spark: SparkSession, what: str) -> list[int]:
+        """Numbers of the parts that are whole: a writer leaves its mark last."""
+        jvm = spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
+        found = [s.getPath() for s in fs.listStatus(folder)]
+        return sorted(int(p.getName()) for p in found if p.getName().isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def _write(self, df: DataFrame, what: str, number: int) -> None:
+        df.withColumn("part", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{self.path}/{what}/{number}")
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        pairs, clips = self._now(spark, "pairs", ["low", "high"], number), self._now(spark, "clips", ["clip"], number)
+        turned = F.col("left") > F.col("right")
+        came = batch.where("left <> right").select(F.least("left", "right").alias("low"), F.greatest("left", "right").alias("high"), "seq", "kind", F.when(turned, -F.col("offset")).otherwise(F.col("offset")).alias("offset"), "confidence")
+        last = came.groupBy("low", "high").agg(F.max_by(F.struct("seq", "kind", "offset", "confidence"), "seq").alias("e")).select("low", "high", "e.*")
+        new = last.join(pairs.select("low", "high", F.col("seq").alias("had")), ["low", "high"], "left").where(F.col("had").isNull() | (F.col("seq") > F.col("had"))).drop("had")
+        new = settled(new.select(*(c.split()[0] for c in self.EDGES.split(", "))), "changed")
+
+        touched = new.select(F.explode(F.array("low", "high")).alias("clip")).distinct()
+        roots = clips.join(touched, "clip", "left_semi").select("root").distinct()
+        members = settled(clips.join(roots, "root", "left_semi").select("clip").union(touched).distinct(), "members")
+        held = pairs.join(members.select(F.col("clip").alias("low")), "low", "left_semi").join(new, ["low", "high"], "left_anti")
+        edges = held.select(*new.columns).unionByName(new).where("kind <> 'rejected'").select(F.col("low").alias("left"), F.col("high").alias("right"), "offset")
+        self._write(graph.provisional(members, edges), "clips", number)
+        self._write(new, "pairs", number)
+        if number and number % self.merge_every == 0:
+            for what, keys in (("clips", ["clip"]), ("pairs", ["low", "high"])):
+                self._write(self._now(spark, what, keys, number + 1), f"{what}-merged", number)
+
+    def groups(self, spark: SparkSession) -> DataFrame:
+        """All clips that a match has touched, with root and start, as of the last whole batch."""
+        return self._now(spark, "clips", ["clip"], self._last(spark))
+
+    def matches(self, spark: SparkSession) -> DataFrame:
+        """All pairs that are matches now (left, right, kind, offset, confidence)."""
+        return self._now(spark, "pairs", ["low", "high"], self._last(spark)).where("kind <> 'rejected'").select(F.col("low").alias("left"), F.col("high").alias("right"), "kind", "offset", "confidence")
+
+    def _last(self, spark: SparkSession) -> int:
+        """One more than the number of the last batch that has written both of its parts."""
+        return 1 + max((set(self._parts(spark, "clips")) & set(self._parts(spark, "pairs"))), default=-1)
