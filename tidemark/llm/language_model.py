@@ -36,7 +36,7 @@ VOCABULARY, SIZE = 1024, 24
 #: Words whose counts every task holds, and the most bytes of one of them.
 KNOWN, KNOWN_BYTES = 131_072, 40
 #: Passes over the training texts, tokens of a batch, noise words drawn for each batch and counted as so many for each token.
-ROUNDS, BATCH, DRAWN, NOISE = 2, 2048, 64, 8
+ROUNDS, BATCH, DRAWN, NOISE = 2, 4096, 32, 8
 STEP, SEED = 0.2, 13
 END, OTHER = 0, 1
 ADDED = {"lm_tokens": T.LongType(), "lm_known": T.LongType(), "lm_base_score": T.DoubleType(), "lm_score": T.DoubleType(), "lm_train_tokens": T.LongType()}
@@ -130,15 +130,18 @@ def started(counts: Counts, vocabulary: int = VOCABULARY, size: int = SIZE) -> t
 def contexts(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the tokens of texts, one behind another and each with its end (ends: where), the one before each and the one before that;
     beyond a text's beginning there are ends."""
-    b = np.concatenate([[END], ids[:-1]])
-    a = np.concatenate([[END, END], ids[:-2]])[: len(ids)]
+    a, b = np.full(len(ids), END, ids.dtype), np.full(len(ids), END, ids.dtype)
+    a[2:], b[1:] = ids[:-2], ids[:-1]
     a[ends[:-1] + 1] = END  # the first tokens of the texts after the first
     return a, b
 
 
-def summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows of values by row number."""
-    return np.column_stack([np.bincount(rows, values[:, k], n) for k in range(values.shape[1])])
+def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers that occur, each once, and the sums of their values."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    begins = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    return rows[begins], np.add.reduceat(values[order], begins, axis=0)
 
 
 class Trainer:
@@ -156,20 +159,29 @@ class Trainer:
         out, left, before, bias = self.p
         n = len(out)
         drawn = np.minimum(np.searchsorted(self.cumulated, self.rng.random(DRAWN)), n - 1)
-        context = left[b] + before[a]
-        own = np.einsum("ij,ij->i", context, out[w]) + bias[w, 0] - self.noise_logs[w]
-        other = context @ out[drawn].T + (bias[drawn, 0] - self.noise_logs[drawn])
+        context, outs, noise = left.take(b, 0), out.take(w, 0), out[drawn]
+        context += before.take(a, 0)
+        own = np.einsum("ij,ij->i", context, outs) + bias.take(w) - self.noise_logs.take(w)
+        other = context @ noise.T
+        other += bias[drawn, 0] - self.noise_logs[drawn]
         # The gradient of log P(data) by s: 1 - sigmoid for a token, minus sigmoid for each noise word, which stands for NOISE / DRAWN.
-        plus = 1 / (1 + np.exp(np.clip(own, -30, 30)))
-        minus = -(NOISE / DRAWN) / (1 + np.exp(-np.clip(other, -30, 30)))
-        by_context = plus[:, None] * out[w] + minus @ out[drawn]
-        grads = [summed(w, plus[:, None] * context, n), summed(b, by_context, n), summed(a, by_context, n), np.bincount(w, plus, n)[:, None]]
-        np.add.at(grads[0], drawn, minus.T @ context)
-        np.add.at(grads[3], drawn, minus.sum(0)[:, None])
-        for p, s, g in zip(self.p, self.squares, grads, strict=True):
-            g = (g / math.sqrt(len(w))).astype(np.float32)
-            s += g * g
-            p += self.step * g / np.sqrt(s)
+        with np.errstate(over="ignore"):  # beyond what exp can hold the sigmoid is 0
+            plus = 1 / (1 + np.exp(own))
+            minus = np.exp(np.negative(other, out=other), out=other)
+        minus += 1
+        np.divide(np.float32(-NOISE / DRAWN), minus, out=minus)
+        by_context = minus @ noise
+        outs *= plus[:, None]
+        by_context += outs
+        every = np.concatenate([w, drawn])
+        grads = [(every, np.concatenate([plus[:, None] * context, minus.T @ context])), (b, by_context), (a, by_context), (every, np.concatenate([plus, minus.sum(0)])[:, None])]
+        for p, s, (rows, values) in zip(self.p, self.squares, grads, strict=True):
+            rows, g = summed(rows, values)
+            g /= np.float32(math.sqrt(len(w)))
+            seen = s.take(rows, 0) + g * g
+            s[rows] = seen
+            g *= np.float32(self.step)
+            p[rows] += g / np.sqrt(seen)
         self.tokens += len(w)
 
 
@@ -209,7 +221,7 @@ def trained(ids: DataFrame, model: Model, seen: np.ndarray, rounds: int = ROUNDS
             trainer = Trainer(model, seen, (SEED, number, TaskContext.get().partitionId()), STEP / (1 + number))
             for batch in batches:
                 for part in grouped(batch, 0, 2_000_000):
-                    texts = [np.frombuffer(x, np.uint16).astype(np.int64) for x in part.column(0).to_pylist()]
+                    texts = [np.frombuffer(x, np.uint16) for x in part.column(0).to_pylist()]
                     every = np.concatenate(texts)
                     a, b = contexts(every, np.cumsum([len(x) for x in texts]) - 1)
                     order = trainer.rng.permutation(len(every))
