@@ -5,7 +5,7 @@ A rational time is a struct (value, timescale) or two columns; seconds are doubl
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Frames a second that are standard, as numerator and denominator, in the order in which ties are decided.
@@ -82,6 +82,37 @@ def label_of(frame: Column, nominal: Column, drop_frame: Column) -> Column:
     return F.when((frame >= 0) & nominal.isNotNull(), F.format_string("%02d:%02d:%02d%s%02d", h, m, s, F.when(drops, ";").otherwise(":"), f))
 
 
+def labelled(df: DataFrame, frame: str, nominal: str, drop_frame: str, name: str = "label") -> DataFrame:
+    """B6, B7 of a table: df with the label of a frame number's column. The steps of `label_parts` are columns of their own, each worked out once
+    a row, where the expression `label_of` has them in every part of the label."""
+    own = [f"__{x}" for x in ("drop", "block", "stride", "e", "rest", "n", "total")]
+    drop, block, stride, e, rest, n, total = own
+    fps, minute = F.col(nominal), 60 * F.col(nominal)
+    df = df.withColumn(drop, F.when(F.col(drop_frame), F.coalesce(dropped_labels(fps), F.lit(0))).otherwise(F.lit(0)).cast("long"))
+    df = df.withColumns({block: 600 * fps - 9 * F.col(drop), stride: minute - F.col(drop)})
+    df = df.withColumn(e, F.pmod(F.col(frame), 144 * F.col(block)))
+    df = df.withColumn(rest, F.col(e) % F.col(block))
+    later = F.col(rest) - minute
+    inside = F.when(F.col(rest) < minute, F.col(rest)).otherwise((F.expr(f"(`{rest}` - 60 * `{nominal}`) div `{stride}`") + 1) * minute + later % F.col(stride) + F.col(drop))
+    shown = F.when(F.col(drop) > 0, F.expr(f"`{e}` div `{block}`") * 600 * fps + inside).otherwise(F.col(frame))
+    df = df.withColumn(n, F.pmod(shown, 86400 * fps)).withColumn(total, F.expr(f"`{n}` div `{nominal}`"))
+
+    def two(x: Column) -> Column:
+        return F.lpad(x.cast("string"), 2, "0")
+
+    t = F.col(total)
+    text = F.concat(two(F.expr(f"`{total}` div 3600") % 24), F.lit(":"), two(F.expr(f"`{total}` div 60") % 60), F.lit(":"), two(t % 60), F.when(F.col(drop) > 0, ";").otherwise(":"), F.when(F.col(n) % fps < 10, F.lit("0")).otherwise(F.lit("")), (F.col(n) % fps).cast("string"))
+    return df.withColumn(name, F.when((F.col(frame) >= 0) & fps.isNotNull(), text)).drop(*own)
+
+
+def counted(df: DataFrame, label: str, nominal: str, name: str = "frame") -> DataFrame:
+    """B5 of a table: df with the frame number of a label's column, its parts each read once."""
+    own = [f"__{x}" for x in "hmsf"]
+    good = F.col(label).rlike(r"^[0-9]{2}:[0-9]{2}:[0-9]{2}[:;][0-9]{2}\z")
+    df = df.withColumns({x: F.when(good, F.substring(label, i, 2).try_cast("long")) for x, i in zip(own, (1, 4, 7, 10), strict=True)})
+    return df.withColumn(name, frames_of_label(*(F.col(x) for x in own), F.col(nominal), F.substring(label, 9, 1) == ";")).drop(*own)
+
+
 def frames_of_samples(samples: Column, sample_rate: Column, value: Column, timescale: Column) -> Column:
     """Whole display frames that so many samples fill, in exact arithmetic."""
     rate = half_away(sample_rate)

@@ -118,9 +118,9 @@ def timecode_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of frame numbers, and the frame numbers of those labels."""
     x = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 9973 - 5000).alias("fr")).join(F.broadcast(_rates(spark)))
     n = timecode.nominal_fps(F.col("v"), F.col("ts"))
-    x = x.withColumn("n", n).withColumn("label", timecode.label_of(F.col("fr"), F.col("n"), F.col("df")))
     drops = F.col("df") & F.col("n").isin(30, 60)
-    return x.where(drops | (F.col("v") == 1)).select("id", "v", "ts", "label", timecode.frames_of_text(F.col("label"), F.col("n")).alias("back"))
+    x = timecode.labelled(x.withColumn("n", n).where(drops | (F.col("v") == 1)), "fr", "n", "df")
+    return timecode.counted(x, "label", "n", "back").select("id", "v", "ts", "label", "back")
 
 
 @query(

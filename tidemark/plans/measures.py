@@ -148,6 +148,21 @@ def rejected_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.without_rejected_alignments(e, no).select("left", "right")
 
 
+@query(
+    r"""WITH d AS (SELECT doc_id, len(list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '')) AS n FROM documents) SELECT 2 * doc_id AS "left", 2 * doc_id + 1 AS "right", 1.01::DOUBLE AS rate, CAST(n AS BIGINT) AS landmarks FROM d WHERE n >= 1300"""
+)
+def drifting_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two recordings of each long document, one by a clock that is a hundredth faster: votes have no clear winner, the ridge has the
+    rate. A landmark is a word's place, eight frames apart."""
+    words = standins.tokens(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n")).where("n >= 1300")
+    each = docs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    frame = F.when(F.col("k") == 0, 8 * F.col("i")).otherwise(F.round(1.01 * 8 * F.col("i")) + 100).cast("int")
+    landmarks = each.select((2 * F.col("doc_id") + F.col("k")).alias("clip"), F.xxhash64("doc_id", "i").alias("hash"), frame.alias("frame"))
+    e = matching.matched(landmarks, docs.agg((2 * F.count(F.lit(1))).alias("n")))
+    return e.join(docs.select((2 * F.col("doc_id")).alias("left"), F.col("n").cast("bigint").alias("landmarks")), "left").select("left", "right", F.round("rate", 3).alias("rate"), "landmarks")
+
+
 @query("WITH " + _EDGES + """, s AS (SELECT CASE WHEN l = 5 THEN r ELSE l END AS clip, CASE WHEN l = 5 THEN covered ELSE -covered END AS "offset", confidence FROM ed WHERE l = 5 OR r = 5)
 SELECT clip, "offset", confidence, s_name AS name FROM s JOIN supplier ON s_suppkey + 10000000 = clip""")
 def correction_options(spark: SparkSession, sf_dir: str) -> DataFrame:
