@@ -2,19 +2,31 @@
 
 import random
 
+import numpy as np
+
 import __spark_entry__
-from tidemark.plans import pipeline, standins
+from tidemark.plans import standins
 
 
 def found(name):
     return __spark_entry__.queries()[name]
 
 
-def test_each_nation_is_a_scene(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(pipeline, "made_up_recordings", lambda scenes: scenes)
-    monkeypatch.setattr(pipeline, "synchronised", lambda blocks: blocks)
-    spark.range(25).withColumnRenamed("id", "n_nationkey").write.parquet(f"{tmp_path}/nation.parquet")
-    assert sorted(r.scene for r in found("synchronised_takes")(spark, str(tmp_path)).collect()) == list(range(25))
+def test_every_byte_of_a_document_is_a_sample(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(standins, "TAPE_BLOCK", 64)
+    monkeypatch.setattr(standins, "SHIFTS", (0, 70, 333))
+    rng = random.Random(4)
+    docs = [(i, None if i % 50 == 0 else "".join(rng.choice("abé\n ") for _ in range(rng.randint(0, 200)))) for i in range(600)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    loud = {float(x): i for i, x in enumerate(np.random.default_rng(1).normal(size=256).astype(np.float32))}
+    got = {}
+    for r in standins.tapes(spark, str(tmp_path)).orderBy("clip", "first").collect():
+        held = got.setdefault(r.clip, bytearray())
+        assert r.first == len(held)
+        held.extend(loud[x] for x in r.samples)
+    for scene in range(3):
+        whole = b"".join((t or "").encode() for i, t in docs if i // 250 == scene)
+        assert [bytes(got[scene * 10 + k]) for k in range(3)] == [whole[s:] for s in (0, 70, 333)]
 
 
 def test_all_orders_are_videos_or_recorders(spark, monkeypatch):
