@@ -340,6 +340,17 @@ def test_forest_paths_are_those_of_a_plain_walk():
     assert (forest.paths(x) < forest.cut).mean() <= quality_rules.SPARED and (forest.paths(odd) < forest.cut).mean() > 0.9
 
 
+def test_splits_take_figures_with_long_tails():
+    rng = np.random.default_rng(5)
+    x = np.zeros((600, quality_rules.N_STATS))
+    x[:, 0] = rng.uniform(size=600)  # spreads evenly; all other figures but one are the same everywhere
+    odd = x[:12].copy()
+    odd[:, 3] = 0.2
+    assert quality_rules.tails(np.concatenate([x, odd[:4]]))[3] > 50 * quality_rules.tails(x)[0] > 0 == quality_rules.tails(x)[1]
+    forest = quality_rules.calibrated(quality_rules.grown(x, odd[:8]), x, np.ones(600, bool))
+    assert (forest.paths(odd[8:]) < forest.cut).all() and (forest.paths(x) < forest.cut).mean() <= quality_rules.SPARED
+
+
 def test_updates_are_those_of_a_plain_ftrl():
     rng = np.random.default_rng(6)
     rows = []
