@@ -316,16 +316,43 @@ def bar_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.bar_geometry(standins.order_intervals(spark, sf_dir), 2.0, ["source"]).select("id", "x", "width")
 
 
-@query()
+@query(
+    """WITH RECURSIVE c AS (SELECT c_custkey AS id, CAST(c_custkey * 7919 % 3600 AS DOUBLE) AS s, abs(c_acctbal) % 120 AS d, c_custkey % 10 = 0 AS placed FROM customer WHERE abs(c_acctbal) % 120 > 0),
+met AS (SELECT l.id AS lid, r.id AS rid, l.s AS ls, r.s AS rs, l.d AS ld, r.d AS rd, r.placed AS anchored, least(l.s + l.d, r.s + r.d) - greatest(l.s, r.s) AS shared FROM c l JOIN c r ON NOT l.placed AND l.id <> r.id AND l.s < r.s + r.d AND r.s < l.s + l.d),
+k AS (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY anchored DESC, shared DESC, rid) AS rank FROM met),
+free AS (SELECT lid, row_number() OVER (ORDER BY lid) AS n, list(rid ORDER BY rank) AS others FROM k WHERE lid NOT IN (SELECT lid FROM k WHERE anchored) GROUP BY lid),
+f AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS lid, CAST(NULL AS BIGINT) AS rid, CAST([] AS VARCHAR[]) AS used UNION ALL
+SELECT n, lid, x, CASE WHEN x IS NULL THEN used ELSE list_append(used, least(lid, x) || ':' || greatest(lid, x)) END
+FROM (SELECT free.n, CAST(free.lid AS BIGINT) AS lid, used, CAST(list_filter(others, lambda o: NOT list_contains(used, least(free.lid, o) || ':' || greatest(free.lid, o)))[1] AS BIGINT) AS x FROM f JOIN free ON free.n = f.n + 1)),
+chosen AS (SELECT lid, rid FROM f WHERE rid IS NOT NULL UNION ALL SELECT lid, rid FROM k WHERE rank = 1 AND anchored),
+e AS (SELECT CASE WHEN swap THEN rid ELSE lid END AS "left", CASE WHEN swap THEN lid ELSE rid END AS "right", CASE WHEN swap THEN rs ELSE ls END AS lt, CASE WHEN swap THEN ls ELSE rs END AS rt, CASE WHEN swap THEN rd ELSE ld END AS ld, CASE WHEN swap THEN ld ELSE rd END AS rd, shared FROM (SELECT k.*, anchored OR rid < lid AS swap FROM k JOIN chosen USING (lid, rid)))
+SELECT "left", "right", CAST(1 AS DOUBLE) AS rate, lt - rt AS "offset", CAST({confidence} AS DOUBLE) AS confidence, CAST(1 AS BIGINT) AS anchors, greatest(CAST(0 AS DOUBLE), rt - lt) AS left_start, least(ld, rt + rd - lt) AS left_end, shared AS covered, CAST(0 AS DOUBLE) AS residual, 'timecode' AS evidence FROM e""".replace("{confidence}", str(S.TIMECODE_CONFIDENCE))
+)
 def timecode_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips placed by timecode alone. (The last step depends on order: held against a plain loop in the tests.)"""
+    """Clips placed by timecode alone."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("position"), (F.col("c_custkey") * 7919 % 3600).cast("double").alias("tc"), (F.abs("c_acctbal") % 120).alias("duration"), F.lit(None).cast("double").alias("recorded"))
     return intervals.timecode_edges(c, c.where("id % 10 = 0").select("id"), width=120.0).drop("points")
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + _INTERVALS
+    + """, c AS (SELECT CAST(id AS VARCHAR) AS id, source % 50 AS project, CAST(source AS VARCHAR) AS key, CAST(s AS DOUBLE) AS s, CAST(e - s AS DOUBLE) AS d FROM iv),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s, d DESC, id) AS n FROM c),
+w AS (SELECT key, n, id, 1 AS lane, [{'e': s + d, 'd': d}] AS ends FROM o WHERE n = 1 UNION ALL
+SELECT key, n, id, lane, CASE WHEN lane > len(ends) THEN list_append(ends, {'e': s + d, 'd': d}) ELSE list_transform(range(1, len(ends) + 1), lambda i: CASE WHEN i = lane AND s + d >= ends[i].e THEN {'e': s + d, 'd': d} ELSE ends[i] END) END
+FROM (SELECT o.key, o.n, o.id, o.s, o.d, ends, CAST(coalesce(list_filter(range(1, len(ends) + 1), lambda i: ends[i].e <= o.s + greatest(1e-6, least(0.5, o.d / 2, ends[i].d / 2)))[1], len(ends) + 1) AS INTEGER) AS lane FROM w JOIN o ON o.key = w.key AND o.n = w.n + 1)),
+own AS (SELECT project, c.key, lane, id, s, s + d AS e FROM c JOIN w USING (id)),
+l AS (SELECT project, key, lane, row_number() OVER (PARTITION BY project ORDER BY first, key, lane) AS n FROM (SELECT project, key, lane, min(s) AS first FROM own GROUP BY ALL)),
+x AS (SELECT own.project, l.n, s, e FROM own JOIN l USING (key, lane)),
+nr AS (SELECT b.project, b.n, list(DISTINCT a.n) AS near FROM x a JOIN x b ON a.project = b.project AND a.n < b.n AND a.s < b.e AND b.s < a.e GROUP BY ALL),
+m AS (SELECT l.project, l.n, coalesce(near, []) AS near FROM l LEFT JOIN nr USING (project, n)),
+t AS (SELECT project, n, 0 AS track, [0] AS tracks FROM m WHERE n = 1 UNION ALL
+SELECT project, n, track, list_append(tracks, track) FROM (SELECT project, n, tracks, CAST(list_filter(range(0, len(used) + 1), lambda v: NOT list_contains(used, v))[1] AS INTEGER) AS track FROM (SELECT m.project, m.n, tracks, list_transform(near, lambda z: tracks[z]) AS used FROM t JOIN m ON m.project = t.project AND m.n = t.n + 1)))
+SELECT id, track FROM own JOIN l USING (key, lane) JOIN t ON t.project = l.project AND t.n = l.n"""
+)
 def allocated_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals on lanes. (A fold: tests hold it against its rules.)"""
+    """Intervals on lanes of their source, and these on tracks."""
     iv = standins.order_intervals(spark, sf_dir)
     r = iv.select(F.col("id").cast("string").alias("id"), F.col("source").cast("string").alias("source_key"), F.col("start").cast("double").alias("start"), (F.col("end") - F.col("start")).cast("double").alias("duration"), (F.col("source") % 50).alias("project"))
     return lanes.allocated(r, "project").select("id", "track")
@@ -397,9 +424,19 @@ def ordered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.ordered_edges(_track_edges(spark, sf_dir), _context(spark, sf_dir), None, "date").select("position", "low_track", "high_track", "low_rank", "high_rank")
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + _CONTEXT
+    + """, te AS (SELECT o_custkey AS l, o_orderkey % 1400 + 1 AS r, floor(o_totalprice) / 1000 AS confidence, o_orderkey AS position FROM orders),
+oe AS (SELECT position, confidence, a.track < b.track AS low, least(a.track, b.track) AS lt, greatest(a.track, b.track) AS ht, CASE WHEN low THEN a.by_date ELSE b.by_date END AS lr, CASE WHEN low THEN b.by_date ELSE a.by_date END AS hr, coalesce(a.track <> b.track, false) AS says FROM te LEFT JOIN cx a ON a.clip = l LEFT JOIN cx b ON b.clip = r),
+q AS (SELECT position, lt, ht, lr, hr, row_number() OVER (PARTITION BY lt, ht ORDER BY confidence DESC, position) AS n FROM oe WHERE says),
+f AS (SELECT lt, ht, n, position, true AS fits, [{'l': lr, 'h': hr}] AS kept FROM q WHERE n = 1 UNION ALL
+SELECT lt, ht, n, position, fits, CASE WHEN fits THEN list_append(kept, {'l': lr, 'h': hr}) ELSE kept END
+FROM (SELECT q.*, kept, len(list_filter(kept, lambda k: (k.l < q.lr AND k.h > q.hr) OR (k.l > q.lr AND k.h < q.hr))) = 0 AS fits FROM f JOIN q ON q.lt = f.lt AND q.ht = f.ht AND q.n = f.n + 1))
+SELECT position FROM f WHERE fits UNION ALL SELECT position FROM oe WHERE NOT says"""
+)
 def uncrossed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The strongest edges that keep the order. (Greedy: held against a plain loop in the tests.)"""
+    """The strongest edges that keep the order."""
     return order.enforce_clip_order(_track_edges(spark, sf_dir), _context(spark, sf_dir), None, "date").select("position")
 
 
