@@ -84,6 +84,16 @@ def test_forest_gate_keeps_strong_cycles():
     assert graph.forest_gate(c).index.tolist() == [0, 1, 3]
 
 
+def test_gate_over_tables_is_that_of_a_fold(spark):
+    rng = np.random.default_rng(3)
+    n = 400
+    c = pd.DataFrame({"left": rng.integers(0, 90, n), "right": rng.integers(0, 90, n), "confidence": np.round(rng.uniform(0.4, 1, n), 2), "position": rng.permutation(n)})
+    want = graph.forest_gate(c.sort_values("position").reset_index(drop=True))
+    got = graph.gated(spark.createDataFrame(c)).toPandas()
+    assert sorted(got.position) == sorted(want.position) and 90 < len(got) < n
+    assert graph.gated(spark.createDataFrame(c).limit(0)).count() == 0
+
+
 # Intervals, lanes, order -----------------------------------------------------------------------------------------------
 
 

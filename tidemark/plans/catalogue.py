@@ -520,6 +520,51 @@ def solved_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.stage(clips, e).drop("points")
 
 
+_CHAINS = """o AS (SELECT o_orderkey AS k, o_custkey AS c, CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS t, CAST(CASE o_orderkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders)"""
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as clips, each with the next and the next but one: left, right, days between them and the rates of their clocks."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.unix_date(F.to_date("o_orderdate")).alias("t"), F.when(F.col("o_orderkey") % 3 == 0, 0.5).when(F.col("o_orderkey") % 3 == 1, 1.0).otherwise(2.0).alias("r"))
+    own = F.struct("k", "t", "r")
+    one, two = (F.lead(own, d).over(Window.partitionBy("c").orderBy("t", "k")) for d in (1, 2))
+    pairs = o.select(own.alias("a"), one.alias("one"), two.alias("two")).select("a", F.posexplode(F.array("one", "two")).alias("step", "b")).where("b IS NOT NULL")
+    return pairs.select(F.col("a.k").alias("left"), F.col("b.k").alias("right"), (F.col("a.t") - F.col("b.t")).cast("double").alias("days"), F.col("a.r").alias("l_rate"), F.col("b.r").alias("r_rate"), "step")
+
+
+@query(
+    "WITH "
+    + _CHAINS
+    + """, d AS (SELECT *, CAST(n > 1 AS INTEGER) + CAST(n > 2 AS INTEGER) + CAST(n < m AS INTEGER) + CAST(n < m - 1 AS INTEGER) AS degree FROM o),
+x AS (SELECT k, m, r / first_value(r) OVER (PARTITION BY c ORDER BY degree DESC, k) AS rate, (t - min(t) OVER (PARTITION BY c)) / first_value(r) OVER (PARTITION BY c ORDER BY degree DESC, k) AS "offset", min(k) OVER (PARTITION BY c) AS least FROM d),
+i AS (SELECT least, row_number() OVER (ORDER BY least) - 1 AS island FROM (SELECT DISTINCT least FROM x WHERE m > 1))
+SELECT k AS clip, CASE WHEN m > 1 THEN island END AS island, CASE WHEN m > 1 THEN round(rate, 6) END AS rate, CASE WHEN m > 1 THEN round("offset", 3) END AS "offset", CASE WHEN m > 1 THEN CAST(0.75 AS DOUBLE) END AS confidence, CASE WHEN m > 1 THEN floor((rate - 1) * 1e9 + 0.5) / 1e3 END AS drift_ppm FROM x LEFT JOIN i USING (least)"""
+)
+def chained_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Islands of each customer's orders on clocks of three rates, solved from pairs of neighbours; pairs agree with each
+    other, so what was put in has to come out."""
+    e = _chains(spark, sf_dir).select(
+        "left", "right", (F.col("l_rate") / F.col("r_rate")).alias("rate"), (F.col("days") / F.col("r_rate")).alias("offset"), F.lit(0.75).alias("confidence"), (F.col("left") % 50 + 3).cast("bigint").alias("anchors"),
+        F.lit(10.0).alias("covered"), F.lit(0.01).alias("residual"), F.lit("waveform").alias("evidence"),
+    )
+    done = graph.stage(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clip")), e)
+    return done.select("clip", "island", F.round("rate", 6).alias("rate"), F.round("offset", 3).alias("offset"), "confidence", "drift_ppm")
+
+
+@query(
+    "WITH RECURSIVE "
+    + _CHAINS
+    + """, e AS (SELECT a.c, a.m, a.k AS l, b.k AS r, a.n AS a, b.n AS b, (a.k * 7 + b.k * 13) % 100 / 100 AS confidence, row_number() OVER (PARTITION BY a.c ORDER BY a.k, b.n - a.n) AS n FROM o a JOIN o b ON a.c = b.c AND b.n - a.n IN (1, 2)),
+f AS (SELECT c, CAST(0 AS BIGINT) AS n, l, r, false AS stays, range(1, m + 1) AS tree FROM e WHERE n = 1 UNION ALL
+SELECT e.c, e.n, e.l, e.r, tree[a] <> tree[b] OR confidence >= 0.85, list_transform(tree, lambda x: CASE WHEN x = tree[a] THEN tree[b] ELSE x END) FROM f JOIN e ON e.c = f.c AND e.n = f.n + 1)
+SELECT l AS "left", r AS "right" FROM f WHERE stays"""
+)
+def gated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of pairs of a customer's orders, in turn, those that join two trees or are sure."""
+    c = _chains(spark, sf_dir).select("left", "right", ((F.col("left") * 7 + F.col("right") * 13) % 100 / 100).alias("confidence"), (F.col("left") * 2 + F.col("step")).alias("position"))
+    return graph.gated(c).select("left", "right")
+
+
 # Signals and landmarks -------------------------------------------------------------------------------------------------
 
 
