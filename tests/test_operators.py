@@ -361,3 +361,24 @@ def test_live_matches_stream(spark, tmp_path):
     for r in spark.table("live_matches").collect():
         state[r.low, r.high] = (r.kind, r.offset)
     assert {k: v for k, v in state.items() if v[0] != "deleted"} == batch
+
+
+def test_lanes_of_chunks_take_no_rows_for_their_conflicts(spark, monkeypatch):
+    """Five times as many intervals, all at one time: the rows written for them grow as they do, not with the square."""
+    from tidemark import tables
+
+    def written(n):
+        frame = spark.range(n).select(F.col("id").cast("string").alias("id"), (F.col("id") % (n // 2)).cast("string").alias("source_key"), (F.col("id") % 7).cast("double").alias("start"), F.lit(50.0).alias("duration"))
+        sizes = []
+
+        def counting(df, what):
+            out = tables.settled(df, what)
+            sizes.append(out.count())
+            return out
+
+        monkeypatch.setattr(lanes, "settled", counting)
+        got = lanes.allocated(frame, chunk=300).select("track").distinct().count()
+        assert got == n
+        return max(sizes)
+
+    assert written(1000) <= 6 * written(200)
