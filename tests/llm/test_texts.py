@@ -406,3 +406,25 @@ def test_beginnings_are_found_misspelled():
     assert {(None, 0), (None, 1), (None, None), (0, None)} <= met
     f = toxicity.Finder(words, stems)
     assert [f.kind(w) for w in ("idiot", "idi0t", "abominable", "abxminable", "wr3tched", "disgust", "dosgust", "plain")] == [0, 1, 2, 3, 3, 2, None, None]
+
+
+def test_forest_and_cut_come_from_all_labelled_rows(spark):
+    n = 3000
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 12 + id % 40), i -> concat('w', cast(pmod(xxhash64(id, i), 900) as string))))").alias("text")).localCheckpoint()
+    y = d.select("doc_id", (F.col("doc_id") % 9 != 0).cast("int").alias("quality"))
+    asked = []
+    plain = quality_rules.drawn
+
+    def drawn(rows, good, odd, *more):
+        got = plain(rows, good, odd, *more)
+        asked.append((rows.count(), good, odd, [len(x) for x in got], len(np.unique(np.concatenate(got), axis=0)), len(np.unique(np.array(rows.toPandas().x.tolist()), axis=0))))
+        return got
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality_rules, "drawn", drawn)
+        forest = quality_rules.fit(d, y)
+    (rows, good, odd, sizes, distinct, every), = asked
+    assert rows == n == good + odd and good == n - len(range(0, n, 9)) and set(sizes) == {quality_rules.TREE_ROWS}
+    assert distinct > 0.9 * every  # a hundred draws of 256 reach nearly all rows
+    paths = sorted(r.path_length for r in quality_rules.judged(d, forest).join(y.where("quality = 1"), "doc_id").collect())
+    assert forest.cut == paths[int(quality_rules.SPARED * good)]

@@ -86,10 +86,14 @@ def trained(vectors: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS,
     return Model(w[:-1].astype(np.float32), float(w[-1]), bits)
 
 
+def labelled(labels: DataFrame, label: str, key: str) -> DataFrame:
+    """Each key with its label. Rows without key or label never count."""
+    return labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias(label))
+
+
 def sampled(labels: DataFrame, label: str, key: str, rows: int) -> DataFrame:
-    """At most so many labelled rows: those with the smallest hash of their key. Rows without key or label never count."""
-    clean = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias(label))
-    return clean.orderBy(F.xxhash64(key), key).limit(rows)
+    """At most so many labelled rows: those with the smallest hash of their key."""
+    return labelled(labels, label, key).orderBy(F.xxhash64(key), key).limit(rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = SAMPLE, bits: int = BITS) -> Model:
