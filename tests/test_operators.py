@@ -48,6 +48,41 @@ def test_long_drift_needs_a_ridge():
     assert matching.ridge_line(x[:100], y[:100], cells[:100], bucket[:100]) is None
 
 
+def test_ridges_of_many_pairs_are_those_of_each(spark):
+    """Pairs that lie in several batches, behind one another, with and without a line."""
+    rows = []
+    for pair in range(6):
+        lf = 8 * np.arange(1500 + 150 * pair)
+        rf = np.round((1.01 if pair % 3 else 1.05) * lf).astype(int) + 100
+        rows += [(pair, pair + 50, i * 7 % 11, int(a), int(b)) for i, (a, b) in enumerate(zip(lf, rf, strict=True))]
+    pairs = spark.createDataFrame(rows, "left bigint, right bigint, hash bigint, lf bigint, rf bigint")
+    points = matching.ridge_points(pairs, matching.histogram(pairs))
+    last = {}
+    for left, _, h, a, b in rows:
+        key = (left, a // S.ANCHOR_BUCKET, (b - a) // S.BUCKET)
+        last[key] = max(last.get(key, (-1,)), (h, a, b))
+    strong = {tuple(r) for r in matching.histogram(pairs).where(F.col("votes") >= S.VOTES).select("left", "bucket").collect()}
+    want = {(k[0], k[1], k[2], v[1] * S.FRAME_SECONDS, v[2] * S.FRAME_SECONDS) for k, v in last.items() if (k[0], k[2]) in strong}
+    found = points.toPandas()
+    assert {tuple(r) for r in found.drop(columns="right").itertuples(index=False)} == want
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {r.left: r for r in matching.ridge_fits(points).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for left, pdf in found.groupby("left"):
+        line = matching.ridge_line(pdf.x.to_numpy(), pdf.y.to_numpy(), pdf.cell.to_numpy(), pdf.bucket.to_numpy())
+        assert (line is None) == (left % 3 == 0)
+        if line is None:
+            continue
+        fit, margin = line
+        r = got.pop(left)
+        assert all(r[k] == v for k, v in fit.items() if k not in "xy") and (r.right, r.margin) == (left + 50, margin)
+        assert [(p.left, p.right) for p in r.points] == list(zip(fit["x"], fit["y"], strict=True))
+    assert not got
+
+
 # Graph -----------------------------------------------------------------------------------------------------------------
 
 
