@@ -49,7 +49,7 @@ def test_long_drift_needs_a_ridge():
 
 
 def test_ridges_of_many_pairs_are_those_of_each(spark):
-    """Pairs that lie in several batches, behind one another, with and without a line."""
+    """Pairs with and without a line, over several batches, behind joins that are broadcast and shuffled ones."""
     rows = []
     for pair in range(6):
         lf = 8 * np.arange(1500 + 150 * pair)
@@ -65,12 +65,17 @@ def test_ridges_of_many_pairs_are_those_of_each(spark):
     want = {(k[0], k[1], k[2], v[1] * S.FRAME_SECONDS, v[2] * S.FRAME_SECONDS) for k, v in last.items() if (k[0], k[2]) in strong}
     found = points.toPandas()
     assert {tuple(r) for r in found.drop(columns="right").itertuples(index=False)} == want
-    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "100", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    held = {k: spark.conf.get(k) for k in settings}
     try:
-        got = {r.left: r for r in matching.ridge_fits(points).collect()}
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = matching.ridge_fits(matching.ridge_points(pairs, matching.histogram(pairs))).collect()
     finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    got = {r.left: r for r in rows}
+    assert len(got) == len(rows)
     for left, pdf in found.groupby("left"):
         line = matching.ridge_line(pdf.x.to_numpy(), pdf.y.to_numpy(), pdf.cell.to_numpy(), pdf.bucket.to_numpy())
         assert (line is None) == (left % 3 == 0)
