@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 import __spark_entry__
+from tidemark.operators import matching
 from tidemark.plans import standins
 
 
@@ -67,3 +68,20 @@ def test_every_edge_has_its_place(spark, monkeypatch):
     monkeypatch.setattr(standins, "line_edges", lambda *_: spark.createDataFrame(data, "left long, right long, confidence double, anchors long, covered double, residual double, evidence string"))
     want = sorted(data, key=lambda e: (-int(e[2] * 10000 + 0.5), -e[3], -e[4], int(e[5] * 10000 + 0.5), e[0]))
     assert [r.left for r in sorted(found("edge_order")(spark, "").collect(), key=lambda r: r.n)] == [e[0] for e in want]
+
+
+def test_pairs_of_many_ridge_points_are_fitted_too(spark, monkeypatch):
+    """A clip that repeats what it says: more than 16,384 cells and buckets of one pair, which still has its line."""
+    rows = [(7, 57, i, 8 * i, round(1.01 * 8 * i) + 100) for i in range(1500)]
+    rows += [(7, 57, 10_000 + b, 40 * (20 * c + b % 20) + 5, 40 * (20 * c + b % 20) + 5 + 8 * b + 3_000) for c in range(15) for b in range(1_200)]
+    rows += [(8, 58, i, 8 * i, round(1.01 * 8 * i) + 100) for i in range(1500)]
+    pairs = spark.createDataFrame(rows, "left bigint, right bigint, hash bigint, lf bigint, rf bigint")
+    points = matching.ridge_points(pairs, matching.histogram(pairs))
+    assert points.where("left = 7").count() > 16_384
+    got = {r.left: r for r in matching.ridge_fits(points).collect()}
+    assert sorted(got) == [7, 8]
+    for left, pdf in points.toPandas().groupby("left"):
+        fit, margin = matching.ridge_line(pdf.x.to_numpy(), pdf.y.to_numpy(), pdf.cell.to_numpy(), pdf.bucket.to_numpy())
+        assert got[left].margin == margin and got[left].rate == fit["rate"] and [p.right for p in got[left].points] == fit["y"].tolist()
+        (again,) = matching.ridge_fits(points.where(f"left = {left}"), most=10).collect()
+        assert again == got[left]
